@@ -11,13 +11,36 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under ``name``, with SQL for the same rows if there is any."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from trailweave.plans import q_filter, q_functions, q_graph, q_places, q_retrieval, q_sequence  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Places retrieved for every observation from exemplars of each place."""
+    return queries()["exemplar_retrieval"](spark, sf_dir)
