@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.shipping import ship
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -59,6 +61,8 @@ def blocked_products(left: DataFrame, right: DataFrame, block: int = 2048) -> Da
     own, with 2 * block vectors in memory; nothing is broadcast. Returns a, b, sim.
     """
 
+    ship(left.sparkSession)
+
     def tiles(df: DataFrame, n: int, mine: str, other: str, others: int) -> DataFrame:
         t = df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
         return t.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
@@ -85,6 +89,8 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, block: int = 4096
     block, and a window over those few picks the k best of all. Both sides may be of any size.
     """
 
+    ship(queries.sparkSession)
+
     def dealt(df: DataFrame, n: int, mine: str, other: str, others: int) -> DataFrame:
         return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,14 @@ from pyspark.sql import Window as W
 from trailweave.functions.evidence import normalise_scene
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the folder of checkpoints that all executors share: this cuts the lineage."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
+    return df.checkpoint()
+
+
 def gated_edges(transitions: DataFrame, nodes: DataFrame, confidence: float = 0.6, support: int = 3) -> DataFrame:
     """Undirected edges of a place graph.
 
@@ -55,18 +65,13 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
     Labels spread along edges and jump through the labels of labels, so the number of rounds grows
     with the logarithm of the longest path. Every round is checkpointed.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
-    both = symmetric(edges).checkpoint()
-    cur = nodes.select("id", F.col("id").alias("component")).checkpoint()
+    both = settled(symmetric(edges).distinct())
+    cur = nodes.select("id", F.col("id").alias("component")).transform(settled)
     for _ in range(rounds):
         near = both.join(cur, both["dst"] == cur["id"]).groupBy("src").agg(F.min("component").alias("m"))
         nxt = cur.join(near, cur["id"] == near["src"], "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("m"))
         roots = nxt.select(F.col("id").alias("r"), F.col("m").alias("rm"))
-        new = nxt.join(roots, nxt["m"] == roots["r"]).select("id", "component", F.least("m", "rm").alias("new")).checkpoint()
+        new = nxt.join(roots, nxt["m"] == roots["r"]).select("id", "component", F.least("m", "rm").alias("new")).transform(settled)
         cur = new.select("id", F.col("new").alias("component"))
         if new.where("new <> component").isEmpty():
             return cur
@@ -78,14 +83,14 @@ def hops(edges: DataFrame, limit: int, sources: DataFrame | None = None) -> Data
 
     Breadth first: a round joins the last frontier with the edges and drops what is known.
     """
-    both = symmetric(edges).distinct()
+    both = settled(symmetric(edges).distinct())
     nodes = sources.select(F.col("id").alias("src")) if sources is not None else both.select("src").distinct()
     known = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"))
     front = known
     step = both.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for d in range(1, limit + 1):
         reached = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        front = reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(d))
+        front = settled(reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(d)))
         known = known.unionByName(front)
     return known
 
@@ -97,13 +102,13 @@ def shortest_paths(edges: DataFrame, source: Column, limit: int, weight: Column
     Bellman and Ford do, and keep one path for each node.
     """
     w = weight if weight is not None else F.lit(1.0)
-    both = symmetric(edges.withColumn("w", w), "w").groupBy("src", "dst").agg(F.min("w").alias("w"))
+    both = settled(symmetric(edges.withColumn("w", w), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = both.select(source.alias("dst")).distinct().select("dst", F.lit(0.0).alias("cost"), F.array("dst").alias("path"))
     step = both.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "w")
     rank = F.struct(F.round("cost", 9).alias("c"), F.size("path").alias("n"), F.col("path").alias("p"))
     for _ in range(limit):
         more = best.join(step, "dst").where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("next")).alias("path"))
-        best = best.unionByName(more).groupBy("dst").agg(F.min_by(F.struct("cost", "path"), rank).alias("b")).select("dst", "b.cost", "b.path")
+        best = settled(best.unionByName(more).groupBy("dst").agg(F.min_by(F.struct("cost", "path"), rank).alias("b")).select("dst", "b.cost", "b.path"))
     return best
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailweave.functions.vectors import centroids, dot
+from trailweave.shipping import ship
 
 METHODS = ("kmeans", "diversity", "temporal_diversity")
 
@@ -82,6 +83,7 @@ def exemplars(df: DataFrame, place: str, by: list[str], id_: str, vector: str, m
         raise ValueError(f"unknown exemplar method: {method!r}")
     if method == "temporal_diversity" and most <= 3:
         return first_last_middle(df, place, by, id_, most)
+    ship(df.sparkSession)
     key, ident = df.schema[place].dataType.simpleString(), df.schema[id_].dataType.simpleString()
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.evidence import DISCRIMINATIVE, jaccard_strict, normalise_scene
+from trailweave.shipping import ship
 
 HALLS = ("corridor", "junction")
 DEFAULTS = {"visual": 0.425, "extra": 0.835, "landmark": 0.5, "scene_required": True, "exact": 0.95, "slack": 0.15}
@@ -104,6 +105,7 @@ def reconcile(places: DataFrame, exemplars: DataFrame, key: str, cfg: dict | Non
     observation_ids, exemplar_ids, marks, signs, merged_from (number of places).
     """
     c = DEFAULTS | (cfg or {})
+    ship(places.sparkSession)
     kind = places.schema[key].dataType.simpleString()
     pid = places.schema["place_id"].dataType.simpleString()
     ident = exemplars.schema["id"].dataType.simpleString()

@@ -1 +1,195 @@
-"""Queries."""
+"""Queries of the Bayes filter, trackers, gates, and of replays' evaluation."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from trailweave.functions import registry
+from trailweave.operators import sequence as seq
+from trailweave.plans.catalog import query, table
+from trailweave.plans.q_retrieval import _CAND, _candidates
+from trailweave.sources import store
+from trailweave.streaming import filter as bayes
+from trailweave.streaming import gate, tracker
+
+_EV = "ev AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+#: The prior of a path of four places.
+MATRIX = [[0.75, 0.15, 0.05, 0.05], [0.1, 0.75, 0.1, 0.05], [0.05, 0.1, 0.75, 0.1], [0.05, 0.05, 0.15, 0.75]]
+
+
+def _ev(s, d):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(s, d, "events").withColumn("pos", F.row_number().over(w) - 1)
+
+
+_EVIDENCE = "[(event_id % 11) / 10, (event_id % 7) / 10, (event_id % 5) / 10, (event_id % 3) / 10]"
+
+
+def _evidence():
+    return F.array(*[(F.col("event_id") % m) / 10.0 for m in (11, 7, 5, 3)])
+
+
+def _like_sql(t: float) -> str:
+    return f"list_transform([{_EVIDENCE}], lambda v: list_transform([list_transform(v, lambda x: exp((x - list_max(v)) / {t}))], lambda e: list_transform(e, lambda y: y / list_sum(e)))[1])[1]"
+
+
+@query("b1_softmax_likelihood", f"SELECT event_id, generate_subscripts(l, 1) - 1 AS place, round(unnest(l), 6) AS p FROM (SELECT event_id, {_like_sql(0.379)} AS l FROM events)")
+def softmax(s, d):
+    return table(s, d, "events").select("event_id", F.posexplode(bayes.softmax(_evidence(), 0.379)).alias("place", "p")).withColumn("p", F.round("p", 6))
+
+
+_M = "[" + ", ".join("[" + ", ".join(f"{x}::DOUBLE" for x in r) + "]" for r in MATRIX) + "]"
+_MOVE = "list_transform([1, 2, 3, 4], lambda j: list_sum(list_transform([1, 2, 3, 4], lambda i: prior[i] * m[i][j])))"
+
+
+@query(
+    "b2_b3_b4_b5_b6_filter_replay",
+    f"""WITH RECURSIVE {_EV}, mm AS (SELECT {_M} AS m), l AS (SELECT user_id, pos, CASE WHEN event_id % 13 = 0 THEN NULL ELSE {_like_sql(0.379)} END lk FROM ev),
+    r AS (SELECT DISTINCT user_id, (-1)::BIGINT pos, [0.25, 0.25, 0.25, 0.25]::DOUBLE[] prior, NULL::DOUBLE[] post FROM ev UNION ALL
+     SELECT x.user_id, x.pos, coalesce(x.p, prior), x.p FROM (SELECT l.user_id, l.pos, prior, CASE WHEN lk IS NOT NULL THEN list_transform([{_MOVE}], lambda v: list_transform([1, 2, 3, 4], lambda i: lk[i] * v[i] / list_sum(v)))[1] END p FROM r JOIN l ON l.user_id = r.user_id AND l.pos = r.pos + 1, mm) x),
+    z AS (SELECT *, list_sum(post) t FROM r WHERE pos >= 0)
+    SELECT user_id, pos, round(coalesce(list_max(post), 0), 6) AS best, round(CASE WHEN post IS NULL THEN 1 ELSE 1 - t END, 6) AS unknown, round(CASE WHEN post IS NULL THEN 1 ELSE list_sum(list_transform(post, lambda x: -(x / t) * ln(x / t + 1e-12))) / ln(4) END, 6) AS entropy FROM z""",
+)
+def filter_replay(s, d):
+    like = F.when(F.col("event_id") % 13 != 0, bayes.softmax(_evidence(), 0.379))
+    frames = F.transform(F.sort_array(F.collect_list(F.struct("pos", like.alias("l")))), lambda x: x["l"])
+    g = _ev(s, d).groupBy("user_id").agg(frames.alias("frames"))
+    matrix = F.array(*[F.array(*map(F.lit, r)) for r in MATRIX])
+    post = bayes.filter_replay(F.col("frames"), F.array(*[F.lit(0.25)] * 4), matrix)
+    rows = g.select("user_id", F.posexplode(post).alias("pos", "post"))
+    total = F.aggregate("post", F.lit(0.0), lambda a, x: a + x)
+    known = F.col("post").isNotNull()
+    return rows.select("user_id", F.col("pos").cast("long").alias("pos"), F.round(F.coalesce(F.array_max("post"), F.lit(0.0)), 6).alias("best"), F.round(F.when(known, 1 - total).otherwise(1.0), 6).alias("unknown"), F.round(F.when(known, bayes.entropy(F.col("post"), 4)).otherwise(1.0), 6).alias("entropy"))
+
+
+def world(goal: int | None = 3, **settings) -> tracker.World:
+    """A path of four places, as a tracker's map."""
+    hops = {a: {b: abs(a - b) for b in range(4)} for a in range(4)}
+    routes = {(a, b): list(range(a, b + 1) if a <= b else range(a, b - 1, -1)) for a in range(4) for b in range(4)}
+    return tracker.World(list(range(4)), {i: dict(enumerate(r)) for i, r in enumerate(MATRIX)}, hops, routes, goal, settings)
+
+
+def tracker_frames(s, d):
+    """Frames of users' events: places drift slowly with position, and now and then nothing fits."""
+    at = (F.col("pos") / 8).cast("int") % 4
+    cand = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(i.cast("long").alias("place"), F.when(i == at, 0.9).when(F.abs(i - at) == 1, 0.5).otherwise(0.2).alias("visual"), F.lit(0.5).alias("semantic")))
+    ranked = F.transform(F.sort_array(F.transform(cand, lambda c: F.struct((-c["visual"]).alias("k"), c.alias("c")))), lambda x: x["c"])
+    none = F.array().cast("array<struct<place:bigint,visual:double,semantic:double>>")
+    return _ev(s, d).select("user_id", F.col("pos").cast("long").alias("seq"), F.when(F.col("event_id") % 5 == 0, none).otherwise(ranked).alias("candidates"))
+
+
+@query("t1_t5_b7_d15_d18_tracker_replay")
+def tracker_replay(s, d):
+    out = tracker.replay(tracker_frames(s, d), "user_id", world(likelihood_temperature=0.1))
+    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
+
+
+@query(
+    "t6_legacy_tracker",
+    f"WITH {_EV}, a AS (SELECT *, list(event_id % 4) OVER (PARTITION BY user_id, value >= 25 ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) l FROM ev), v AS (SELECT user_id, pos, CASE WHEN value >= 25 THEN l[list_transform([l], lambda s: list_sort(list_transform(list_distinct(s), lambda x: [-len(list_filter(s, lambda y: y = x)), list_position(s, x)]))[1][2])[1]] END vote FROM a) SELECT user_id, pos AS seq, last_value(vote IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos) AS place_id FROM v",
+)
+def legacy_tracker(s, d):
+    frames = _ev(s, d).select("user_id", F.col("pos").cast("long").alias("seq"), (F.col("event_id") % 4).alias("place"), F.col("value").alias("score"))
+    return tracker.legacy_replay(frames, "user_id", 25.0)
+
+
+def gate_frames(s, d):
+    a = F.radians((F.col("event_id") % 24) * 15.0)
+    return _ev(s, d).select("user_id", F.col("pos").cast("long").alias("seq"), (F.col("pos") * 1.5).alias("ts"), F.array(F.cos(a), F.sin(a)).alias("v"), F.when(F.col("event_id") % 9 == 0, F.array(F.lit("blurry"))).otherwise(F.array().cast("array<string>")).alias("rejects"))
+
+
+@query(
+    "t8_d18_runtime_gate",
+    f"""WITH RECURSIVE {_EV}, f AS (SELECT user_id, pos, pos * 1.5 ts, radians((event_id % 24) * 15.0) a FROM ev),
+    r AS (SELECT user_id, pos, ts lt, a la, true run, 'novel' reason FROM f WHERE pos = 0 UNION ALL
+     SELECT user_id, pos, CASE WHEN run THEN ts ELSE lt END, CASE WHEN run THEN a ELSE la END, run, reason FROM (
+      SELECT f.user_id, f.pos, f.ts, f.a, lt, la, f.ts - lt > 5 OR 1 - cos(f.a - la) >= 0.15 run, CASE WHEN f.ts - lt > 5 THEN 'forced_interval' WHEN 1 - cos(f.a - la) < 0.15 THEN 'redundant' ELSE 'novel' END reason FROM r JOIN f ON f.user_id = r.user_id AND f.pos = r.pos + 1))
+    SELECT user_id, pos AS seq, run, reason FROM r""",
+)
+def runtime_gate(s, d):
+    return gate.gate(gate_frames(s, d), "user_id")
+
+
+@query("t7_d19_smart_sampler")
+def smart_sampler(s, d):
+    return gate.sample(gate_frames(s, d), "user_id").withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "w15_e1_reacquisition",
+    f"WITH {_EV}, st AS (SELECT user_id, pos, CASE event_id % 5 WHEN 0 THEN 'LOST' WHEN 1 THEN 'TRACKING' END st FROM ev), k AS (SELECT * FROM st WHERE st IS NOT NULL), i AS (SELECT *, CASE WHEN lag(st) OVER (PARTITION BY user_id ORDER BY pos) = st THEN 0 ELSE 1 END nw FROM k), r AS (SELECT user_id, st, sum(nw) OVER (PARTITION BY user_id ORDER BY pos) run, pos FROM i), b AS (SELECT user_id, st, run, min(pos) p FROM r GROUP BY ALL), e AS (SELECT user_id, st, lead(p) OVER (PARTITION BY user_id ORDER BY run) - p AS n FROM b) SELECT user_id, count(n) AS episodes, round(avg(n), 2) AS frames FROM e WHERE st = 'LOST' GROUP BY user_id",
+)
+def reacquisition(s, d):
+    state = F.when(F.col("event_id") % 5 == 0, "LOST").when(F.col("event_id") % 5 == 1, "TRACKING")
+    k = _ev(s, d).withColumn("st", state).where("st IS NOT NULL")
+    runs = seq.islands(k, ["user_id"], ["pos"], "st").groupBy("user_id", "run", "st").agg(F.min("pos").alias("p"))
+    e = runs.select("user_id", "st", (F.lead("p").over(W.partitionBy("user_id").orderBy("run")) - F.col("p")).alias("n")).where("st = 'LOST'")
+    return e.groupBy("user_id").agg(F.count("n").alias("episodes"), F.round(F.avg("n"), 2).alias("frames"))
+
+
+@query("e1_unknown_precision", f"WITH {_EV} SELECT user_id, round(avg((event_id % 4 <> event_id % 3)::INT), 4) AS unknown_precision FROM ev WHERE event_id % 5 IN (0, 2) GROUP BY user_id")
+def unknown_precision(s, d):
+    flagged = _ev(s, d).where((F.col("event_id") % 5).isin(0, 2))
+    return flagged.groupBy("user_id").agg(F.round(F.avg((F.col("event_id") % 4 != F.col("event_id") % 3).cast("int")), 4).alias("unknown_precision"))
+
+
+_VARIANTS = {"visual": (1.0, 0.0, 0.0, 0.0), "semantic": (0.5, 0.25, 0.0, 0.0), "temporal": (0.5, 0.25, 0.15, 0.0), "graph": (0.5, 0.25, 0.15, 0.1)}
+
+
+@query(
+    "e3_ablation",
+    f"WITH {_CAND}, t AS (SELECT k.*, label, CASE WHEN place = label THEN 0.55 ELSE 0.5 END sem, CASE WHEN place = query_id % 10 THEN 1.0 ELSE 0.5 END tmp, CASE WHEN (query_id + place) % 3 = 0 THEN 1.0 ELSE 0.5 END g FROM k JOIN e ON vec_id = query_id), "
+    + "v AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS variant, *, (score * {w[0]} + sem * {w[1]} + tmp * {w[2]} + g * {w[3]}) / {sum(w)} total FROM t" for n, w in _VARIANTS.items())
+    + "), r AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY total DESC, rank) nr FROM v) SELECT variant, count(*) AS n, round(avg((place = label)::INT), 4) AS top1 FROM r WHERE nr = 1 GROUP BY variant",
+)
+def ablation(s, d):
+    from trailweave.operators import retrieval
+
+    truth = table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    c = _candidates(s, d).join(truth, "query_id")
+    sem = F.when(F.col("place") == F.col("label"), 0.55).otherwise(0.5)
+    g = F.when((F.col("query_id") + F.col("place")) % 3 == 0, 1.0).otherwise(0.5)
+    out = None
+    for name, w in _VARIANTS.items():
+        top = retrieval.score_terms(c, sem, F.col("query_id") % 10, g, w).where("new_rank = 1")
+        row = top.agg(F.lit(name).alias("variant"), F.count("*").alias("n"), F.round(F.avg((F.col("place") == F.col("label")).cast("int")), 4).alias("top1"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("s6_s7_s12_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
+def map_round_trip(s, d):
+    import tempfile
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/maps/{uuid.uuid4().hex}"
+    obs = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    places = obs.groupBy(F.col("label").alias("place_id")).agg(F.sort_array(F.collect_list("id")).alias("observation_ids"))
+    nodes = places.select(F.col("place_id").alias("id"))
+    edges = s.sql("SELECT * FROM VALUES (0, 1, 0.9D), (1, 2, 0.7D) AS t(src, dst, confidence)")
+    names = s.sql("SELECT 0 AS place_id, 'Lobby' AS name")
+    store.write_map(path, places, nodes, edges, obs.where("id % 10 = 0"), names, obs, {"map_id": "m", "encoder": "e"})
+    return store.load_map(s, path)["manifest"].select("n_places", "n_edges", "n_observations")
+
+
+def _sizes() -> registry.Encoder:
+    return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+
+registry.register_encoder("sizes", _sizes)
+
+
+@query("m5_m6_encoders_and_fallbacks", "SELECT conv_id, turn, round(length(text) / sqrt(length(text) * length(text) + 1), 3) AS x, CASE WHEN length(text) % 2 = 0 THEN length(text) ELSE -1 END AS tag FROM conversations")
+def encoders_and_fallbacks(s, d):
+    def model(texts: list) -> list:
+        if any(len(t) % 2 for t in texts):
+            raise ValueError("odd")
+        return [len(t) for t in texts]
+
+    e = registry.encode(table(s, d, "conversations").select("conv_id", "turn", "text"), "text", "sizes")
+    t = registry.attach(e, "text", model, "int", "tag", -1)
+    return t.select("conv_id", "turn", F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("x"), "tag")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from trailweave.shipping import ship
+
 # Defaults of the sampling settings.
 SAMPLING = {"min_interval": 0.5, "novelty": 0.15, "sustained": 0.4, "window": 5, "keep_after": 2, "max_stale": 5.0}
 
@@ -44,6 +46,7 @@ def _gate(rows: pd.DataFrame, last: tuple | None, novelty: float, stale: float)
 
 def gate(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"], stale: float = SAMPLING["max_stale"]) -> DataFrame:
     """Each session's gate decisions: key, seq, run, reason. frames: key, seq, ts (seconds), v."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -55,6 +58,7 @@ def gate(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"], stal
 
 def gate_stream(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"], stale: float = SAMPLING["max_stale"]) -> DataFrame:
     """The same over a stream; the last frame that ran is the state of its session."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -101,6 +105,7 @@ def sample_session(rows: pd.DataFrame, s: dict | None = None) -> pd.DataFrame:
 
 def sample(frames: DataFrame, key: str, settings: dict | None = None) -> DataFrame:
     """The smart sampler over each session. frames: key, seq, ts, v, rejects (array of reasons)."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trailweave.streaming.filter import belief_entropy, belief_step, likelihoods
+from trailweave.shipping import ship
 
 # Defaults of the localization settings.
 SETTINGS = {
@@ -179,6 +180,7 @@ def _frames(rows: pd.DataFrame, t: Track, w: World) -> tuple[Track, list[dict]]:
 
 def replay(frames: DataFrame, key: str, world: World) -> DataFrame:
     """Tracks each session (``key``) of a table: seq, candidates (array of struct place, visual, semantic)."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -190,6 +192,7 @@ def replay(frames: DataFrame, key: str, world: World) -> DataFrame:
 
 def track_stream(frames: DataFrame, key: str, world: World) -> DataFrame:
     """The same over a stream: each session's memory is state of the query; frames come in order of seq."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
     cols = [key, *[c.split()[0] for c in OUT.split(", ")]]
 
@@ -217,6 +220,7 @@ def legacy_step(held: tuple, place: int | None, score: float, threshold: float,
 
 def legacy_replay(frames: DataFrame, key: str, threshold: float, last: int = 5) -> DataFrame:
     """The older tracker over each session: key, seq, place_id. frames: key, seq, place, score."""
+    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
