@@ -160,7 +160,7 @@ def ablation(s, d):
     return out
 
 
-@query("s6_s7_s12_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
+@query("s7_s8_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
 def map_round_trip(s, d):
     import tempfile
     import uuid
