@@ -86,6 +86,12 @@ def tracker_replay(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
 
 
+@query("d17_decision_log")
+def decision_log(s, d):
+    frames = tracker_frames(s, d)
+    return tracker.decision_log(tracker.replay(frames, "user_id", world()), frames, "user_id", 2).withColumn("candidates", F.size("candidates"))
+
+
 @query(
     "t6_legacy_tracker",
     f"WITH {_EV}, a AS (SELECT *, list(event_id % 4) OVER (PARTITION BY user_id, value >= 25 ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) l FROM ev), v AS (SELECT user_id, pos, CASE WHEN value >= 25 THEN l[list_transform([l], lambda s: list_sort(list_transform(list_distinct(s), lambda x: [-len(list_filter(s, lambda y: y = x)), list_position(s, x)]))[1][2])[1]] END vote FROM a) SELECT user_id, pos AS seq, last_value(vote IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos) AS place_id FROM v",
@@ -160,6 +166,18 @@ def ablation(s, d):
     return out
 
 
+@query(
+    "k8_term_breakdown",
+    f"WITH {_CAND}, t AS (SELECT *, CASE WHEN place = query_id % 10 THEN 1.0 ELSE 0.5 END tmp FROM k), u AS (SELECT *, score * 0.5 + 0.5 * 0.25 + tmp * 0.15 + 0.5 * 0.1 total FROM t) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, rank) AS rank, place, round(total, 4) AS total, round(score, 4) AS visual_term, 0.5 AS semantic_term, tmp AS temporal_term, 0.5 AS graph_term FROM u) WHERE rank <= 2",
+)
+def term_breakdown(s, d):
+    from trailweave.operators import retrieval
+
+    none = F.lit(None).cast("double")
+    top = retrieval.score_terms(_candidates(s, d), none, F.col("query_id") % 10, none).where("new_rank <= 2")
+    return top.select("query_id", F.col("new_rank").alias("rank"), "place", F.round("total", 4).alias("total"), F.round("score", 4).alias("visual_term"), "semantic_term", "temporal_term", "graph_term")
+
+
 @query("s7_s8_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
 def map_round_trip(s, d):
     import tempfile

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trailweave.streaming.filter import belief_entropy, belief_step, likelihoods
@@ -102,7 +103,7 @@ def step(t: Track, candidates: list[tuple[int, float, float]], w: World) -> tupl
     if candidates:
         wv, ws = w.get("w_visual"), w.get("w_semantic")
         like = likelihoods({p: (wv * v + ws * s) / (wv + ws) for p, v, s in candidates}, w.get("likelihood_temperature"))
-        prior = t.belief if t.belief is not None else {n: 1.0 / len(w.nodes) for n in w.nodes}
+        prior = t.belief or {n: 1.0 / len(w.nodes) for n in w.nodes}  # a belief that has come to nothing begins anew
         post = belief_step(prior, like, w.prior)
         t.belief = post
         if post:
@@ -206,6 +207,15 @@ def track_stream(frames: DataFrame, key: str, world: World) -> DataFrame:
     return frames.select(key, "seq", "candidates").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {OUT}", "track string", "append", GroupStateTimeout.NoTimeout)
 
 
+def decision_log(tracked: DataFrame, frames: DataFrame, key: str, best: int = 5) -> DataFrame:
+    """What was decided for each frame and on which candidates: rows for an append-only sink.
+
+    How many are kept is the sink's affair: drop old partitions, not the last rows of a buffer.
+    """
+    seen = frames.select(key, "seq", F.slice("candidates", 1, best).alias("candidates"))
+    return tracked.select(key, "seq", "state", "mode", "confidence_level", "unknown_mass", "place_id", F.col("confidence").alias("best_score")).join(seen, [key, "seq"])
+
+
 def legacy_step(held: tuple, place: int | None, score: float, threshold: float, last: int = 5) -> tuple[tuple, int | None]:
     """The older tracker: a weak frame keeps the last place; else the last predictions vote, the first of equals wins.
 
