@@ -270,6 +270,8 @@ def test_repeated_bytes(hard, empty, spark):
     want = sorted(zip([r.doc_id for r in src], suffix.brute_force([r.text for r in src])), key=str)
     got = sorted(((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix.repeated_bytes(hard).collect()), key=str)
     assert got == want
+    got = sorted(((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix.repeated_bytes(hard, hot_key=2).collect()), key=str)
+    assert got == want
     assert suffix.repeated_bytes(empty).count() == 0
 
 
@@ -287,8 +289,9 @@ def test_repeated_bytes_at_random(spark, seed):
             s = s[:i] + "X" + s[i + 1 :]
         docs.append(s)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated_bytes(df).collect()}
-    assert [got[i] for i in range(len(docs))] == suffix.brute_force(docs)
+    for hot in (suffix.HOT_KEY, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated_bytes(df, hot_key=hot).collect()}
+        assert [got[i] for i in range(len(docs))] == suffix.brute_force(docs)
 
 
 def test_suffix_sort_sorts():
@@ -448,7 +451,7 @@ def test_warc_odd_rows(spark):
 
 def test_token_counts(hard, empty, library, spark):
     texts = {r.doc_id: r.text for r in hard.collect()}
-    special = spark.createDataFrame([(1000, "a<|endoftext|>b <|ENDOFTEXT|> don't I'LL ﬁ Ǆ İstanbul ẖ H̱x ²3 a b\x85c\x1cd."), (1001, "x," * 500)], "doc_id long, text string")
+    special = spark.createDataFrame([(1000, "a<|endoftext|>b <|ENDOFTEXT|> don't I'LL ﬁ Ǆ İstanbul ẖ H̱x ²3 a b\x85c\x1cd e\x0bf\x0cg \u2028h"), (1001, "x," * 500)], "doc_id long, text string")
     docs = hard.select("doc_id", "text").unionByName(special)
     texts |= {r.doc_id: r.text for r in special.collect()}
     cache = fresh_path(spark, "cache")

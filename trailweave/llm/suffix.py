@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,10 @@ from trailweave.llm.work import ship, written
 
 #: The length of a repeated string, of the grams that bring repeats together, and so of windows of grams.
 LENGTH, GRAM = 200, 64
+#: Places of one key that a task compares at most; keys with more are split by what follows their gram.
+HOT_KEY = 5_000
+#: Offsets of windows in a range, at the first and second split.
+WIDTHS = (12, 1)
 #: Bytes that are hashed at once.
 CHUNK = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -192,28 +199,121 @@ def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        uid = b.column("uid").to_numpy(zero_copy_only=False)
+        uid, ids = b.column("uid").to_numpy(zero_copy_only=False), b.column("doc_id")
         parts, doc, at = _pieces(b.column("body").to_pylist())
         for i, j in _blocks(parts):
             d, key, pos, least, most = anchors(parts[i:j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(uid[doc[i:j][d]]), pa.array((pos + at[i:j][d]).astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))],
-                ["key", "uid", "pos", "least", "most"],
+                [pa.array(key.view(np.int64)), ids.take(pa.array(doc[i:j][d])), pa.array(uid[doc[i:j][d]]), pa.array((pos + at[i:j][d]).astype(np.int32)), pa.array(least.astype(np.int16)), pa.array(most.astype(np.int16))],
+                ["key", "doc_id", "uid", "pos", "least", "most"],
             )
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each text, with those that overlap or touch made one."""
+    by = np.lexsort((lo, uid))
+    uid, lo, hi = uid[by], lo[by], hi[by]
+    if not len(uid):
+        return uid, lo, hi
+    text = np.cumsum(np.r_[False, uid[1:] != uid[:-1]])
+    span = int(hi.max()) + 2
+    far = np.maximum.accumulate(hi + text * span) - text * span
+    new = np.r_[True, (uid[1:] != uid[:-1]) | (lo[1:] > far[:-1])]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(uid) - 1]
+    return uid[new], lo[new], far[last]
+
+
+_CONTEXT = "key long, uid long, pos int, least short, most short, ctx binary"
+
+
+def _rows(key, uid, pos, least, most, ctx) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((key, uid, pos, least, most, ctx), kinds)], ["key", "uid", "pos", "least", "most", "ctx"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], tuple | None]]:
+    """Places of anchors with the bytes that their windows cover: (key, uid, pos, least, most, bytes).
+
+    Of places whose bytes are equal, such as those of a line that fills texts, one goes on to be
+    compared; that they all repeat is settled here: ranges (uid, start, stop), or None.
+    """
+    first: dict[tuple, list] = {}
+    size = 0
+
+    def flush() -> tuple[list[tuple], tuple | None]:
+        again = [(u, p - k[2], p - k[1] + LENGTH) for k, v in first.items() if len(v) > 1 for u, p in v]
+        return [(k[0], *v[0], k[1], k[2], k[3]) for k, v in first.items()], _merged(*(np.array(c, np.int64) for c in zip(*again))) if again else None
+
     for b in batches:
         for uid, body, found in zip(b.column("uid").to_pylist(), b.column("body").to_pylist(), b.column("found")):
             s = found.values
-            cols = [s.field(k).to_numpy(zero_copy_only=False) for k in ("key", "pos", "least", "most")]
-            key, pos, least, most = cols
-            ctx = [body[p - m : p - n + LENGTH] for p, n, m in zip(pos.tolist(), least.tolist(), most.tolist())]
-            for i in range(0, len(ctx), 20_000):
-                j = slice(i, i + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[j]), pa.array(np.full(len(ctx[j]), uid)), pa.array(pos[j]), pa.array(least[j]), pa.array(most[j]), pa.array(ctx[j], pa.binary())], ["key", "uid", "pos", "least", "most", "ctx"]
-                )
+            key, pos, least, most = (s.field(k).to_pylist() for k in ("key", "pos", "least", "most"))
+            for k, p, n, m in zip(key, pos, least, most):
+                first.setdefault((k, n, m, body[p - m : p - n + LENGTH]), []).append((uid, p))
+            size += len(key)
+            if size >= 100_000:
+                yield flush()
+                first, size = {}, 0
+    yield flush()
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, known in _places(batches):
+        for i in range(0, len(rows), 20_000):
+            yield _rows(*zip(*rows[i : i + 20_000]))
+        if known:
+            yield _settled(*known)
+
+
+_FINER = "key long, uid long, pos int, least short, most short, stop int"
+
+
+def _finer(width: int):
+    """Splits the windows of each place into those whose offsets lie in one range of ``width``.
+
+    What all windows of a range share is longer than the gram at the anchor, and its hash is the key
+    of the new place: places around a passage that very many texts hold part ways where the texts
+    do. Rows with a stop are ranges that are settled; their key is null.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _FINER.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int32())
+
+        def out(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for rows, known in _places(batches):
+            for i in range(0, len(rows), 5_000):
+                new = []
+                for key, uid, pos, least, most, ctx in rows[i : i + 5_000]:
+                    for s in range(least // width * width, most + 1, width):
+                        core = _core(ctx, most, s, width)
+                        h = xxhash.xxh3_64_intdigest(core, (key ^ (s * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF)
+                        new.append((h - (1 << 64) if h >> 63 else h, uid, pos, max(least, s), min(most, s + width - 1), None))
+                if new:
+                    yield out(*zip(*new))
+            if known:
+                uid, lo, hi = known
+                none = [None] * len(uid)
+                yield out(none, uid, lo, none, none, hi)
+
+    return split
+
+
+def _core(ctx: bytes, most: int, s: int, width: int) -> bytes:
+    """The bytes that windows of offsets s to s + width - 1 share; the anchor is ``most`` bytes into ctx.
+
+    Each window of the range holds them, so a place that has one of the windows has them all.
+    """
+    return ctx[most - s : most - (s + width - 1) + LENGTH]
+
+
+def _settled(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Ranges that are known to repeat, as rows among contexts: ctx is null, key spreads them, and
+    pos and the 15-bit halves of the length say where."""
+    n = hi - lo
+    return _rows(_mix(uid.view(np.uint64)).view(np.int64), uid, lo, n & 0x7FFF, n >> 15, [None] * len(uid))
 
 
 def repeats(key: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,17 +382,20 @@ def repeats(key: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: list[byte
     sizes = np.unique(group, return_counts=True)
     many = np.isin(key, sizes[0][sizes[1] > 1]) & is_rep
     open_keys = np.unique(key[mine[~flag & many[mine]]])
-    w = np.flatnonzero(np.isin(key, open_keys)[mine] & is_rep[mine])
-    if len(w):
-        off = w - base[mine[w]] + least[mine[w]]
-        s = anchor[mine[w]] - off
-        code = _mix(h.of(s, s + LENGTH) ^ _mix(key[mine[w]].view(np.uint64) + off.astype(np.uint64)))
-        o = np.argsort(code, kind="stable")
-        eq = np.flatnonzero(code[o][1:] == code[o][:-1])
-        x, y = o[eq], o[eq + 1]
+    some = np.flatnonzero(np.isin(key, open_keys) & is_rep)
+    for o in range(0, LENGTH - GRAM + 1, 8) if len(some) else ():
+        off = np.arange(o, o + 8)
+        r, c = np.nonzero((least[some, None] <= off) & (off <= most[some, None]))
+        r, d = some[r], off[c]
+        w = base[r] + d - least[r]
+        at = anchor[r] - d
+        code = _mix(h.of(at, at + LENGTH) ^ _mix(key[r].view(np.uint64) + d.astype(np.uint64)))
+        by_code = np.argsort(code, kind="stable")
+        eq = np.flatnonzero(code[by_code][1:] == code[by_code][:-1])
+        x, y = by_code[eq], by_code[eq + 1]
         need = ~(flag[w[x]] & flag[w[y]])
         x, y = x[need], y[need]
-        sure = h.equal(s[x], s[y], np.full(len(x), LENGTH))
+        sure = h.equal(at[x], at[y], np.full(len(x), LENGTH))
         flag[w[x[sure]]] = True
         flag[w[y[sure]]] = True
     flag &= ~proven[mine]
@@ -305,29 +408,43 @@ def repeats(key: np.ndarray, least: np.ndarray, most: np.ndarray, ctx: list[byte
     return np.concatenate(rows_), np.concatenate(lo_), np.concatenate(hi_)
 
 
+#: Contexts that a task compares at once, or those of one key if they are more.
+_STEP = 4_000
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, uid, pos, least, most, ctx), sorted by key; emits repeated byte ranges of texts."""
-    names = ("key", "uid", "pos", "least", "most")
+
+    def out(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["uid", "start", "stop"])
 
     def of(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t.column(k).to_numpy() for k in names}
+        c = {k: t.column(k).to_numpy() for k in ("key", "uid", "pos", "least", "most")}
         row, lo, hi = repeats(c["key"], c["least"], c["most"], t.column("ctx").to_pylist())
         pos = c["pos"][row].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c["uid"][row]), pa.array((pos - hi).astype(np.int32)), pa.array((pos - lo + LENGTH).astype(np.int32))], ["uid", "start", "stop"])
+        return out(*_merged(c["uid"][row], pos - hi, pos - lo + LENGTH))
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
+        known = b.filter(pc.is_null(b.column("ctx")))
+        if known.num_rows:
+            lo, low, high = (known.column(k).to_numpy().astype(np.int64) for k in ("pos", "least", "most"))
+            yield out(known.column("uid").to_numpy(), lo, lo + low + (high << 15))
+        b = b.filter(pc.is_valid(b.column("ctx")))
         held.append(b)
         size += b.num_rows
-        if size < 20_000:
+        if size < _STEP:
             continue
         t = pa.Table.from_batches(held)
-        key = t.column("key").to_numpy()
-        whole = int(np.searchsorted(key == key[-1], True))
-        if whole:
-            yield of(t.slice(0, whole))
-            held, size = t.slice(whole).to_batches(), t.num_rows - whole
+        cuts = np.flatnonzero(np.diff(t.column("key").to_numpy())) + 1
+        begin = 0
+        for end in cuts.tolist():
+            if end - begin >= _STEP or end == cuts[-1]:
+                yield of(t.slice(begin, end - begin))
+                begin = end
+        held = t.slice(begin).combine_chunks().to_batches()
+        size = t.num_rows - begin
     if size:
         yield of(pa.Table.from_batches(held))
 
@@ -347,7 +464,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["uid", "n_removed", "n_spans", "kept"])
 
 
-def repeated_bytes(docs: DataFrame, digest_only: bool = True) -> DataFrame:
+def _with_texts(rows: DataFrame, firsts: DataFrame, places: DataFrame) -> DataFrame:
+    """uid, body and the places ``found`` of each text that has any."""
+    listed = places.groupBy("uid").agg(F.collect_set(F.struct("key", "pos", "least", "most")).alias("found"))
+    mine = listed.join(firsts, listed["uid"] == firsts["u"]).select("u", "first_id", "found")
+    return rows.join(mine, (rows["uid"] == mine["u"]) & rows["doc_id"].eqNullSafe(mine["first_id"])).select("uid", "body", "found")
+
+
+def repeated_bytes(docs: DataFrame, digest_only: bool = True, hot_key: int = HOT_KEY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or kept, binary).
 
     Bytes are removed that a LENGTH-byte string covers which also starts anywhere else. Texts are
@@ -355,6 +479,9 @@ def repeated_bytes(docs: DataFrame, digest_only: bool = True) -> DataFrame:
     one. A text of LENGTH bytes or more that several rows hold goes as a whole; one copy stands for
     it from there on. Each distinct text gives anchors (about one in 69 positions); anchors whose gram occurs once
     are done; the others, with the bytes around them, meet by key, and each task sorts its suffixes.
+    Keys with over ``hot_key`` places, such as those of a passage in a third of all texts, are split
+    twice: by what all windows in a range of offsets share, and then by whole windows, of which equal
+    ones need only one place for each batch. So no task compares an unbounded number of places.
 
     Null texts are empty; short texts keep all; repeated rows count as copies; null ids stay; an
     empty table gives an empty result; other columns are not read.
@@ -369,17 +496,30 @@ def repeated_bytes(docs: DataFrame, digest_only: bool = True) -> DataFrame:
         per = written(per.select("uid", "copies", "first_id", (F.col("a") != F.col("b")).alias("clash")), "distinct-texts")
         if per.where("clash").isEmpty():
             break
-    found = written(rows.where(F.length("body") >= LENGTH).select("uid", "body").mapInArrow(_find_anchors, "key long, uid long, pos int, least short, most short"), "anchors")
-    # Copies of a text give the same places; a key counts if it has two different ones.
-    extremes = found.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("uid", "pos") for n, f in (("lo", F.min), ("hi", F.max))])
-    shared = extremes.where("lo_uid < hi_uid OR lo_pos < hi_pos").select("key")
-    hits = found.join(shared, "key", "left_semi").groupBy("uid", "pos", "key", "least", "most").agg(F.lit(1).alias("one"))
-    listed = hits.groupBy("uid").agg(F.collect_list(F.struct("key", "pos", "least", "most")).alias("found"))
-    mine = written(per.join(listed, "uid").select("uid", "first_id", "copies", "found"), "shared-anchors")
-    once = rows.join(mine, (rows["uid"] == mine["uid"]) & rows["doc_id"].eqNullSafe(mine["first_id"])).select(rows["uid"], "body", "found")
-    ctx = once.mapInArrow(_contexts, "key long, uid long, pos int, least short, most short, ctx binary")
+    found = written(rows.where(F.length("body") >= LENGTH).select("doc_id", "uid", "body").mapInArrow(_find_anchors, "key long, doc_id long, uid long, pos int, least short, most short"), "anchors")
+    # Of copies of a text, which give the same places, one brings its anchors along.
+    firsts = per.select(F.col("uid").alias("u"), "first_id")
+    cold, settled = [], []
+    for width in (*WIDTHS, None):
+        # A key counts if it has two different places.
+        extremes = found.groupBy("key").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("uid", "pos") for n, f in (("lo", F.min), ("hi", F.max))])
+        shared = extremes.where("lo_uid < hi_uid OR lo_pos < hi_pos").select(F.col("key").alias("k"), (F.col("n") > hot_key).alias("hot"))
+        hits = found.join(shared, found["key"] == F.col("k"))
+        if "doc_id" in found.columns:
+            hits = hits.join(firsts, (hits["uid"] == F.col("u")) & hits["doc_id"].eqNullSafe(F.col("first_id")))
+        hits = written(hits.select("uid", "key", "pos", "least", "most", "hot"), "shared-anchors")
+        if width is None or hits.where("hot").isEmpty():
+            cold.append(hits.drop("hot"))
+            break
+        cold.append(hits.where("NOT hot").drop("hot"))
+        finer = written(_with_texts(rows, firsts, hits.where("hot")).mapInArrow(_finer(width), _FINER), "finer-anchors")
+        settled.append(finer.where("key IS NULL").select("uid", F.col("pos").alias("start"), "stop"))
+        found = finer.where("key IS NOT NULL").drop("stop")
+    places = reduce(DataFrame.unionByName, cold)
+    ctx = _with_texts(rows, firsts, places).mapInArrow(_contexts, _CONTEXT)
     ranges = ctx.repartition("key").sortWithinPartitions("key", "uid", "pos").mapInArrow(_judge, "uid long, start int, stop int")
-    spans = written(ranges.groupBy("uid").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")), "spans")
+    ranges = reduce(DataFrame.unionByName, [ranges, *settled])
+    spans = written(ranges.groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     single = per.where("copies = 1").join(spans, "uid").select(F.col("uid").alias("u"), "first_id", "spans")
     left = rows.join(single, (rows["uid"] == single["u"]) & rows["doc_id"].eqNullSafe(single["first_id"])).select("uid", "body", "spans").mapInArrow(_remove, "uid long, n_removed long, n_spans long, kept binary")
     kept = F.sha2("kept", 256).alias("kept_sha256") if digest_only else F.col("kept")
