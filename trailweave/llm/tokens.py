@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm.work import fresh_path, ship, written
 
-#: Strings whose ids a worker keeps at most; beyond that it forgets all and goes on.
-CACHE_WORDS = 300_000
-_SPACE = re.compile(r"[ \t\n\r]+")
+#: Words whose ids a worker keeps at most; beyond that it forgets them and goes on.
+CACHE_WORDS = 600_000
+#: Bytes of text that are split into words at once.
+BATCH_BYTES = 4 << 20
+_TAILS = string.punctuation
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -23,7 +27,7 @@ class Encoder:
     """Ids of whole texts, by ``tokenizers`` for .json and ``sentencepiece`` for .model files."""
 
     def __init__(self, path: str) -> None:
-        self.words: dict[str, bytes] = {}
+        self.forget()
         self.split = False
         if path.endswith(".model"):
             import sentencepiece
@@ -49,47 +53,87 @@ class Encoder:
             self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.last[[i for w, i in vocab.items() if w.endswith(end)]] = True
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of all chunks into ``words``. Letters are encoded many words at a time."""
-        letters: dict[str, list[tuple[str, str]]] = {}
-        for c in chunks:
-            core = c.rstrip(".,")
-            if core.isalpha():
-                letters.setdefault(core.lower() if core.isascii() else core, []).append((c, c[len(core) :]))
-            else:
-                self.words[c] = self.ids(c)
-        cores = list(letters)
-        for i in range(0, len(cores), 512):
-            part = cores[i : i + 512]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+    def forget(self) -> None:
+        """Word -> number; the ids of word i are pool[begin[i] : begin[i + 1]]. Word 0 is empty."""
+        self.words: dict[str, int] = {"": 0}
+        self.begin = np.zeros(2, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str], plain: bool) -> None:
+        """Keeps the ids of new words. ``plain``: of lower-case letters only; these are encoded many at a time."""
+        lens, ids = [], []
+        for i in range(0, len(words), 1024 if plain else 1):
+            part = words[i : i + (1024 if plain else 1)]
+            got = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1 if plain else [len(got)]
             if len(ends) != len(part):  # a word that isn't one run of letters for the library
-                found = [self.ids(w) for w in part]
-            else:
-                raw = ids.tobytes()
-                found = [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            for w, x in zip(part, found):
-                for chunk, tail in letters[w]:
-                    if tail and tail not in self.words:
-                        self.words[tail] = self.ids(tail)
-                    self.words[chunk] = x + self.words[tail] if tail else x
+                each = [np.frombuffer(self.ids(w), "<u4") for w in part]
+                got, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            lens.append(np.diff(ends, prepend=0))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(lens))])
+        self.pool = np.concatenate([self.pool, *ids])
+
+    def numbers(self, words: list[str], plain: bool) -> np.ndarray:
+        get = self.words.get
+        out = [get(w, -1) for w in words]
+        new = list(dict.fromkeys(w for w, i in zip(words, out) if i < 0))
+        if new:
+            self.learn(new, plain)
+            get = self.words.__getitem__
+            out = [get(w) if i < 0 else i for w, i in zip(words, out)]
+        return np.array(out, np.int64)
+
+    def chunks_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk two words whose ids, one after the other, are its own.
+
+        Letters and then ASCII punctuation are two runs for the library, whatever they are; the case
+        of A-Z doesn't matter to it where only letters stand. Other chunks are words by themselves.
+        """
+        core = pc.utf8_rtrim(chunks, characters=_TAILS)
+        alpha = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        letters = pc.ascii_lower(core.filter(pa.array(alpha)))
+        first[alpha] = self.numbers(letters.to_pylist(), True)
+        odd = pc.not_equal(pc.binary_length(chunks), pc.binary_length(core)).to_numpy(zero_copy_only=False) & alpha
+        at = np.flatnonzero(odd)
+        cut = pc.binary_length(core).to_numpy(zero_copy_only=False)[at].tolist()
+        second[at] = self.numbers([c.encode()[n:].decode() for c, n in zip(chunks.take(pa.array(at)).to_pylist(), cut)], False)
+        first[~alpha] = self.numbers(chunks.filter(pa.array(~alpha)).to_pylist(), False)
+        return first, second
+
+    def _batch(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        codes = parts.values.dictionary_encode()
+        first, second = self.chunks_of(codes.dictionary)
+        code = codes.indices.to_numpy(zero_copy_only=False)
+        # The words of all chunks in turn, and from them the ids.
+        pair = np.stack([first, second], axis=1)[code].ravel()
+        lens = (self.begin[1:] - self.begin[:-1])[pair]
+        ends = np.cumsum(lens)
+        ids = self.pool[np.repeat(self.begin[pair] - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4").tobytes()
+        stops = np.concatenate([[0], ends])[2 * parts.offsets.to_numpy()] * 4
+        stops = stops.tolist()
+        for a, b in zip(stops, stops[1:]):
+            yield ids[a:b]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
         if not self.split:
             yield from map(self.ids, texts)
             return
-        for i in range(0, len(texts), 64):
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            parts = [_SPACE.split(t) for t in texts[i : i + 64]]
-            new = {w for p in parts for w in p}.difference(self.words)
-            new.discard("")
-            self.words[""] = b""
-            self.learn(new)
-            get = self.words.__getitem__
-            for p in parts:
-                yield b"".join(map(get, p))
+        batch, size = [], 0
+        for t in texts:
+            batch.append(t)
+            size += len(t)
+            if size >= BATCH_BYTES:
+                yield from self._batch(batch)
+                batch, size = [], 0
+        if batch:
+            yield from self._batch(batch)
 
 
 def encoder(path: str) -> Encoder:
