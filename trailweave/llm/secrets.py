@@ -14,7 +14,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Parts that are reported only together: who, where and a string that may be a key.
 IDENT = r"""([Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
 ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\x20\x09-\x0D"'<>]*"""
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+#: Whole runs of 16 characters or more; those without a digit or a letter aren't weak secrets.
+WEAK = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
 SPAN = "array<struct<start:int,ord:int,stop:int>>"
 _BLOCK = 64
@@ -39,19 +40,26 @@ def prefix_sums(a: Column) -> Column:
     return F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(sums(a))
 
 
-def find_spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
+def find_spans(text: Column, pattern: str, kind: int, keep=None, parts=None) -> Column:
     """Leftmost non-overlapping matches of ``pattern``: start, ord and stop in code points, stop exclusive.
 
-    ``keep``: (group, least length): matches whose group is shorter are found, then dropped. Where a
-    match begins follows from the lengths of all matches and of what lies between them.
+    ``keep``: (group, least length): matches whose group is shorter are found, then dropped; ``parts``:
+    so are those in which not each of these patterns is found. Where a match begins follows from the
+    lengths of all matches and of what lies between them.
     """
     rx = F.lit(pattern)
     group, least = keep or (0, 0)
 
+    def weight(x: Column) -> Column:
+        ok = F.lit(True)
+        for p in parts or ():
+            ok = ok & x.rlike(p)
+        return F.when(ok, F.length(x)).otherwise(-1)
+
     def place(m: Column) -> Column:
         own = F.transform(m, lambda x: F.length(x))
         gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-        both = F.struct(own.alias("own"), gaps.alias("gaps"), F.transform(F.regexp_extract_all(text, rx, F.lit(group)), lambda x: F.length(x)).alias("part"))
+        both = F.struct(own.alias("own"), gaps.alias("gaps"), F.transform(F.regexp_extract_all(text, rx, F.lit(group)), weight).alias("part"))
         return let(
             both,
             lambda s: let(
@@ -115,7 +123,7 @@ def scan_secrets(text: Column, scope: int = 256) -> Column:
         base = F.concat(find_spans(t, ASSIGN, 0, (2, 6)), F.filter(find_spans(t, ACCESS, 1), lambda s: s["stop"] - s["start"] >= 20), find_spans(t, HEX, 2))
 
         def more(s: Column) -> Column:
-            linked = F.when((F.size(s["endpoint"]) == 0), none).otherwise(link_parts(s["base"], find_spans(t, IDENT, 3), s["endpoint"], find_spans(t, WEAK, 5), scope))
+            linked = F.when((F.size(s["endpoint"]) == 0), none).otherwise(link_parts(s["base"], find_spans(t, IDENT, 3), s["endpoint"], find_spans(t, WEAK, 5, parts=("[0-9]", "[A-Za-z]")), scope))
             return F.struct(F.sort_array(s["base"]).alias("base"), linked.alias("linked"))
 
         return let(F.struct(base.alias("base"), find_spans(t, ENDPOINT, 4).alias("endpoint")), more)
