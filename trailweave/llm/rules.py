@@ -125,13 +125,15 @@ def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delt
     holdout = rows.join(good_labels(labels), "doc_id", "left_semi").where(~base_failed(F.col("f")))
     out = _verdict(rows, fit_cutoffs(holdout, alpha, delta))
     kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
-    return out.select("doc_id", *[F.col(f"f.{c}").alias(c) for c in FEATURES[:5]], "base_failed", kept.alias("kept"), "rejected_by")
+    return out.select("doc_id", *[F.col(f"f.{c}").alias(c) for c in FEATURES[:5]], "base_failed", kept.alias("kept"), F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and no others."""
-    known = docs.select("doc_id", stratum(docs["lang"]).alias("stratum"), "text").join(good_labels(labels), "doc_id", "left_semi")
-    holdout = known.select("stratum", text_features(F.col("text")).alias("f")).where(~base_failed(F.col("f")))
-    featured = docs.select(F.struct("*").alias("row"), stratum(docs["lang"]).alias("stratum"), text_features(docs["text"]).alias("f"))
-    out = _verdict(featured, fit_cutoffs(holdout, alpha, delta))
+    """The rows of ``docs`` that the rules keep, with all their columns and no others.
+
+    Rows are written with their features, which are computed once; texts are never shuffled.
+    """
+    rows = written(docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), stratum(docs["lang"]).alias("stratum"), text_features(docs["text"]).alias("f")), "rule-rows")
+    holdout = rows.select("doc_id", "stratum", "f").join(good_labels(labels), "doc_id", "left_semi").where(~base_failed(F.col("f")))
+    out = _verdict(rows, fit_cutoffs(holdout, alpha, delta))
     return out.where(~F.col("base_failed") & (F.size("rejected_by") == 0)).select("row.*")
