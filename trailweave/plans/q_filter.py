@@ -80,16 +80,46 @@ def tracker_frames(s, d):
     return _ev(s, d).select("user_id", F.col("pos").cast("long").alias("seq"), F.when(F.col("event_id") % 5 == 0, none).otherwise(ranked).alias("candidates"))
 
 
-@query("t1_t5_b7_d15_d18_tracker_replay")
+_STEP = """
+ SELECT *, list_transform([0, 1, 2, 3], lambda i: has AND (mode <> 'LOCAL' OR place IS NULL OR abs(i - place) <= 2)) okl FROM (SELECT r.user_id, r.belief, r.state, r.mode, r.place, r.pending, r.pn, r.weak, r.gn, f.pos npos, f.event_id % 5 <> 0 has, (f.pos // 8) % 4 here FROM r JOIN ev f ON f.user_id = r.user_id AND f.pos = r.pos + 1)"""
+_STEP = f"SELECT *, len(list_filter(okl, lambda x: x)) > 0 anyc, list_transform([0, 1, 2, 3], lambda i: CASE WHEN okl[i + 1] THEN (0.5 * CASE WHEN i = here THEN 0.9 WHEN abs(i - here) = 1 THEN 0.5 ELSE 0.2 END + 0.125) / 0.75 END) evd FROM ({_STEP})"
+_STEP = f"SELECT *, list_transform(evd, lambda x: coalesce(exp((x - list_max(evd)) / 0.1), 0)) e, coalesce(belief, [0.25, 0.25, 0.25, 0.25]) prior FROM ({_STEP})"
+_STEP = f"SELECT *, list_transform([1, 2, 3, 4], lambda i: e[i] / list_sum(e)) lk, {_MOVE} mv FROM ({_STEP}), mm"
+_STEP = f"SELECT *, CASE WHEN anyc THEN list_transform([1, 2, 3, 4], lambda i: lk[i] * mv[i] / list_sum(mv)) END post FROM ({_STEP})"
+_STEP = f"SELECT *, coalesce(list_max(post), 0) score, list_position(post, list_max(post)) - 1 best, CASE WHEN anyc THEN greatest(0, 1 - list_sum(post)) ELSE 1 END unk, CASE WHEN anyc THEN list_sum(list_transform(list_filter(post, lambda x: x > 0), lambda x: -(x / list_sum(post)) * ln(x / list_sum(post) + 1e-12))) / ln(4) ELSE 1 END ent, coalesce(post, belief) bel FROM ({_STEP})"
+_STEP = f"SELECT *, best IS NULL OR coalesce(best = place, false) same, CASE WHEN best IS NULL THEN pending WHEN best = place THEN NULL ELSE best END pend1, CASE WHEN best IS NULL OR coalesce(best = place, false) THEN 0 WHEN pending = best THEN pn + 1 ELSE 1 END pn1 FROM ({_STEP})"
+_STEP = f"SELECT *, NOT same AND (score > 0.576 OR pn1 >= 3) chg FROM ({_STEP})"
+_STEP = f"SELECT *, CASE WHEN chg THEN best ELSE place END place1, CASE WHEN NOT chg THEN pend1 END pend2, CASE WHEN chg THEN 0 ELSE pn1 END pn2, CASE WHEN chg THEN 0 ELSE weak END weak1, score > 0.426 back, state IN ('LOST', 'REACQUIRING') away FROM ({_STEP})"
+_STEP = f"SELECT *, back AND ent < 0.6 AND (pend2 IS NULL OR place1 IS NULL OR coalesce(pend2 = best, false)) good FROM ({_STEP})"
+_STEP = f"SELECT *, CASE WHEN away THEN weak1 WHEN good THEN 0 ELSE weak1 + 1 END weak2, NOT away AND NOT good AND weak1 + 1 >= 3 AND (score < 0.126 OR unk > 0.6) lost FROM ({_STEP})"
+_STEP = f"SELECT *, CASE WHEN away THEN CASE WHEN back THEN 'TRACKING' ELSE 'REACQUIRING' END WHEN good THEN 'TRACKING' WHEN lost THEN 'LOST' ELSE 'UNCERTAIN' END st, CASE WHEN away AND back OR good AND place1 IS NOT NULL THEN 'LOCAL' WHEN lost OR state = 'REACQUIRING' THEN 'GLOBAL' ELSE mode END md, coalesce(place1, best) rep FROM ({_STEP})"
+_STEP = f"SELECT *, coalesce(rep = 3, false) AND st = 'TRACKING' home FROM ({_STEP})"
+_STEP = f"SELECT *, CASE WHEN rep IS NULL THEN gn WHEN home THEN gn + 1 ELSE 0 END gn1 FROM ({_STEP})"
+
+
+_TRACK = f"""WITH RECURSIVE {_EV}, mm AS (SELECT {_M} AS m),
+    r AS (SELECT DISTINCT user_id, (-1)::BIGINT pos, NULL::DOUBLE[] belief, 'UNCERTAIN' state, 'GLOBAL' mode, NULL::BIGINT place, NULL::BIGINT pending, 0::BIGINT pn, 0::BIGINT weak, 0::BIGINT gn, NULL::BIGINT rep, 0::DOUBLE score, false chg, false arr, 0::DOUBLE unk, 0::DOUBLE ent, false has, false home FROM ev UNION ALL
+     SELECT user_id, npos, CASE WHEN NOT lost THEN bel END, st, md, place1, pend2, pn2, weak2, gn1, rep, score, chg, home AND gn1 >= 2, unk, ent, has, home FROM ({_STEP})),
+    o AS (SELECT *, CASE WHEN arr THEN 'ARRIVED' ELSE state END os FROM r WHERE pos >= 0)"""
+_LEVEL = "CASE WHEN unk > 0.4 THEN 'UNKNOWN' WHEN score > 0.526 AND has AND ent < 0.4 THEN 'HIGH' WHEN score < 0.226 OR NOT has THEN 'LOW' ELSE 'MEDIUM' END"
+
+
+@query(
+    "t1_t5_b7_d15_d18_tracker_replay",
+    f"""{_TRACK}
+    SELECT user_id, pos AS seq, rep AS place_id, round(score, 6) AS confidence, chg AS changed, os IN ('UNCERTAIN', 'LOST') AS low_confidence, arr AS arrived, CASE WHEN rep IS NOT NULL AND NOT home THEN array_to_string(range(rep, 4), ',') END AS route, os AS state, mode,
+     {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, round(ent, 6) AS entropy FROM o""",
+)
 def tracker_replay(s, d):
     out = tracker.replay(tracker_frames(s, d), "user_id", world(likelihood_temperature=0.1))
-    return out.withColumns({c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
+    return out.withColumn("route", F.array_join("route", ",")).withColumns({c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
 
 
-@query("d17_decision_log")
+@query("d17_decision_log", f"{_TRACK} SELECT user_id, pos AS seq, os AS state, mode, {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, rep AS place_id, round(score, 6) AS best_score, CASE WHEN has THEN 2 ELSE 0 END AS candidates FROM o")
 def decision_log(s, d):
     frames = tracker_frames(s, d)
-    return tracker.decision_log(tracker.replay(frames, "user_id", world()), frames, "user_id", 2).withColumn("candidates", F.size("candidates"))
+    log = tracker.decision_log(tracker.replay(frames, "user_id", world(likelihood_temperature=0.1)), frames, "user_id", 2)
+    return log.withColumns({"candidates": F.size("candidates"), "unknown_mass": F.round("unknown_mass", 6), "best_score": F.round("best_score", 6)})
 
 
 @query(
@@ -118,9 +148,21 @@ def runtime_gate(s, d):
     return gate.gate(gate_frames(s, d), "user_id")
 
 
-@query("t7_d19_smart_sampler")
+@query(
+    "t7_d19_smart_sampler",
+    f"""WITH RECURSIVE {_EV}, f AS (SELECT user_id, pos, pos * 0.25 ts, radians((event_id % 24) * 15.0) a, event_id % 9 = 0 rej FROM ev),
+    r AS (SELECT DISTINCT user_id, (-1)::BIGINT pos, NULL::DOUBLE lt, NULL::DOUBLE la, []::DOUBLE[] rec, 0 owed, NULL::VARCHAR decision, NULL::DOUBLE d, '' why FROM ev UNION ALL
+     SELECT user_id, pos, CASE WHEN decision = 'keep' THEN ts ELSE lt END, CASE WHEN decision = 'keep' THEN a ELSE la END, rec, owed, decision, d, CASE WHEN drp <> '' THEN drp WHEN sus THEN 'sustained_change' ELSE '' END FROM (
+      SELECT *, CASE WHEN drp <> '' THEN 'drop' ELSE 'keep' END decision FROM (
+       SELECT *, CASE WHEN rej THEN 'blurry' WHEN d IS NULL OR held OR sus THEN '' WHEN d < 0.15 THEN 'redundant' WHEN ts - lt < 0.5 THEN 'too_frequent' ELSE '' END drp, CASE WHEN sus THEN 2 WHEN rej THEN owed0 ELSE greatest(0, owed0 - 1) END owed FROM (
+        SELECT *, NOT rej AND NOT held AND d IS NOT NULL AND len(rec) = 5 AND list_min(rec) > 0.4 sus FROM (
+         SELECT user_id, pos, ts, a, rej, lt, la, owed0, owed0 > 0 held, d, CASE WHEN d IS NULL THEN rec0 ELSE list_append(rec0, d)[-5:] END rec FROM (
+          SELECT f.*, r.lt, r.la, r.rec rec0, r.owed owed0, CASE WHEN NOT f.rej THEN 1 - cos(f.a - r.la) END d FROM r JOIN f ON f.user_id = r.user_id AND f.pos = r.pos + 1))))))
+    SELECT user_id, pos AS seq, decision, round(d, 6) AS distance, why AS reasons FROM r WHERE pos >= 0""",
+)
 def smart_sampler(s, d):
-    return gate.sample(gate_frames(s, d), "user_id").withColumn("distance", F.round("distance", 6))
+    frames = gate_frames(s, d).withColumn("ts", F.col("seq") * 0.25)
+    return gate.sample(frames, "user_id").withColumns({"distance": F.round("distance", 6), "reasons": F.array_join("reasons", ",")})
 
 
 @query(
