@@ -504,6 +504,8 @@ def repeated_bytes(docs: DataFrame, digest_only: bool = True, hot_key: int = HOT
         # A key counts if it has two different places.
         extremes = found.groupBy("key").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("uid", "pos") for n, f in (("lo", F.min), ("hi", F.max))])
         shared = extremes.where("lo_uid < hi_uid OR lo_pos < hi_pos").select(F.col("key").alias("k"), (F.col("n") > hot_key).alias("hot"))
+        # Written, so that the join reads two plain exchanges and can split those of hot keys.
+        shared = written(shared, "shared-keys")
         hits = found.join(shared, found["key"] == F.col("k"))
         if "doc_id" in found.columns:
             hits = hits.join(firsts, (hits["uid"] == F.col("u")) & hits["doc_id"].eqNullSafe(F.col("first_id")))
