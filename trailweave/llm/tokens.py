@@ -193,5 +193,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
         .mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
     )
     fresh.dropDuplicates(["digest"]).write.mode("append").parquet(cache)
-    counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).join(meta.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # Written, so that the join reads two plain exchanges and can split that of a hot digest; and a
+    # cache of many runs brings along what these documents need.
+    counts = written(counts, "token-counts")
     return meta.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
