@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import bayes, decontam, packing, rules, secrets, shard, simhash, suffix, tokens, warc
 from trailweave.llm.queries import tokenizer_path
-from trailweave.llm.work import fresh_path
+from trailweave.llm.work import fresh_path, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
@@ -41,7 +41,7 @@ def hard(spark):
     rows = [(i, t, ["en", None, "fr"][i % 3], ["src0", "src0", None, "s1"][i % 4], None) for i, t in enumerate(hard_texts())]
     rows += [rows[9], rows[9], (None, "a null id", None, None, None), (None, "a null id", None, None, None), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    return df.withColumns({c: F.lit(1) for c in CLASH}).localCheckpoint()
+    return written(df.withColumns({c: F.lit(1) for c in CLASH}), "hard")
 
 
 @pytest.fixture(scope="module")

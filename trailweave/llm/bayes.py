@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.work import ship, small_side, written
+from trailweave.llm.work import BROADCAST_BYTES, ship, small_side, written
 
 #: Labelled documents that the classifier is fitted on at most: those of least hash.
 SAMPLE = 20_000
@@ -68,7 +68,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    # At most ``most`` ids: texts needn't move to meet them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked) if most * 32 <= BROADCAST_BYTES else picked, "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,12 +104,12 @@ def site_posteriors(scored: DataFrame, host: str = "host", path: str = "path") -
     hosts = written(paths.groupBy(host).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")), "hosts")
 
     def moments(df: DataFrame, s: str, n: str) -> tuple[float, float]:
-        m = df.agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.count("*").alias("g"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("q")).first()
+        m = df.agg(F.sum(s).alias("s"), F.sum(n).alias("n"), F.count("*").alias("g"), F.sum(F.col(s) * F.col(s) / F.col(n)).alias("q"), F.sum(F.col(n).cast("double") * F.col(n)).alias("n2")).first()
         if not m["n"]:
             return 0.5, 1.0
         mu = m["s"] / m["n"]
         within = mu * (1 - mu)
-        between = (m["q"] - m["s"] * mu - (m["g"] - 1) * within) / max(1.0, m["n"] * (1 - 1 / max(2, m["g"])))
+        between = (m["q"] - m["s"] * mu - (m["g"] - 1) * within) / max(1.0, m["n"] - m["n2"] / m["n"])
         strength = within / between - 1 if between > 1e-9 else 1e6
         return mu, float(min(1e6, max(1.0, strength)))
 
