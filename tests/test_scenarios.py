@@ -234,7 +234,11 @@ def test_sampler():
 
     v = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
     rows = [(0, 0.0, v(0), []), (1, 1.0, v(5), []), (2, 1.2, v(90), ["blurry"]), (3, 1.3, v(90), []), (4, 1.4, v(180), []), (5, 2.0, v(180), [])]
-    out = gate.sample_session(pd.DataFrame(rows, columns=["seq", "ts", "v", "rejects"]))
+    memory, out = gate.NO_SAMPLES, []
+    for row in pd.DataFrame(rows, columns=["seq", "ts", "v", "rejects"]).itertuples():
+        memory, values = gate.sample_step(memory, row, gate.SAMPLING)
+        out.append(values)
+    out = pd.DataFrame(out, columns=["seq", "decision", "distance", "reasons"])
     assert out["decision"].tolist() == ["keep", "drop", "drop", "keep", "drop", "keep"]
     assert out["reasons"].tolist() == [[], ["redundant"], ["blurry"], [], ["too_frequent"], []]
 

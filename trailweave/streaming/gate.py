@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trailweave.shipping import ship
+from trailweave.streaming.fold import fold
 
 # Defaults of the sampling settings.
 SAMPLING = {"min_interval": 0.5, "novelty": 0.15, "sustained": 0.4, "window": 5, "keep_after": 2, "max_stale": 5.0}
@@ -33,27 +34,16 @@ def gate_step(last: tuple | None, ts: float, v: np.ndarray | None, novelty: floa
 GATE_OUT = "seq long, run boolean, reason string"
 
 
-def _gate(rows: pd.DataFrame, last: tuple | None, novelty: float, stale: float) -> tuple[tuple | None, list[tuple]]:
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        v = None if r.v is None else np.asarray(r.v, np.float64)
-        run, why = gate_step(last, r.ts, v, novelty, stale)
-        if run:
-            last = (r.ts, v)
-        out.append((r.seq, run, why))
-    return last, out
+def _one(last: tuple | None, row, novelty: float, stale: float) -> tuple[tuple | None, tuple]:
+    v = None if row.v is None else np.asarray(row.v, np.float64)
+    run, why = gate_step(last, row.ts, v, novelty, stale)
+    return ((row.ts, v) if run else last), (row.seq, run, why)
 
 
 def gate(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"], stale: float = SAMPLING["max_stale"]) -> DataFrame:
     """Each session's gate decisions: key, seq, run, reason. frames: key, seq, ts (seconds), v."""
-    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
-
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_gate(rows, None, novelty, stale)[1], columns=["seq", "run", "reason"])
-        return out.assign(**{key: k[0]})[[key, "seq", "run", "reason"]]
-
-    return frames.select(key, "seq", "ts", "v").groupBy(key).applyInPandas(run, f"{key} {kind}, {GATE_OUT}")
+    return fold(frames, key, "seq", ["ts", "v"], lambda: None, lambda last, row: _one(last, row, novelty, stale), f"{key} {kind}, {GATE_OUT}")
 
 
 def gate_stream(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"], stale: float = SAMPLING["max_stale"]) -> DataFrame:
@@ -66,49 +56,48 @@ def gate_stream(frames: DataFrame, key: str, novelty: float = SAMPLING["novelty"
         if state.exists:
             ts, v = state.get
             last = (ts, None if v is None else np.asarray(v, np.float64))
-        last, out = _gate(pd.concat(list(batches)), last, novelty, stale)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            last, values = _one(last, row, novelty, stale)
+            out.append((k[0], *values))
         if last is not None:
             state.update((float(last[0]), None if last[1] is None else last[1].tolist()))
-        yield pd.DataFrame(out, columns=["seq", "run", "reason"]).assign(**{key: k[0]})[[key, "seq", "run", "reason"]]
+        yield pd.DataFrame(out, columns=[key, "seq", "run", "reason"])
 
     return frames.select(key, "seq", "ts", "v").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {GATE_OUT}", "ts double, v array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def sample_session(rows: pd.DataFrame, s: dict | None = None) -> pd.DataFrame:
-    """Decisions of the smart sampler for one session, in order: seq, decision, distance, reasons.
+def sample_step(memory: tuple, row, c: dict) -> tuple[tuple, tuple]:
+    """One decision of the smart sampler: seq, decision, distance, reasons.
 
     Frames are held against the last one kept. Those that quality rejects go. A sustained change (a
     full window of distances above its threshold) keeps the frame and the next few; any other must
-    be novel and late enough after the last one kept.
+    be novel and late enough after the last one kept. memory: (last kept, recent distances, frames owed).
     """
-    c = SAMPLING | (s or {})
-    last, recent, owed, out = None, [], 0, []
-    for r in rows.sort_values("seq").itertuples():
-        why = list(r.rejects) if r.rejects is not None else []
-        d, kept = None, not why
+    last, recent, owed = memory
+    why = list(row.rejects) if row.rejects is not None else []
+    d, kept = None, not why
+    if kept:
+        v = np.asarray(row.v, np.float64)
+        held, owed = owed > 0, max(0, owed - 1)
+        if last is not None:
+            d = distance(v, last[1])
+            recent = [*recent, d][-c["window"] :]
+            if not held and len(recent) == c["window"] and min(recent) > c["sustained"]:
+                held, owed, why = True, c["keep_after"], ["sustained_change"]
+            if not held:
+                why = ["redundant"] if d < c["novelty"] else ["too_frequent"] if row.ts - last[0] < c["min_interval"] else []
+                kept = not why
         if kept:
-            v = np.asarray(r.v, np.float64)
-            held, owed = owed > 0, max(0, owed - 1)
-            if last is not None:
-                d = distance(v, last[1])
-                recent = [*recent, d][-c["window"] :]
-                if not held and len(recent) == c["window"] and min(recent) > c["sustained"]:
-                    held, owed, why = True, c["keep_after"], ["sustained_change"]
-                if not held:
-                    why = ["redundant"] if d < c["novelty"] else ["too_frequent"] if r.ts - last[0] < c["min_interval"] else []
-                    kept = not why
-            if kept:
-                last = (r.ts, v)
-        out.append((r.seq, "keep" if kept else "drop", d, why))
-    return pd.DataFrame(out, columns=["seq", "decision", "distance", "reasons"])
+            last = (row.ts, v)
+    return (last, recent, owed), (row.seq, "keep" if kept else "drop", d, why)
+
+
+NO_SAMPLES = (None, [], 0)
 
 
 def sample(frames: DataFrame, key: str, settings: dict | None = None) -> DataFrame:
     """The smart sampler over each session. frames: key, seq, ts, v, rejects (array of reasons)."""
-    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
-
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return sample_session(rows, settings).assign(**{key: k[0]})[[key, "seq", "decision", "distance", "reasons"]]
-
-    return frames.select(key, "seq", "ts", "v", "rejects").groupBy(key).applyInPandas(run, f"{key} {kind}, seq long, decision string, distance double, reasons array<string>")
+    c = SAMPLING | (settings or {})
+    return fold(frames, key, "seq", ["ts", "v", "rejects"], lambda: NO_SAMPLES, lambda m, row: sample_step(m, row, c), f"{key} {kind}, seq long, decision string, distance double, reasons array<string>")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trailweave.streaming.filter import belief_entropy, belief_step, likelihoods
+from trailweave.streaming.fold import fold
 from trailweave.shipping import ship
 
 # Defaults of the localization settings.
@@ -94,7 +95,7 @@ def step(t: Track, candidates: list[tuple[int, float, float]], w: World) -> tupl
     Evidence for the belief is visual and semantic only; where the tracker was enters through the
     prior. Equal beliefs go to the smaller place id.
     """
-    t = Track(**(asdict(t)))
+    t = replace(t)
     margin = candidates[0][1] - candidates[1][1] if len(candidates) > 1 else candidates[0][1] if candidates else 0.0
     if t.mode == "LOCAL" and t.place in w.hops:
         reach = w.hops[t.place]
@@ -171,38 +172,34 @@ def _advance(t: Track, best: int | None, score: float, unknown: float, entropy:
     return t.state
 
 
-def _frames(rows: pd.DataFrame, t: Track, w: World) -> tuple[Track, list[dict]]:
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        t, status = step(t, [(int(c["place"]), float(c["visual"]), float(c["semantic"])) for c in (r.candidates if r.candidates is not None else [])], w)
-        out.append({"seq": r.seq, **status})
-    return t, out
+_FIELDS = [c.split()[0] for c in OUT.split(", ")]
+
+
+def _one(t: Track, row, w: World) -> tuple[Track, tuple]:
+    seen = row.candidates if row.candidates is not None else []
+    t, status = step(t, [(int(c["place"]), float(c["visual"]), float(c["semantic"])) for c in seen], w)
+    return t, (row.seq, *(status[f] for f in _FIELDS[1:]))
 
 
 def replay(frames: DataFrame, key: str, world: World) -> DataFrame:
     """Tracks each session (``key``) of a table: seq, candidates (array of struct place, visual, semantic)."""
-    ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
-
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, out = _frames(rows, Track(), world)
-        return pd.DataFrame(out).assign(**{key: k[0]})[[key, *[c.split()[0] for c in OUT.split(", ")]]]
-
-    return frames.select(key, "seq", "candidates").groupBy(key).applyInPandas(run, f"{key} {kind}, {OUT}")
+    return fold(frames, key, "seq", ["candidates"], Track, lambda t, row: _one(t, row, world), f"{key} {kind}, {OUT}")
 
 
 def track_stream(frames: DataFrame, key: str, world: World) -> DataFrame:
     """The same over a stream: each session's memory is state of the query; frames come in order of seq."""
     ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
-    cols = [key, *[c.split()[0] for c in OUT.split(", ")]]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         t = Track.load(state.get[0]) if state.exists else Track()
-        rows = pd.concat(list(batches))
-        t, out = _frames(rows, t, world)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            t, values = _one(t, row, world)
+            out.append((k[0], *values))
         state.update((t.dump(),))
-        yield pd.DataFrame(out).assign(**{key: k[0]})[cols]
+        yield pd.DataFrame(out, columns=[key, *_FIELDS])
 
     return frames.select(key, "seq", "candidates").groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {OUT}", "track string", "append", GroupStateTimeout.NoTimeout)
 
@@ -233,12 +230,8 @@ def legacy_replay(frames: DataFrame, key: str, threshold: float, last: int = 5)
     ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
-    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held, out = ((), None), []
-        for r in rows.sort_values("seq").itertuples():
-            held, place = legacy_step(held, None if pd.isna(r.place) else int(r.place), r.score, threshold, last)
-            out.append(place)
-        return pd.DataFrame({key: k[0], "seq": rows["seq"].sort_values().to_numpy(), "place_id": pd.array(out, "Int64")})
+    def one(held: tuple, row) -> tuple:
+        held, place = legacy_step(held, None if pd.isna(row.place) else int(row.place), row.score, threshold, last)
+        return held, (row.seq, place)
 
-    run_: Callable = run
-    return frames.select(key, "seq", "place", "score").groupBy(key).applyInPandas(run_, f"{key} {kind}, seq long, place_id long")
+    return fold(frames, key, "seq", ["place", "score"], lambda: ((), None), one, f"{key} {kind}, seq long, place_id long")
