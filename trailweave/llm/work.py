@@ -7,18 +7,16 @@ the session names in ``spark.checkpoint.dir``, so that a lost executor costs a t
 from __future__ import annotations
 
 import tempfile
-import threading
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.shipping import ship
+
+__all__ = ["BROADCAST_BYTES", "fresh_path", "let", "literal_rows", "shared_dir", "ship", "small_side", "sweep", "written"]
 #: The largest table, in estimated bytes, that is ever broadcast on purpose.
 BROADCAST_BYTES = 8 << 20
-_LOCK = threading.Lock()
-_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,21 +43,6 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application."""
-    app = spark.sparkContext.applicationId
-    with _LOCK:
-        if app in _SHIPPED:
-            return
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp()) / "trailweave.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        spark.sparkContext.addPyFile(str(target))
-        _SHIPPED.add(app)
-
-
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once a row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
