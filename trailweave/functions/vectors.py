@@ -82,6 +82,35 @@ def blocked_products(left: DataFrame, right: DataFrame, block: int = 2048) -> Da
     return l.groupBy("bl", "br").cogroup(r.groupBy("bl", "br")).applyInArrow(multiply, f"a {ta}, b {tb}, sim double")
 
 
+def pair_statistics(df: DataFrame, above: float, block: int = 2048) -> DataFrame:
+    """Inner products of all pairs of rows (id, label, v) with different ids, by whether labels are equal.
+
+    Returns same, n, total, over: the pairs, the sum of their products, and how many exceed ``above``.
+    As in ``blocked_products`` a task multiplies two blocks of ``block`` rows, but only sums leave it.
+    Rows without an id, a label or a vector are in no pair.
+    """
+
+    ship(df.sparkSession)
+    df = df.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
+    n = max(1, -(-df.count() // block))
+    at, other = F.col("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", other)
+    tiles = dealt.withColumns({"lo": F.least(at, "other"), "hi": F.greatest(at, "other")}).drop("other")
+
+    def summed(t: pa.Table) -> pa.Table:
+        v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        ids, label, bucket = (t.column(c).to_numpy() for c in ("id", "label", "bucket"))
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        a, b = bucket == lo, bucket == hi
+        sims, same = v[a] @ v[b].T, label[a][:, None] == label[b]
+        pair = ids[a][:, None] < ids[b] if lo == hi else np.ones(same.shape, bool)
+        kinds = [(s, sims[pair & (same == s)]) for s in (True, False)]
+        return pa.table({"same": [s for s, _ in kinds], "n": [len(x) for _, x in kinds], "total": [float(x.sum()) for _, x in kinds], "over": [int((x > above).sum()) for _, x in kinds]})
+
+    sums = tiles.groupBy("lo", "hi").applyInArrow(summed, "same boolean, n long, total double, over long")
+    return sums.groupBy("same").agg(*[F.sum(c).alias(c) for c in ("n", "total", "over")])
+
+
 def best_matches(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """Exact k best items of each query by inner product: (query_id, rank, id, score), ties to the smaller id.
 

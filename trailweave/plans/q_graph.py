@@ -145,11 +145,10 @@ def edge_pr(s, d):
     f"WITH RECURSIVE {_T}, x AS (SELECT label, vec_id, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT a.label = b.label same, list_dot_product(a.v, b.v) s FROM x a JOIN x b ON a.vec_id < b.vec_id), r AS (SELECT id, id AS y FROM n UNION SELECT r.id, b.dst FROM r JOIN b ON b.src = r.y), c AS (SELECT id, min(y) c FROM r GROUP BY id) SELECT round(avg(s) FILTER (WHERE same) / (avg(s) FILTER (WHERE same) + avg(s) FILTER (WHERE NOT same)), 4) AS purity, round(avg((s > 0.2)::INT) FILTER (WHERE NOT same), 4) AS duplicate_rate, (SELECT count(DISTINCT c) - 1 FROM c) AS fragmentation FROM p",
 )
 def graph_metrics(s, d):
-    from trailweave.functions.vectors import dot
+    from trailweave.functions.vectors import pair_statistics
 
-    x = table(s, d, "embeddings").where("vec_id % 10 = 0")
-    a, b = x.alias("a"), x.alias("b")
-    p = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select((F.col("a.label") == F.col("b.label")).alias("same"), dot(F.col("a.embedding"), F.col("b.embedding")).alias("s"))
-    same, diff = F.avg(F.when(F.col("same"), F.col("s"))), F.avg(F.when(~F.col("same"), F.col("s")))
-    m = p.agg(F.round(same / (same + diff), 4).alias("purity"), F.round(F.avg(F.when(~F.col("same"), (F.col("s") > 0.2).cast("int"))), 4).alias("duplicate_rate"))
+    p = pair_statistics(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v")), 0.2)
+    mean = lambda c, kind: F.sum(F.when(kind, F.col(c))) / F.nullif(F.sum(F.when(kind, F.col("n"))), F.lit(0))
+    same, diff = mean("total", F.col("same")), mean("total", ~F.col("same"))
+    m = p.agg(F.round(same / (same + diff), 4).alias("purity"), F.round(mean("over", ~F.col("same")), 4).alias("duplicate_rate"))
     return m.crossJoin(graph.components(_nodes(s, d), _edges(s, d)).agg((F.countDistinct("component") - 1).alias("fragmentation")))
