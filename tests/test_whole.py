@@ -32,3 +32,14 @@ def test_pair_statistics_do_not_depend_on_blocks(spark, sf_dir, emb):
         rows = {r.same: r for r in vectors.pair_statistics(e, 0.2, block).collect()}
         assert rows[True].n + rows[False].n == n * (n - 1) // 2
         assert rows[False].over == int(((emb[2] @ emb[2].T > 0.2) & (emb[1][:, None] != emb[1])).sum()) // 2
+
+
+def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
+    v = emb[2]
+    x, y = (v[:-2] * v[1:-1]).sum(1), np.sort((v[:-2] * v[2:]).sum(1))
+    rows = catalog.queries()["a17_e7_recalibrated_thresholds"](spark, sf_dir).collect()
+    assert sorted(r.old for r in rows) == [-0.9, 0.0, 0.1, 0.3]
+    for r in rows:
+        p = (x <= r.old).mean()
+        new = max(0.0, r.old + y.mean() - x.mean()) if r.old <= np.quantile(x, 0.01) else np.quantile(y, p)
+        assert r.percentile == pytest.approx(p, abs=1e-6) and r.new == pytest.approx(new, abs=1e-5)
