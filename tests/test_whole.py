@@ -43,3 +43,9 @@ def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
         p = (x <= r.old).mean()
         new = max(0.0, r.old + y.mean() - x.mean()) if r.old <= np.quantile(x, 0.01) else np.quantile(y, p)
         assert r.percentile == pytest.approx(p, abs=1e-6) and r.new == pytest.approx(new, abs=1e-5)
+
+
+def test_choose_k_tries_the_whole_sweep(spark, sf_dir):
+    rows = sorted(catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect())
+    assert [r.k for r in rows] == list(range(3, 13))
+    assert [r.k for r in rows if r.best] == [max(rows, key=lambda r: (r.silhouette, -r.k)).k]

@@ -105,7 +105,7 @@ def nearest_members(s, d):
 
 @query("m1_m2_choose_k")
 def choose_k(s, d):
-    return cluster.choose_k(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", range(3, 6))
+    return cluster.choose_k(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
 def _places(s, d):
