@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailweave.functions import vectors
+from trailweave.operators import cluster
 from trailweave.plans import catalog
 
 
@@ -49,3 +50,24 @@ def test_choose_k_tries_the_whole_sweep(spark, sf_dir):
     rows = sorted(catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect())
     assert [r.k for r in rows] == list(range(3, 13))
     assert [r.k for r in rows if r.best] == [max(rows, key=lambda r: (r.silhouette, -r.k)).k]
+
+
+def test_every_row_has_one_cluster(spark, sf_dir, emb):
+    ids, _, v = emb
+    rows = sorted(catalog.queries()["m2_cluster_assignment"](spark, sf_dir).collect())
+    assert [r.vec_id for r in rows] == ids.tolist()
+    k = next(r.k for r in catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect() if r.best)
+    own = np.array([r.cluster for r in rows])
+    assert set(own) == set(range(k))
+    # A k-means result: nearly all rows are nearest to the mean of their own cluster.
+    means = np.array([v[own == c].mean(0) for c in range(k)])
+    near = ((v[:, None] - means) ** 2).sum(2).argmin(1)
+    assert (near == own).mean() > 0.9
+
+
+def test_clusters_of_clear_groups(spark):
+    at = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]
+    e = spark.createDataFrame([(i, [x + 0.01 * (i % 5), y + 0.01 * (i % 7)]) for i, (x, y) in enumerate(at * 20)], "id long, v array<double>")
+    got = {r.id: r.cluster for r in cluster.clustered(e, "v", 3).collect()}
+    assert len(got) == 60 and len({got[i] for i in range(3)}) == 3
+    assert all(got[i] == got[i % 3] for i in got)

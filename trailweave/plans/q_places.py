@@ -108,6 +108,13 @@ def choose_k(s, d):
     return cluster.choose_k(table(s, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
 
 
+@query("m2_cluster_assignment")
+def cluster_assignment(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    k = cluster.choose_k(e, "vec_id", "embedding").where("best").first().k
+    return cluster.clustered(e, "embedding", k).select("vec_id", "cluster")
+
+
 def _places(s, d):
     scene = F.expr("CASE vec_id % 4 WHEN 0 THEN 'room' WHEN 1 THEN 'corridor' WHEN 2 THEN 'unknown' ELSE 'corridor_junction' END")
     e = table(s, d, "embeddings").withColumn("place", F.floor(F.col("vec_id") / 20)).withColumn("scene", F.when(F.col("place") % 3 == 0, "corridor").otherwise(scene))
