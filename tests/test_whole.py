@@ -71,3 +71,10 @@ def test_clusters_of_clear_groups(spark):
     got = {r.id: r.cluster for r in cluster.clustered(e, "v", 3).collect()}
     assert len(got) == 60 and len({got[i] for i in range(3)}) == 3
     assert all(got[i] == got[i % 3] for i in got)
+
+
+def test_scan_has_all_rows_in_order(spark, sf_dir, emb):
+    ids, label, _ = emb
+    found, *scan = catalog.queries()["s4_s5_lookup_and_scan"](spark, sf_dir).collect()
+    assert (found.vec_id, found.label, found.position) == (42, label[ids.tolist().index(42)], None)
+    assert [(r.vec_id, r.label, r.position) for r in scan] == [(i, c, n) for n, (i, c) in enumerate(zip(ids.tolist(), label.tolist()))]

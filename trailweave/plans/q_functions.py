@@ -201,7 +201,8 @@ def boxes(s, d):
 @query("s4_s5_lookup_and_scan", "SELECT vec_id, label FROM embeddings WHERE vec_id = 42 UNION ALL SELECT vec_id, label FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5)")
 def lookup_and_scan(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("ts"), "label")
-    return store.lookup(e, 42).unionByName(store.in_order(e).limit(5)).select(F.col("id").alias("vec_id"), "label")
+    scan = store.in_order(store.with_index(e, ["ts", "id"])).withColumnRenamed("index", "position")
+    return store.lookup(e, 42).withColumn("position", F.lit(None).cast("long")).unionByName(scan).select(F.col("id").alias("vec_id"), "label", "position")
 
 
 @query("s13_k10_fixed_interval", "SELECT vec_id, label FROM embeddings WHERE vec_id % 15 = 0")
