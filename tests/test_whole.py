@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import vectors
 from trailweave.operators import cluster
-from trailweave.plans import catalog
+from trailweave.plans import catalog, q_graph
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,23 @@ def test_scan_has_all_rows_in_order(spark, sf_dir, emb):
     found, *scan = catalog.queries()["s4_s5_lookup_and_scan"](spark, sf_dir).collect()
     assert (found.vec_id, found.label, found.position) == (42, label[ids.tolist().index(42)], None)
     assert [(r.vec_id, r.label, r.position) for r in scan] == [(i, c, n) for n, (i, c) in enumerate(zip(ids.tolist(), label.tolist()))]
+
+
+def test_far_places_on_a_sparse_graph(spark, sf_dir, monkeypatch):
+    """Places 9 to 16 in a row, and a heavy edge from 9 to 16."""
+    run = range(9, 17)
+    edges = [(i, i + 1, 100) for i in run[:-1]]
+    of = lambda rows: lambda s, d: s.createDataFrame(rows, "src long, dst long, forward long")
+    query = lambda name: catalog.queries()[name](spark, sf_dir).collect()
+    monkeypatch.setattr(q_graph, "_nodes", lambda s, d: s.createDataFrame([(i,) for i in run], "id long"))
+    monkeypatch.setattr(q_graph, "_edges", of(edges))
+    assert {(r.src, r.dst): r.hops for r in query("g9_hop_distances")} == {(a, b): abs(a - b) for a in run for b in run}
+    assert {r.dst: r.path for r in query("g10_fewest_hops")} == {i: ">".join(map(str, range(9, i + 1))) for i in run}
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_type", "ts", "event_id").collect()
+    jumps = {r.event_type: 0 for r in e}
+    for a, b in zip(e, e[1:]):
+        p, q = a.user_id % 40, b.user_id % 40
+        jumps[b.event_type] += a.event_type == b.event_type and p in run and q in run and abs(p - q) > 1
+    assert {r.event_type: r.jumps for r in query("w14_e8_false_jumps")} == jumps
+    monkeypatch.setattr(q_graph, "_edges", of([*edges, (9, 16, 1)]))
+    assert {r.dst: r.path for r in query("g10_shortest_paths")}[16] == "9>10>11>12>13>14>15>16"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,37 +79,44 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def hops(edges: DataFrame, limit: int, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, hops) of all pairs up to ``limit`` hops apart, each node itself at 0.
+def hops(edges: DataFrame, limit: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, hops) of all pairs that are connected, or up to ``limit`` hops apart; each node itself at 0.
 
-    Breadth first: a round joins the last frontier with the edges and drops what is known.
+    Breadth first: a round joins the last frontier with the edges and drops what is known. Rounds end
+    when one adds nothing.
     """
     both = settled(symmetric(edges).distinct())
     nodes = sources.select(F.col("id").alias("src")) if sources is not None else both.select("src").distinct()
     known = nodes.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops"))
     front = known
     step = both.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for d in range(1, limit + 1):
+    for d in count(1) if limit is None else range(1, limit + 1):
         reached = front.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
         front = settled(reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(d)))
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
     return known
 
 
-def shortest_paths(edges: DataFrame, source: Column, limit: int, weight: Column | None = None) -> DataFrame:
-    """Cheapest path from one node to each node of at most ``limit`` edges: dst, cost, path.
+def shortest_paths(edges: DataFrame, source: Column, limit: int | None = None, weight: Column | None = None) -> DataFrame:
+    """Cheapest path from one node to each node that it reaches: dst, cost, path; of at most ``limit`` edges if that is given.
 
     Of equally cheap paths that with fewer edges, then that of smaller ids. Rounds relax edges as
-    Bellman and Ford do, and keep one path for each node.
+    Bellman and Ford do, and keep one path for each node; they end when one improves nothing.
     """
     w = weight if weight is not None else F.lit(1.0)
     both = settled(symmetric(edges.withColumn("w", w), "w").groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = edges.sparkSession.range(1).select(source.alias("dst")).select("dst", F.lit(0.0).alias("cost"), F.array("dst").alias("path"))
     step = both.select(F.col("src").alias("dst"), F.col("dst").alias("next"), "w")
     rank = F.struct(F.round("cost", 9).alias("c"), F.size("path").alias("n"), F.col("path").alias("p"))
-    for _ in range(limit):
+    for _ in count() if limit is None else range(limit):
         more = best.join(step, "dst").where(~F.array_contains("path", F.col("next"))).select(F.col("next").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("next")).alias("path"))
-        best = settled(best.unionByName(more).groupBy("dst").agg(F.min_by(F.struct("cost", "path"), rank).alias("b")).select("dst", "b.cost", "b.path"))
+        new = settled(best.unionByName(more).groupBy("dst").agg(F.min_by(F.struct("cost", "path"), rank).alias("b")).select("dst", "b.cost", "b.path"))
+        done = new.join(best, ["dst", "path"], "left_anti").isEmpty()
+        best = new
+        if done:
+            break
     return best
 
 

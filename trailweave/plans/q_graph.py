@@ -75,7 +75,7 @@ def khop(s, d):
 
 @query("g9_hop_distances", f"WITH RECURSIVE {_T}, r AS (SELECT id src, id dst, 0 h FROM n WHERE id IN (SELECT src FROM b) UNION SELECT r.src, b.dst, h + 1 FROM r JOIN b ON b.src = r.dst WHERE h < 4) SELECT src, dst, min(h) AS hops FROM r GROUP BY ALL")
 def hop_distances(s, d):
-    return graph.hops(_edges(s, d), 4)
+    return graph.hops(_edges(s, d))
 
 
 _BF = "r AS (SELECT dst, cost, path FROM (SELECT 9::BIGINT dst, 0.0::DOUBLE cost, [9::BIGINT] path) UNION ALL SELECT b.dst, cost + {w}, list_append(path, b.dst) FROM r JOIN b ON b.src = r.dst WHERE len(path) <= 4 AND NOT list_contains(path, b.dst)), z AS (SELECT dst, arg_min({{'c': cost, 'p': path}}, {{'c': round(cost, 9), 'n': len(path), 'p': path}}) x FROM r GROUP BY dst)"
@@ -83,13 +83,13 @@ _BF = "r AS (SELECT dst, cost, path FROM (SELECT 9::BIGINT dst, 0.0::DOUBLE cost
 
 @query("g10_shortest_paths", f"WITH RECURSIVE {_T}, {_BF.format(w='1.0 / greatest(forward, 1)')} SELECT dst, round(x.c, 6) AS cost, array_to_string(x.p, '>') AS path FROM z")
 def shortest_paths(s, d):
-    p = graph.shortest_paths(_edges(s, d), F.lit(9).cast("long"), 4, graph.inverse_count("forward"))
+    p = graph.shortest_paths(_edges(s, d), F.lit(9).cast("long"), weight=graph.inverse_count("forward"))
     return p.select("dst", F.round("cost", 6).alias("cost"), F.array_join("path", ">").alias("path"))
 
 
 @query("g10_fewest_hops", f"WITH RECURSIVE {_T}, {_BF.format(w='1.0')} SELECT dst, x.c AS cost, array_to_string(x.p, '>') AS path FROM z")
 def fewest_hops(s, d):
-    p = graph.shortest_paths(_edges(s, d), F.lit(9).cast("long"), 4)
+    p = graph.shortest_paths(_edges(s, d), F.lit(9).cast("long"))
     return p.select("dst", "cost", F.array_join("path", ">").alias("path"))
 
 
@@ -113,7 +113,7 @@ def complete_graph(s, d):
 def false_jumps(s, d):
     e = table(s, d, "events").withColumn("cur", F.col("user_id") % 40)
     m = e.select("event_type", "cur", F.lag("cur").over(W.partitionBy("event_type").orderBy("ts", "event_id")).alias("prv"))
-    h = graph.hops(_edges(s, d), 4, _nodes(s, d)).select(F.col("src").alias("prv"), F.col("dst").alias("cur"), "hops")
+    h = graph.hops(_edges(s, d), sources=_nodes(s, d)).select(F.col("src").alias("prv"), F.col("dst").alias("cur"), "hops")
     jump = F.coalesce(((F.col("prv") != F.col("cur")) & (F.col("hops") > 1)).cast("int"), F.lit(0))
     return m.join(h, ["prv", "cur"], "left").groupBy("event_type").agg(F.sum(jump).alias("jumps"), F.round(F.sum(jump) / F.greatest(F.lit(1), F.count("*") - 1), 4).alias("rate"))
 
