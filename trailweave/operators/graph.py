@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -10,14 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailweave.functions.evidence import normalise_scene
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of checkpoints that all executors share: this cuts the lineage."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint()
+from trailweave.scratch import settled
 
 
 def gated_edges(transitions: DataFrame, nodes: DataFrame, confidence: float = 0.6, support: int = 3) -> DataFrame:

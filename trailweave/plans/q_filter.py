@@ -10,6 +10,7 @@ from trailweave.functions import registry
 from trailweave.operators import sequence as seq
 from trailweave.plans.catalog import query, table
 from trailweave.plans.q_retrieval import _CAND, _candidates
+from trailweave.scratch import run_dir
 from trailweave.sources import store
 from trailweave.streaming import filter as bayes
 from trailweave.streaming import gate, tracker
@@ -222,11 +223,9 @@ def term_breakdown(s, d):
 
 @query("s7_s8_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
 def map_round_trip(s, d):
-    import tempfile
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{base.rstrip('/')}/maps/{uuid.uuid4().hex}"
+    path = f"{run_dir(s)}/maps/{uuid.uuid4().hex}"
     obs = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     places = obs.groupBy(F.col("label").alias("place_id")).agg(F.sort_array(F.collect_list("id")).alias("observation_ids"))
     nodes = places.select(F.col("place_id").alias("id"))
