@@ -260,6 +260,21 @@ def test_store(spark, tmp_path):
     assert store.read_jsonl(spark, str(tmp_path / "j"), "id string, ts double, objects array<string>").select(F.size("objects").alias("n")).distinct().first().n == 0
 
 
+def test_numbered_rows_are_all_there(spark):
+    """Wide rows, many ranges, ties, and default adaptive execution."""
+    n = 150_000
+    rows = spark.range(n).select((F.col("id") * 7919 % 50_021).alias("k"), F.concat(F.xxhash64("id").cast("string"), F.expr("repeat(sha2(cast(id AS string), 256), 4)")).alias("wide"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = store.with_index(rows, ["k"]).select("index", "k", "id", F.length("wide").alias("w")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = got.sort_values("index")
+    assert got["index"].tolist() == list(range(n)) and got["id"].nunique() == n
+    assert got["k"].is_monotonic_increasing and (got["w"] >= 256).all()
+
+
 def test_report_and_hash(spark, tmp_path):
     w = spark.createDataFrame([("weak_edge", "1-2")], "check string, subject string")
     store.write_report(w, str(tmp_path / "r"))

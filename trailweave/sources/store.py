@@ -52,18 +52,22 @@ def observations(frames: DataFrame, name: str, vector: str) -> DataFrame:
 
 
 def with_index(df: DataFrame, by: list[str]) -> DataFrame:
-    """``index``: the position (from 0) of each row in the order of ``by``.
+    """``index``: the position (from 0) of each row in the order of ``by``; equal rows are numbered in any order.
 
-    Rows are dealt out by range, numbered in their range, and moved on by the rows of the ranges
-    before; the ranges' counts are all that meets in one task.
+    Rows are dealt out by range and sorted there, and each takes the number of its range and its place
+    in it. That is settled before anything else reads it: were the ranges formed anew for each use, their
+    bounds would differ, and rows would be lost. The ranges' counts are all that meets in one task.
     """
     from pyspark.sql import Window as W
 
-    parts = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
-    counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")
-    rank = F.row_number().over(W.partitionBy("__part").orderBy(*by)) - 1
-    return parts.withColumn("__rank", rank).join(before, "__part").withColumn("index", F.col("__rank") + F.col("__before")).drop("__part", "__rank", "__before")
+    from trailweave.scratch import settled
+
+    rows = settled(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    part, rank = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    # One row for each range.
+    return rows.join(F.broadcast(before), part == F.col("__part")).withColumn("index", rank + F.col("__before")).drop("__at", "__part", "__before")
 
 
 def append(spark: SparkSession, path: str, new: DataFrame) -> None:
@@ -101,10 +105,14 @@ def load_store(spark: SparkSession, path: str) -> DataFrame:
 def content_hash(places: DataFrame, edges: DataFrame) -> DataFrame:
     """16 hexadecimal digits that depend on the places and edges and not on their order.
 
-    Each row is hashed, and the sorted hashes again: places and edges of one map.
+    Each row's JSON is hashed, and the hashes are added up in four parts of 60 bits: sums of partial sums,
+    so that no task sees more than its own rows. The digest is that of the count and the sums.
     """
-    rows = places.select(F.sha2(F.to_json(F.struct("*")), 256).alias("h")).unionByName(edges.select(F.sha2(F.to_json(F.struct("*")), 256).alias("h")))
-    return rows.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256), 1, 16).alias("content_hash"))
+    side = lambda df, name: df.select(F.sha2(F.concat(F.lit(name), F.to_json(F.struct("*"))), 256).alias("h"))
+    rows = side(places, "place ").unionByName(side(edges, "edge "))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)]
+    sums = rows.agg(F.count("*").cast("string").alias("n"), *parts)
+    return sums.select(F.substring(F.sha2(F.concat_ws(",", "n", "s0", "s1", "s2", "s3"), 256), 1, 16).alias("content_hash"))
 
 
 def write_map(path: str, places: DataFrame, nodes: DataFrame, edges: DataFrame, exemplars: DataFrame, names: DataFrame, obs: DataFrame, facts: dict[str, str]) -> None:
