@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows as DuckDB; the others run and give rows."""
+"""Every query with SQL gives the same rows as DuckDB, floats to the last bit; the others run and give rows."""
 
 import math
 
@@ -9,6 +9,11 @@ from trailweave.plans import catalog
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     duckdb = pytest.importorskip("duckdb")
@@ -23,7 +28,7 @@ def plain(v):
         return v
     if isinstance(v, float) and math.isnan(v):
         return None
-    return round(float(v), 4) if not isinstance(v, (list, dict)) else str(v)
+    return float(v) if not isinstance(v, (list, dict)) else str(v)
 
 
 def rows(names, data):

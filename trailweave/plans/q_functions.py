@@ -45,11 +45,12 @@ def pixel_statistics(s, d):
 
 @query(
     "f6_f7_frame_quality",
-    "SELECT p_partkey, round(CASE WHEN p_size <= 2 THEN 0 ELSE 0.5 * least(1, (p_retailprice % 700) / 500) + 0.5 * (1 - abs(p_size * 5 - 128) / 128) END, 6) AS score, CASE WHEN p_size <= 2 THEN 'invalid_image' ELSE concat_ws(',', CASE WHEN p_retailprice % 700 < 40 THEN 'blurry' END, CASE WHEN p_size * 5 < 20 THEN 'too_dark' END) END AS reasons FROM part",
+    "SELECT p_partkey, round(CASE WHEN p_size <= 2 THEN 0 ELSE 0.5 * least(1, (p_retailprice % 700) / 500) + 0.5 * (1 - abs(p_size * 5 - 128) / 128) END, 9) AS score, CASE WHEN p_size <= 2 THEN 'invalid_image' ELSE concat_ws(',', CASE WHEN p_retailprice % 700 < 40 THEN 'blurry' END, CASE WHEN p_size * 5 < 20 THEN 'too_dark' END) END AS reasons FROM part",
 )
 def frame_quality(s, d):
     blur, light, ok = F.col("p_retailprice") % 700, F.col("p_size") * 5.0, F.col("p_size") > 2
-    return table(s, d, "part").select("p_partkey", F.round(quality.quality_score(blur, light, ok), 6).alias("score"), F.array_join(quality.reject_reasons(blur, light, ok), ",").alias("reasons"))
+    # These scores have eight places at most: rounded to six, many would be ties.
+    return table(s, d, "part").select("p_partkey", F.round(quality.quality_score(blur, light, ok), 9).alias("score"), F.array_join(quality.reject_reasons(blur, light, ok), ",").alias("reasons"))
 
 
 @query(
@@ -198,7 +199,7 @@ def boxes(s, d):
     return table(s, d, "part").select("p_partkey", got["class"].alias("class"), F.round(got["bbox"][0], 6).alias("x1"), F.round(got["bbox"][3], 6).alias("y2"))
 
 
-@query("s4_s5_lookup_and_scan", "SELECT vec_id, label FROM embeddings WHERE vec_id = 42 UNION ALL SELECT vec_id, label FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 5)")
+@query("s4_s5_lookup_and_scan", "SELECT vec_id, label, NULL::BIGINT AS position FROM embeddings WHERE vec_id = 42 UNION ALL SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 FROM embeddings")
 def lookup_and_scan(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("ts"), "label")
     scan = store.in_order(store.with_index(e, ["ts", "id"])).withColumnRenamed("index", "position")
@@ -225,10 +226,20 @@ def names_of_places(s, d):
     return store.place_names(places, own)
 
 
-@query("s9_s11_content_hash_and_graph_json")
+_JSON_LIST = "string_agg({x}, ',' ORDER BY {by})"
+
+
+@query(
+    "s9_s11_content_hash_and_graph_json",
+    f"""WITH p AS (SELECT label, list(vec_id ORDER BY vec_id) ids FROM embeddings GROUP BY label), e AS (SELECT event_type, user_id % 3 g, round(avg(value), 6) m FROM events GROUP BY ALL),
+    h AS (SELECT sha256('place {{"label":' || label || ',"ids":[' || array_to_string(ids, ',') || ']}}') h FROM p UNION ALL SELECT sha256('edge {{"event_type":"' || event_type || '","g":' || g || ',"mean":' || m || '}}') FROM e),
+    x AS (SELECT count(*) n, {", ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::BIGINT) s{i}" for i in range(4))} FROM h),
+    nj AS (SELECT {_JSON_LIST.format(x="'{\"label\":' || label || '}'", by="label")} j FROM p), ej AS (SELECT {_JSON_LIST.format(x="'{\"event_type\":\"' || event_type || '\",\"g\":' || g || ',\"mean\":' || round(m, 4) || '}'", by="event_type, g")} j FROM e)
+    SELECT substr(sha256(concat_ws(',', n, s0, s1, s2, s3)), 1, 16) AS content_hash, '{{"nodes":[' || nj.j || '],"edges":[' || ej.j || ']}}' AS json FROM x, nj, ej""",
+)
 def hash_and_json(s, d):
     places = table(s, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    edges = table(s, d, "events").groupBy("event_type", F.pmod("user_id", F.lit(3)).alias("g")).agg(F.avg("value").alias("mean"))
+    edges = table(s, d, "events").groupBy("event_type", F.pmod("user_id", F.lit(3)).alias("g")).agg(F.round(F.avg("value"), 6).alias("mean"))
     return store.content_hash(places, edges).crossJoin(store.graph_json(places.select("label"), edges))
 
 

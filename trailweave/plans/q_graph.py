@@ -73,12 +73,12 @@ def khop(s, d):
     return graph.hops(_edges(s, d), 2, _nodes(s, d).where("id = 9")).select("dst", "hops")
 
 
-@query("g9_hop_distances", f"WITH RECURSIVE {_T}, r AS (SELECT id src, id dst, 0 h FROM n WHERE id IN (SELECT src FROM b) UNION SELECT r.src, b.dst, h + 1 FROM r JOIN b ON b.src = r.dst WHERE h < 4) SELECT src, dst, min(h) AS hops FROM r GROUP BY ALL")
+@query("g9_hop_distances", f"WITH RECURSIVE {_T}, r AS (SELECT id src, id dst, 0 h FROM n WHERE id IN (SELECT src FROM b) UNION SELECT r.src, b.dst, h + 1 FROM r JOIN b ON b.src = r.dst WHERE h < (SELECT count(*) FROM n)) SELECT src, dst, min(h) AS hops FROM r GROUP BY ALL")
 def hop_distances(s, d):
     return graph.hops(_edges(s, d))
 
 
-_BF = "r AS (SELECT dst, cost, path FROM (SELECT 9::BIGINT dst, 0.0::DOUBLE cost, [9::BIGINT] path) UNION ALL SELECT b.dst, cost + {w}, list_append(path, b.dst) FROM r JOIN b ON b.src = r.dst WHERE len(path) <= 4 AND NOT list_contains(path, b.dst)), z AS (SELECT dst, arg_min({{'c': cost, 'p': path}}, {{'c': round(cost, 9), 'n': len(path), 'p': path}}) x FROM r GROUP BY dst)"
+_BF = "r AS (SELECT dst, cost, path FROM (SELECT 9::BIGINT dst, 0.0::DOUBLE cost, [9::BIGINT] path) UNION ALL SELECT b.dst, cost + {w}, list_append(path, b.dst) FROM r JOIN b ON b.src = r.dst WHERE NOT list_contains(path, b.dst)), z AS (SELECT dst, arg_min({{'c': cost, 'p': path}}, {{'c': round(cost, 9), 'n': len(path), 'p': path}}) x FROM r GROUP BY dst)"
 
 
 @query("g10_shortest_paths", f"WITH RECURSIVE {_T}, {_BF.format(w='1.0 / greatest(forward, 1)')} SELECT dst, round(x.c, 6) AS cost, array_to_string(x.p, '>') AS path FROM z")
@@ -108,7 +108,7 @@ def complete_graph(s, d):
 
 @query(
     "w14_e8_false_jumps",
-    f"WITH RECURSIVE {_T}, r AS (SELECT id src, id dst, 0 h FROM n UNION SELECT r.src, b.dst, h + 1 FROM r JOIN b ON b.src = r.dst WHERE h < 4), hp AS (SELECT src, dst, min(h) h FROM r GROUP BY ALL), m AS (SELECT event_type, p cur, lag(p) OVER (PARTITION BY event_type ORDER BY ts, event_id) prv FROM s) SELECT event_type, sum((prv IS NOT NULL AND prv <> cur AND h > 1)::INT)::BIGINT AS jumps, round(sum((prv IS NOT NULL AND prv <> cur AND h > 1)::INT) / greatest(1, count(*) - 1), 4) AS rate FROM m LEFT JOIN hp ON src = prv AND dst = cur GROUP BY event_type",
+    f"WITH RECURSIVE {_T}, r AS (SELECT id src, id dst, 0 h FROM n UNION SELECT r.src, b.dst, h + 1 FROM r JOIN b ON b.src = r.dst WHERE h < (SELECT count(*) FROM n)), hp AS (SELECT src, dst, min(h) h FROM r GROUP BY ALL), m AS (SELECT event_type, p cur, lag(p) OVER (PARTITION BY event_type ORDER BY ts, event_id) prv FROM s) SELECT event_type, sum((prv IS NOT NULL AND prv <> cur AND h > 1)::INT)::BIGINT AS jumps, round(sum((prv IS NOT NULL AND prv <> cur AND h > 1)::INT) / greatest(1, count(*) - 1), 4) AS rate FROM m LEFT JOIN hp ON src = prv AND dst = cur GROUP BY event_type",
 )
 def false_jumps(s, d):
     e = table(s, d, "events").withColumn("cur", F.col("user_id") % 40)
@@ -142,7 +142,7 @@ def edge_pr(s, d):
 
 @query(
     "e2_graph_metrics",
-    f"WITH RECURSIVE {_T}, x AS (SELECT label, vec_id, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT a.label = b.label same, list_dot_product(a.v, b.v) s FROM x a JOIN x b ON a.vec_id < b.vec_id), r AS (SELECT id, id AS y FROM n UNION SELECT r.id, b.dst FROM r JOIN b ON b.src = r.y), c AS (SELECT id, min(y) c FROM r GROUP BY id) SELECT round(avg(s) FILTER (WHERE same) / (avg(s) FILTER (WHERE same) + avg(s) FILTER (WHERE NOT same)), 4) AS purity, round(avg((s > 0.2)::INT) FILTER (WHERE NOT same), 4) AS duplicate_rate, (SELECT count(DISTINCT c) - 1 FROM c) AS fragmentation FROM p",
+    f"WITH RECURSIVE {_T}, x AS (SELECT label, vec_id, embedding::DOUBLE[] v FROM embeddings), p AS (SELECT a.label = b.label same, list_dot_product(a.v, b.v) s FROM x a JOIN x b ON a.vec_id < b.vec_id), r AS (SELECT id, id AS y FROM n UNION SELECT r.id, b.dst FROM r JOIN b ON b.src = r.y), c AS (SELECT id, min(y) c FROM r GROUP BY id) SELECT round(avg(s) FILTER (WHERE same) / (avg(s) FILTER (WHERE same) + avg(s) FILTER (WHERE NOT same)), 4) AS purity, round(avg((s > 0.2)::INT) FILTER (WHERE NOT same), 4) AS duplicate_rate, (SELECT count(DISTINCT c) - 1 FROM c) AS fragmentation FROM p",
 )
 def graph_metrics(s, d):
     from trailweave.functions.vectors import pair_statistics

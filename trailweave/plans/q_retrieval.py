@@ -140,7 +140,7 @@ def ambiguous(s, d):
 
 @query(
     "a17_e7_recalibrated_thresholds",
-    f"WITH {_E}, s AS (SELECT list_dot_product(v, lead(v) OVER (ORDER BY vec_id)) x, list_dot_product(v, lead(v, 2) OVER (ORDER BY vec_id)) y FROM e WHERE vec_id < 400), t AS (SELECT unnest([-0.9, 0.0, 0.1, 0.3]) o), p AS (SELECT o, avg((x <= o)::INT) p, quantile_cont(x, 0.01) q1, avg(x) mx, avg(y) my, list(y ORDER BY y) l FROM t CROSS JOIN s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY o) SELECT o AS old, round(p, 6) AS percentile, round(CASE WHEN o <= q1 THEN greatest(0, o + my - mx) ELSE l[floor(p * (len(l) - 1))::INT + 1] + (l[ceil(p * (len(l) - 1))::INT + 1] - l[floor(p * (len(l) - 1))::INT + 1]) * (p * (len(l) - 1) - floor(p * (len(l) - 1))) END, 6) AS new FROM p",
+    f"WITH {_E}, s AS (SELECT list_dot_product(v, lead(v) OVER (ORDER BY vec_id)) x, list_dot_product(v, lead(v, 2) OVER (ORDER BY vec_id)) y FROM e), t AS (SELECT unnest([-0.9, 0.0, 0.1, 0.3]) o), p AS (SELECT o, avg((x <= o)::INT) p, quantile_cont(x, 0.01) q1, avg(x) mx, avg(y) my, list(y ORDER BY y) l FROM t CROSS JOIN s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY o) SELECT o AS old, round(p, 6) AS percentile, round(CASE WHEN o <= q1 THEN greatest(0, o + my - mx) ELSE l[floor(p * (len(l) - 1))::INT + 1] + (l[ceil(p * (len(l) - 1))::INT + 1] - l[floor(p * (len(l) - 1))::INT + 1]) * (p * (len(l) - 1) - floor(p * (len(l) - 1))) END, 6) AS new FROM p",
 )
 def recalibrated(s, d):
     e = table(s, d, "embeddings")
@@ -186,6 +186,6 @@ def ground_truth(s, d):
     return table(s, d, "embeddings").join(table(s, d, "labels"), F.col("doc_id") == F.col("vec_id"), "left").select("vec_id", F.coalesce("quality", "label").alias("truth"))
 
 
-@query("u5_merge_errors", "SELECT event_type, count(DISTINCT user_id % 3) AS n_labels FROM events WHERE value > 99 GROUP BY event_type HAVING count(DISTINCT user_id % 3) > 1")
+@query("u5_merge_errors", "SELECT event_type, count(DISTINCT user_id % 3) AS n_labels FROM events GROUP BY event_type HAVING count(DISTINCT user_id % 3) > 1")
 def merge_errors(s, d):
-    return table(s, d, "events").where("value > 99").groupBy("event_type").agg(F.countDistinct(F.col("user_id") % 3).alias("n_labels")).where("n_labels > 1")
+    return table(s, d, "events").groupBy("event_type").agg(F.countDistinct(F.col("user_id") % 3).alias("n_labels")).where("n_labels > 1")
