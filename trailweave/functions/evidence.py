@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What Unicode counts as white space.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
 # The closed vocabularies of scenes, landmarks and directions.
 SCENES = ("room", "corridor", "junction", "stairs", "elevator", "entrance", "lobby", "unknown")
 SCENE_ALIASES = {"corridor_junction": "junction"}
@@ -55,7 +58,7 @@ def scene_match(a: Column, b: Column) -> Column:
 
 def tokens(a: Column) -> Column:
     """Stripped, lower-case tokens, once each."""
-    return F.array_distinct(F.transform(a, lambda x: F.lower(F.btrim(x, F.lit(" \t\n\r\x0b\x0c")))))
+    return F.array_distinct(F.transform(a, lambda x: F.lower(F.btrim(x, F.lit(WHITE)))))
 
 
 def semantic_similarity(q_scene: Column, q_marks: Column, q_objects: Column, p_scene: Column, p_marks: Column, p_objects: Column) -> Column:

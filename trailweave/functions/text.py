@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trailweave.functions.evidence import DIRECTIONS, LANDMARKS, SCENES, SIGN_JUNK, normalise_scene
+from trailweave.functions.evidence import DIRECTIONS, LANDMARKS, SCENES, SIGN_JUNK, WHITE, normalise_scene
 
-_WHITE = " \t\n\r\x0b\x0c"
 TAGS = "struct<scene_type:string,landmarks:array<string>,sign_text:array<string>,walkable:array<string>,description:string>"
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_WHITE))
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_list(a: Column, cap: int = 80) -> Column:
@@ -43,20 +42,19 @@ def _strings(v: Column, path: str) -> Column:
 
 
 def parse_tags(c: Column) -> Column:
-    """Scene tags from a model's answer: fences go, the widest braces are read as JSON, values are held
-    against the vocabularies, lists are cleaned and capped. What can't be read is the unknown scene."""
-    bare = F.regexp_replace(c, r"```(?:json)?", "")
-    v = F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
+    """Scene tags from a model's answer: the widest braces are read as JSON, values are held against the
+    vocabularies, case and all, and lists are cleaned and capped. Fences around the braces, or anything
+    else there, don't matter; those inside a string stay. What can't be read is the unknown scene."""
+    v = F.try_parse_json(F.regexp_extract(c, r"(?s)\{.*\}", 0))
     text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
-    scene = F.lower(strip(normalise_scene(text("$.scene_type"))))
+    scene = normalise_scene(text("$.scene_type"))
     known = lambda a, words: F.filter(a, lambda x: x.isin(*words))
-    lower = lambda a: F.transform(a, lambda x: F.lower(x))
     read = F.struct(
         F.when(scene.isin(*SCENES), scene).otherwise("unknown").alias("scene_type"),
-        F.slice(known(lower(clean_list(_strings(v, "$.landmarks"))), LANDMARKS), 1, 12).alias("landmarks"),
+        F.slice(known(clean_list(_strings(v, "$.landmarks")), LANDMARKS), 1, 12).alias("landmarks"),
         F.slice(clean_list(_strings(v, "$.sign_text")), 1, 8).alias("sign_text"),
-        F.slice(known(lower(clean_list(_strings(v, "$.walkable"))), DIRECTIONS), 1, 3).alias("walkable"),
-        F.substring(F.coalesce(strip(text("$.description")), F.lit("")), 1, 160).alias("description"),
+        F.slice(known(clean_list(_strings(v, "$.walkable"), 16), DIRECTIONS), 1, 3).alias("walkable"),
+        F.substring(F.coalesce(text("$.description"), F.lit("")), 1, 160).alias("description"),
     ).cast(TAGS)
     empty = F.array().cast("array<string>")
     unknown = F.struct(F.lit("unknown").alias("scene_type"), empty.alias("landmarks"), empty.alias("sign_text"), empty.alias("walkable"), F.lit("").alias("description")).cast(TAGS)

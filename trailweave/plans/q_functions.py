@@ -92,16 +92,18 @@ def clean_lists(s, d):
 
 @query(
     "f12_f13_parse_model_text",
-    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'room' WHEN 1 THEN 'junction' ELSE 'unknown' END AS scene_type, CASE event_id % 5 WHEN 0 THEN 'door,desk' WHEN 1 THEN 'stairs' WHEN 3 THEN 'desk' ELSE '' END AS landmarks, CASE event_id % 5 WHEN 0 THEN 'Room ' || user_id WHEN 3 THEN 'a' ELSE '' END AS signs, CASE event_id % 5 WHEN 0 THEN 'left,right' ELSE '' END AS walkable, CASE event_id % 5 WHEN 0 THEN event_type ELSE '' END AS description FROM events",
+    "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'room' WHEN 1 THEN 'junction' WHEN 6 THEN 'stairs' ELSE 'unknown' END AS scene_type, CASE event_id % 7 WHEN 0 THEN 'door,desk' WHEN 1 THEN 'stairs' WHEN 3 THEN 'desk' WHEN 5 THEN 'desk' ELSE '' END AS landmarks, CASE event_id % 7 WHEN 0 THEN 'Room ' || user_id WHEN 3 THEN 'a' WHEN 6 THEN '```json x' ELSE '' END AS signs, CASE event_id % 7 WHEN 0 THEN 'left,right' WHEN 6 THEN 'forward' ELSE '' END AS walkable, CASE event_id % 7 WHEN 0 THEN event_type WHEN 5 THEN ' a ```json b ' ELSE '' END AS description FROM events",
 )
 def parse_model_text(s, d):
-    k = F.col("event_id") % 5
+    k = F.col("event_id") % 7
     raw = (
-        F.when(k == 0, F.concat(F.lit('user\nassistant\n ```json\n{"scene_type":"room","landmarks":["door"," DESK ","teleporter","door",7],"sign_text":["Room '), F.col("user_id").cast("string"), F.lit('"],"walkable":["left","right","left"],"x":[1],"description":"'), F.col("event_type"), F.lit('"}\n```')))
+        F.when(k == 0, F.concat(F.lit('user\nassistant\n ```json\n{"scene_type":"room","landmarks":["door"," desk ","DESK","teleporter","door",7],"sign_text":["Room '), F.col("user_id").cast("string"), F.lit('"],"walkable":["left","right","left"],"x":[1],"description":"'), F.col("event_type"), F.lit('"}\n```')))
         .when(k == 1, '{"scene_type":"corridor_junction","landmarks":["stairs"]}')
         .when(k == 2, "no json here {")
         .when(k == 3, 'Sure: {"scene_type":"spaceship","landmarks":["desk","blue sign"],"sign_text":[1,"a","a",""],"description":3} ok')
-        .otherwise("[1,2]")
+        .when(k == 4, "[1,2]")
+        .when(k == 5, '{"scene_type":"ROOM","landmarks":["Door","desk"],"walkable":["Left"],"description":" a ```json b "}')
+        .otherwise('```json {"scene_type":"stairs","sign_text":["```json x"],"walkable":["\\u00a0forward\\u2003"]} ```')
     )
     t = table(s, d, "events").select("event_id", text.parse_tags(text.without_echo(raw)).alias("t"))
     join = lambda c: F.array_join(f"t.{c}", ",")
@@ -254,9 +256,3 @@ def row_codec(s, d):
     line = store.without_vector(e).select(F.to_json(F.struct("*")).alias("j"))
     back = store.with_defaults(line.select(F.from_json("j", "event_id long, objects array<string>, segment_id string").alias("o")).select("o.*"))
     return back.select("event_id", F.size("objects").alias("n_objects"), "segment_id")
-
-
-@query("s3_append_constraints", "SELECT count(*) - count(DISTINCT vec_id) AS twice, count(*) FILTER (WHERE embedding IS NULL) AS no_vector FROM embeddings")
-def append_constraints(s, d):
-    e = table(s, d, "embeddings")
-    return e.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("embedding").isNull().cast("int")).alias("z")).agg(F.sum(F.col("n") - 1).alias("twice"), F.sum("z").alias("no_vector"))
