@@ -1,12 +1,15 @@
-"""The Bayes filter: one step on plain dicts (for trackers) and the same as column functions."""
+"""The Bayes filter: one step on plain dicts (for trackers), and dense beliefs over whole replays."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.streaming.fold import fold
+
 
 def softmax(values: Column, temperature: float) -> Column:
     """Likelihoods of an array of evidence; a temperature of 0 or less is next to none."""
@@ -15,17 +18,6 @@ def softmax(values: Column, temperature: float) -> Column:
     return F.transform(F.array(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("s"))), lambda s: F.transform(s["e"], lambda x: x / s["s"]))[0]
 
 
-def predict(prior: Column, matrix: Column) -> Column:
-    """prior x matrix (an array of rows), normalised; dense, by position."""
-    moved = F.transform(F.sequence(F.lit(0), F.size(prior) - 1), lambda j: F.aggregate(F.zip_with(prior, matrix, lambda p, row: p * F.get(row, j)), F.lit(0.0), lambda a, x: a + x))
-    return F.transform(F.array(F.struct(moved.alias("m"), F.aggregate(moved, F.lit(0.0), lambda a, x: a + x).alias("s"))), lambda s: F.when(s["s"] > 0, F.transform(s["m"], lambda x: x / s["s"])).otherwise(s["m"]))[0]
-
-
-def update(likelihood: Column, predicted: Column) -> Column:
-    """Masses of places, not normalised: what is missing from 1 is unknown."""
-    return F.zip_with(likelihood, predicted, lambda a, b: a * b)
-
-
 def entropy(posterior: Column, n: int) -> Column:
     """Normalised to [0, 1]; nothing known is 1, one place or fewer 0."""
     pos = F.filter(posterior, lambda x: x > 0)
@@ -34,24 +26,31 @@ def entropy(posterior: Column, n: int) -> Column:
     return F.when(F.size(pos) == 0, 1.0).otherwise(0.0 if n <= 1 else h / math.log(n))
 
 
-def filter_replay(frames: Column, uniform: Column, matrix: Column) -> Column:
-    """Posteriors of all frames of one session: a fold over an array of likelihood arrays.
+def filter_replay(frames: DataFrame, key: str, order: str, likelihood: str, matrix: list[list[float]]) -> DataFrame:
+    """The belief after each frame of each session: key, order, posterior.
 
-    A frame without candidates (null or empty) leaves the belief as it is and yields null.
+    ``likelihood`` is an array with a number for each place; ``matrix`` holds the prior's rows. A session
+    begins with equal masses. A frame without candidates (null or empty) leaves the belief as it is and
+    yields null; a belief that has come to nothing stays nothing. Sessions stream through a fold: one of
+    any length takes the memory of one batch.
     """
-    none = F.lit(None).cast("array<double>")
-    start = F.struct(uniform.alias("prior"), F.array().cast("array<array<double>>").alias("out"))
+    m = np.array(matrix, np.float64)
+    kinds = {c: frames.schema[c].dataType.simpleString() for c in (key, order)}
 
-    def step(acc: Column, like: Column) -> Column:
-        post = update(like, predict(acc["prior"], matrix))
-        blank = like.isNull() | (F.size(like) == 0)
-        return F.struct(F.when(blank, acc["prior"]).otherwise(post).alias("prior"), F.concat(acc["out"], F.array(F.when(blank, none).otherwise(post))).alias("out"))
+    def one(prior: np.ndarray, row) -> tuple[np.ndarray, tuple]:
+        like = row[2]
+        if like is None or len(like) == 0:
+            return prior, (row[1], None)
+        moved = prior @ m
+        total = moved.sum()
+        post = like * (moved / total if total > 0 else moved)
+        return post, (row[1], post.tolist())
 
-    return F.aggregate(frames, start, step, lambda a: a["out"])
+    return fold(frames, key, order, [likelihood], lambda: np.full(len(m), 1.0 / len(m)), one, f"{key} {kinds[key]}, {order} {kinds[order]}, posterior array<double>")
 
 
 def belief_step(prior: dict, likelihood: dict, matrix: dict) -> dict:
-    """The same for sparse beliefs: place -> mass. A place without a row stays where it is."""
+    """One step of a sparse belief, place -> mass. A place without a row stays where it is."""
     moved: dict = {}
     for src, mass in prior.items():
         for dst, p in matrix.get(src, {src: 1.0}).items():

@@ -17,7 +17,7 @@ def fold(frames: DataFrame, key: str, order: str, columns: list[str], start: Cal
     takes the memory of one Arrow batch. ``out`` is the schema of key and values.
     """
     ship(frames.sparkSession)
-    names = _names(out)
+    names = names_of(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory, last, begun = None, None, False
@@ -37,7 +37,7 @@ def fold(frames: DataFrame, key: str, order: str, columns: list[str], start: Cal
     return frames.select(*chosen).repartition(n, key).sortWithinPartitions(key, order).mapInPandas(run, out)
 
 
-def _names(schema: str) -> list[str]:
+def names_of(schema: str) -> list[str]:
     """Column names of a schema text, whose types may hold commas."""
     out, depth, word = [], 0, ""
     for c in schema + ",":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from trailweave.streaming.filter import belief_entropy, belief_step, likelihoods
-from trailweave.streaming.fold import fold
+from trailweave.streaming.fold import fold, names_of
 from trailweave.shipping import ship
 
 # Defaults of the localization settings.
@@ -40,7 +40,7 @@ SETTINGS = {
     "low_margin": 0.02,
     "unknown_high_mass": 0.4,
 }
-OUT = "seq long, place_id long, confidence double, changed boolean, low_confidence boolean, arrived boolean, route array<long>, state string, mode string, confidence_level string, unknown_mass double, entropy double"
+OUT = "seq long, place_id long, place_name string, confidence double, changed boolean, low_confidence boolean, arrived boolean, route array<long>, directions string, state string, mode string, confidence_level string, unknown_mass double, entropy double, posterior map<bigint,double>"
 
 
 @dataclass
@@ -76,6 +76,10 @@ class World:
     routes: dict[tuple[int, int], list[int]] = field(default_factory=dict)
     goal: int | None = None
     settings: dict = field(default_factory=dict)
+    names: dict[int, str] = field(default_factory=dict)
+
+    def name(self, place: int | None) -> str:
+        return "Unrecognized" if place is None else self.names.get(place, f"Place_{place}")
 
     def get(self, key: str) -> float:
         return self.settings.get(key, SETTINGS[key])
@@ -93,7 +97,8 @@ def step(t: Track, candidates: list[tuple[int, float, float]], w: World) -> tupl
     """One frame. candidates: (place, visual, semantic), best first. Returns the new memory and a status.
 
     Evidence for the belief is visual and semantic only; where the tracker was enters through the
-    prior. Equal beliefs go to the smaller place id.
+    prior. Equal beliefs go to the smaller place id. A belief that has come to nothing stays so until the
+    tracker is lost, and begins anew.
     """
     t = replace(t)
     margin = candidates[0][1] - candidates[1][1] if len(candidates) > 1 else candidates[0][1] if candidates else 0.0
@@ -104,7 +109,7 @@ def step(t: Track, candidates: list[tuple[int, float, float]], w: World) -> tupl
     if candidates:
         wv, ws = w.get("w_visual"), w.get("w_semantic")
         like = likelihoods({p: (wv * v + ws * s) / (wv + ws) for p, v, s in candidates}, w.get("likelihood_temperature"))
-        prior = t.belief or {n: 1.0 / len(w.nodes) for n in w.nodes}  # a belief that has come to nothing begins anew
+        prior = {n: 1.0 / len(w.nodes) for n in w.nodes} if t.belief is None else t.belief
         post = belief_step(prior, like, w.prior)
         t.belief = post
         if post:
@@ -125,16 +130,19 @@ def step(t: Track, candidates: list[tuple[int, float, float]], w: World) -> tupl
             route = w.routes.get((place, w.goal))
     status = {
         "place_id": place,
+        "place_name": w.name(place),
         "confidence": score,
         "changed": changed,
         "low_confidence": state in ("UNCERTAIN", "LOST"),
         "arrived": arrived,
         "route": route,
+        "directions": " -> ".join(map(w.name, route)) if route else None,
         "state": state,
         "mode": t.mode,
         "confidence_level": _level(score, margin, entropy, unknown, w),
         "unknown_mass": unknown,
         "entropy": entropy,
+        "posterior": post,
     }
     return t, status
 
@@ -172,7 +180,7 @@ def _advance(t: Track, best: int | None, score: float, unknown: float, entropy:
     return t.state
 
 
-_FIELDS = [c.split()[0] for c in OUT.split(", ")]
+_FIELDS = names_of(OUT)
 
 
 def _one(t: Track, row, w: World) -> tuple[Track, tuple]:
@@ -210,7 +218,7 @@ def decision_log(tracked: DataFrame, frames: DataFrame, key: str, best: int = 5)
     How many are kept is the sink's affair: drop old partitions, not the last rows of a buffer.
     """
     seen = frames.select(key, "seq", F.slice("candidates", 1, best).alias("candidates"))
-    return tracked.select(key, "seq", "state", "mode", "confidence_level", "unknown_mass", "place_id", F.col("confidence").alias("best_score")).join(seen, [key, "seq"])
+    return tracked.select(key, "seq", "state", "mode", "confidence_level", "unknown_mass", "place_id", F.col("confidence").alias("best_score"), "posterior").join(seen, [key, "seq"])
 
 
 def legacy_step(held: tuple, place: int | None, score: float, threshold: float, last: int = 5) -> tuple[tuple, int | None]:
