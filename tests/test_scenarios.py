@@ -96,6 +96,14 @@ def test_model_text(spark):
     assert one(spark, text.parse_tags(F.lit('{"scene_type": "corridor_junction"}'))).scene_type == "junction"
 
 
+def test_model_text_is_held_to_the_vocabulary_case_and_all(spark):
+    t = one(spark, text.parse_tags(F.lit('{"scene_type": "ROOM", "landmarks": ["Desk", " desk\u00a0"], "walkable": ["LEFT"], "description": " see ```json here "}')))
+    assert (t.scene_type, t.landmarks, t.walkable, t.description) == ("unknown", ["desk"], [], " see ```json here ")
+    t = one(spark, text.parse_tags(F.lit('```json\n{"scene_type": "room", "sign_text": ["```", "B"]}\n```')))
+    assert (t.scene_type, t.sign_text) == ("room", ["```", "B"])
+    assert one(spark, text.parse_tags(F.lit('{"scene_type": " room "}'))).scene_type == "unknown"
+
+
 def test_exemplars(spark):
     df = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(7)], "p int, i int, v array<double>")
     assert [r.id for r in places.exemplars(df, "p", ["i"], "i", "v").orderBy("rank").collect()] == [0, 6, 3]
@@ -192,6 +200,45 @@ def test_tracker_confirms_changes():
     assert not any(o["changed"] for o in run("0000101010", toy())[4:])
 
 
+def test_a_belief_that_came_to_nothing_stays_so_until_lost():
+    w = tracker.World([0, 1], {0: {0: 0.8, 1: 0.2}, 1: {1: 0.8, 0: 0.2}}, {0: {0: 0, 1: 1}, 1: {0: 1, 1: 0}}, names={0: "Lobby"})
+    known, other = [(0, 0.9, 0.5), (1, 0.2, 0.5)], [(7, 0.9, 0.5)]
+    t, out = tracker.Track(), []
+    for c in (known, other, known, known):
+        t, status = tracker.step(t, c, w)
+        out.append(status)
+    assert out[0]["confidence"] > 0 and out[0]["place_name"] == "Lobby" and out[0]["posterior"]
+    assert [o["confidence"] for o in out[1:3]] == [0, 0] and out[2]["posterior"] == {}
+    # The third weak frame in a row is lost; then it begins anew.
+    assert out[2]["state"] == "LOST" and out[3]["confidence"] > 0
+
+
+def test_status_names_and_directions():
+    w = toy()
+    w.names = {0: "Lobby", 2: "Hall"}
+    last = run("0000", w)[-1]
+    assert (last["place_name"], last["directions"]) == ("Lobby", "Lobby -> Place_1 -> Hall")
+    assert tracker.step(tracker.Track(), [], w)[1]["place_name"] == "Unrecognized"
+
+
+def test_dense_replay_equals_sparse_steps(spark):
+    from trailweave.streaming.filter import filter_replay
+
+    m = [[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.2, 0.2, 0.6]]
+    likes = [[0.5, 0.3, 0.2], None, [0.0, 0.0, 1.0], [], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [1.0, 0.0, 0.0]]
+    rows = [(k, i, x) for k in ("a", "b") for i, x in enumerate(likes if k == "a" else likes[::-1])]
+    got = {(r.k, r.i): r.posterior for r in filter_replay(spark.createDataFrame(rows, "k string, i int, l array<double>"), "k", "i", "l", m).collect()}
+    assert len(got) == len(rows)
+    for k, seen in (("a", likes), ("b", likes[::-1])):
+        belief = {i: 1 / 3 for i in range(3)}
+        for i, x in enumerate(seen):
+            if not x:
+                assert got[k, i] is None
+                continue
+            belief = belief_step(belief, dict(enumerate(x)), {a: dict(enumerate(r)) for a, r in enumerate(m)})
+            assert got[k, i] == pytest.approx([belief.get(j, 0.0) for j in range(3)])
+
+
 def test_beliefs():
     like = likelihoods({0: 0.9, 1: 0.1}, 0.1)
     assert sum(like.values()) == pytest.approx(1) and likelihoods({0: 1, 1: 0}, 0)[0] == pytest.approx(1)
@@ -289,3 +336,14 @@ def test_config():
     assert store.validate_config(good) == []
     assert store.validate_config({"localization": {"w_visual": 1.5}}) and store.validate_config({})
     assert store.validate_config(good | {"embedding": {"model": "x"}}, ("y",))
+
+
+def test_settings_files(tmp_path):
+    (tmp_path / "a.json").write_text('{"localization": {"w_visual": 0.5}, "paths": {"video": "v.mp4", "map": "no/map"}}')
+    cfg = store.load_config(str(tmp_path / "a.json"))
+    assert [x for x, _ in store.validate_config(cfg, root=str(tmp_path))] == ["warning", "error"]
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("localization:\n  w_visual: 0.5\n")
+    assert store.load_config(str(tmp_path / "a.yaml")) == {"localization": {"w_visual": 0.5}}
+    with pytest.raises(FileNotFoundError):
+        store.load_config(str(tmp_path / "none.yaml"))

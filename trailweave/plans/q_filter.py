@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailweave.functions import registry
+from trailweave.operators import places
 from trailweave.operators import sequence as seq
 from trailweave.plans.catalog import query, table
+from trailweave.plans.q_graph import _WARN, graph_warnings
 from trailweave.plans.q_retrieval import _CAND, _candidates
 from trailweave.scratch import run_dir
 from trailweave.sources import store
@@ -55,21 +61,26 @@ _MOVE = "list_transform([1, 2, 3, 4], lambda j: list_sum(list_transform([1, 2, 3
 )
 def filter_replay(s, d):
     like = F.when(F.col("event_id") % 13 != 0, bayes.softmax(_evidence(), 0.379))
-    frames = F.transform(F.sort_array(F.collect_list(F.struct("pos", like.alias("l")))), lambda x: x["l"])
-    g = _ev(s, d).groupBy("user_id").agg(frames.alias("frames"))
-    matrix = F.array(*[F.array(*map(F.lit, r)) for r in MATRIX])
-    post = bayes.filter_replay(F.col("frames"), F.array(*[F.lit(0.25)] * 4), matrix)
-    rows = g.select("user_id", F.posexplode(post).alias("pos", "post"))
+    frames = _ev(s, d).select("user_id", F.col("pos").cast("long").alias("pos"), like.alias("likelihood"))
+    rows = bayes.filter_replay(frames, "user_id", "pos", "likelihood", MATRIX).withColumnRenamed("posterior", "post")
     total = F.aggregate("post", F.lit(0.0), lambda a, x: a + x)
     known = F.col("post").isNotNull()
-    return rows.select("user_id", F.col("pos").cast("long").alias("pos"), F.round(F.coalesce(F.array_max("post"), F.lit(0.0)), 6).alias("best"), F.round(F.when(known, 1 - total).otherwise(1.0), 6).alias("unknown"), F.round(F.when(known, bayes.entropy(F.col("post"), 4)).otherwise(1.0), 6).alias("entropy"))
+    return rows.select("user_id", "pos", F.round(F.coalesce(F.array_max("post"), F.lit(0.0)), 6).alias("best"), F.round(F.when(known, 1 - total).otherwise(1.0), 6).alias("unknown"), F.round(F.when(known, bayes.entropy(F.col("post"), 4)).otherwise(1.0), 6).alias("entropy"))
+
+
+NAMES = {0: "Lobby", 2: "Hall"}
 
 
 def world(goal: int | None = 3, **settings) -> tracker.World:
     """A path of four places, as a tracker's map."""
     hops = {a: {b: abs(a - b) for b in range(4)} for a in range(4)}
     routes = {(a, b): list(range(a, b + 1) if a <= b else range(a, b - 1, -1)) for a in range(4) for b in range(4)}
-    return tracker.World(list(range(4)), {i: dict(enumerate(r)) for i, r in enumerate(MATRIX)}, hops, routes, goal, settings)
+    return tracker.World(list(range(4)), {i: dict(enumerate(r)) for i, r in enumerate(MATRIX)}, hops, routes, goal, settings, NAMES)
+
+
+def _masses():
+    """A belief as place:millionths."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries("posterior")), lambda e: F.concat_ws(":", e["key"].cast("string"), F.round(e["value"] * 1000000).cast("long").cast("string"))), ",")
 
 
 def tracker_frames(s, d):
@@ -99,28 +110,30 @@ _STEP = f"SELECT *, CASE WHEN rep IS NULL THEN gn WHEN home THEN gn + 1 ELSE 0 E
 
 
 _TRACK = f"""WITH RECURSIVE {_EV}, mm AS (SELECT {_M} AS m),
-    r AS (SELECT DISTINCT user_id, (-1)::BIGINT pos, NULL::DOUBLE[] belief, 'UNCERTAIN' state, 'GLOBAL' mode, NULL::BIGINT place, NULL::BIGINT pending, 0::BIGINT pn, 0::BIGINT weak, 0::BIGINT gn, NULL::BIGINT rep, 0::DOUBLE score, false chg, false arr, 0::DOUBLE unk, 0::DOUBLE ent, false has, false home FROM ev UNION ALL
-     SELECT user_id, npos, CASE WHEN NOT lost THEN bel END, st, md, place1, pend2, pn2, weak2, gn1, rep, score, chg, home AND gn1 >= 2, unk, ent, has, home FROM ({_STEP})),
+    r AS (SELECT DISTINCT user_id, (-1)::BIGINT pos, NULL::DOUBLE[] belief, 'UNCERTAIN' state, 'GLOBAL' mode, NULL::BIGINT place, NULL::BIGINT pending, 0::BIGINT pn, 0::BIGINT weak, 0::BIGINT gn, NULL::BIGINT rep, 0::DOUBLE score, false chg, false arr, 0::DOUBLE unk, 0::DOUBLE ent, false has, false home, NULL::DOUBLE[] post FROM ev UNION ALL
+     SELECT user_id, npos, CASE WHEN NOT lost THEN bel END, st, md, place1, pend2, pn2, weak2, gn1, rep, score, chg, home AND gn1 >= 2, unk, ent, has, home, post FROM ({_STEP})),
     o AS (SELECT *, CASE WHEN arr THEN 'ARRIVED' ELSE state END os FROM r WHERE pos >= 0)"""
+#: Beliefs as place:millionths.
+_POST = "coalesce(array_to_string(list_transform(list_filter([0, 1, 2, 3], lambda i: post[i + 1] > 0), lambda i: i || ':' || round(post[i + 1] * 1000000)::BIGINT), ','), '')"
 _LEVEL = "CASE WHEN unk > 0.4 THEN 'UNKNOWN' WHEN score > 0.526 AND has AND ent < 0.4 THEN 'HIGH' WHEN score < 0.226 OR NOT has THEN 'LOW' ELSE 'MEDIUM' END"
 
 
 @query(
     "t1_t5_b7_d15_d18_tracker_replay",
     f"""{_TRACK}
-    SELECT user_id, pos AS seq, rep AS place_id, round(score, 6) AS confidence, chg AS changed, os IN ('UNCERTAIN', 'LOST') AS low_confidence, arr AS arrived, CASE WHEN rep IS NOT NULL AND NOT home THEN array_to_string(range(rep, 4), ',') END AS route, os AS state, mode,
-     {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, round(ent, 6) AS entropy FROM o""",
+    SELECT user_id, pos AS seq, rep AS place_id, CASE rep WHEN 0 THEN 'Lobby' WHEN 2 THEN 'Hall' ELSE coalesce('Place_' || rep, 'Unrecognized') END AS place_name, round(score, 6) AS confidence, chg AS changed, os IN ('UNCERTAIN', 'LOST') AS low_confidence, arr AS arrived, CASE WHEN rep IS NOT NULL AND NOT home THEN array_to_string(range(rep, 4), ',') END AS route, CASE WHEN rep IS NOT NULL AND NOT home THEN array_to_string(['Lobby', 'Place_1', 'Hall', 'Place_3'][rep + 1:], ' -> ') END AS directions, os AS state, mode,
+     {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, round(ent, 6) AS entropy, {_POST} AS posterior FROM o""",
 )
 def tracker_replay(s, d):
     out = tracker.replay(tracker_frames(s, d), "user_id", world(likelihood_temperature=0.1))
-    return out.withColumn("route", F.array_join("route", ",")).withColumns({c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
+    return out.withColumns({"route": F.array_join("route", ","), "posterior": _masses()} | {c: F.round(c, 6) for c in ("confidence", "unknown_mass", "entropy")})
 
 
-@query("d17_decision_log", f"{_TRACK} SELECT user_id, pos AS seq, os AS state, mode, {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, rep AS place_id, round(score, 6) AS best_score, CASE WHEN has THEN 2 ELSE 0 END AS candidates FROM o")
+@query("d17_decision_log", f"{_TRACK} SELECT user_id, pos AS seq, os AS state, mode, {_LEVEL} AS confidence_level, round(unk, 6) AS unknown_mass, rep AS place_id, round(score, 6) AS best_score, CASE WHEN has THEN 2 ELSE 0 END AS candidates, {_POST} AS posterior FROM o")
 def decision_log(s, d):
     frames = tracker_frames(s, d)
     log = tracker.decision_log(tracker.replay(frames, "user_id", world(likelihood_temperature=0.1)), frames, "user_id", 2)
-    return log.withColumns({"candidates": F.size("candidates"), "unknown_mass": F.round("unknown_mass", 6), "best_score": F.round("best_score", 6)})
+    return log.withColumns({"candidates": F.size("candidates"), "posterior": _masses(), "unknown_mass": F.round("unknown_mass", 6), "best_score": F.round("best_score", 6)})
 
 
 @query(
@@ -221,18 +234,108 @@ def term_breakdown(s, d):
     return top.select("query_id", F.col("new_rank").alias("rank"), "place", F.round("total", 4).alias("total"), F.round("score", 4).alias("visual_term"), "semantic_term", "temporal_term", "graph_term")
 
 
-@query("s7_s8_map_round_trip", "SELECT count(DISTINCT label) AS n_places, 2 AS n_edges, count(*) AS n_observations FROM embeddings")
-def map_round_trip(s, d):
-    import uuid
+def _fresh(s, name):
+    return f"{run_dir(s)}/{name}/{uuid.uuid4().hex}"
+
 
-    path = f"{run_dir(s)}/maps/{uuid.uuid4().hex}"
+@query(
+    "s7_s8_map_round_trip",
+    """SELECT 'place' AS kind, label::VARCHAR AS key, count(*) || ',' || sum(vec_id) AS value FROM embeddings GROUP BY label UNION ALL SELECT 'node', label::VARCHAR, '' FROM embeddings GROUP BY label
+    UNION ALL SELECT 'name', label::VARCHAR, CASE WHEN label = 0 THEN 'Lobby' ELSE 'Place_' || label END FROM embeddings GROUP BY label UNION ALL SELECT * FROM (VALUES ('edge', '0-1', '900'), ('edge', '1-2', '700'))
+    UNION ALL SELECT 'exemplar', vec_id::VARCHAR, label::VARCHAR FROM embeddings WHERE vec_id % 10 = 0 UNION ALL SELECT 'manifest', 'm', count(DISTINCT label) || ',2,' || count(*) FROM embeddings""",
+)
+def map_round_trip(s, d):
+    path = _fresh(s, "maps")
     obs = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     places = obs.groupBy(F.col("label").alias("place_id")).agg(F.sort_array(F.collect_list("id")).alias("observation_ids"))
     nodes = places.select(F.col("place_id").alias("id"))
     edges = s.sql("SELECT * FROM VALUES (0, 1, 0.9D), (1, 2, 0.7D) AS t(src, dst, confidence)")
     names = s.sql("SELECT 0 AS place_id, 'Lobby' AS name")
     store.write_map(path, places, nodes, edges, obs.where("id % 10 = 0"), names, obs, {"map_id": "m", "encoder": "e"})
-    return store.load_map(s, path)["manifest"].select("n_places", "n_edges", "n_observations")
+    m = store.load_map(s, path)
+    total = F.aggregate("observation_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = {
+        "place": ("places", F.col("place_id"), F.concat_ws(",", F.size("observation_ids").cast("string"), total.cast("string"))),
+        "node": ("nodes", F.col("id"), F.lit("")),
+        "name": ("names", F.col("place_id"), F.col("name")),
+        "edge": ("edges", F.concat_ws("-", "src", "dst"), F.round(F.col("confidence") * 1000).cast("int").cast("string")),
+        "exemplar": ("exemplars", F.col("id"), F.col("label").cast("string")),
+        "manifest": ("manifest", F.col("map_id"), F.concat_ws(",", "n_places", "n_edges", "n_observations")),
+    }
+    return reduce(DataFrame.unionByName, [m[t].select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.alias("value")) for kind, (t, key, value) in parts.items()])
+
+
+@query("s6_store_round_trip", "SELECT vec_id AS id, 'sixty-four' AS encoder, 64 AS dimension, count(*) OVER () AS n, 'observations' AS missing FROM embeddings")
+def store_round_trip(s, d):
+    path = _fresh(s, "stores")
+    store.save_store(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), path, "sixty-four")
+    s.range(1).write.parquet(f"{path}-broken/encoder")
+    try:
+        missing = store.load_store(s, f"{path}-broken") and ""
+    except FileNotFoundError as e:
+        missing = str(e).rpartition(" ")[2]
+    facts = F.broadcast(s.read.parquet(f"{path}/encoder"))
+    return store.load_store(s, path).select("id").crossJoin(facts).select("id", "encoder", "dimension", "n", F.lit(missing).alias("missing"))
+
+
+@query("s3_append_constraints", "SELECT vec_id AS id, vec_id % 2 AS part, 3 AS refused FROM embeddings")
+def append_constraints(s, d):
+    """Two parts are appended; a known id, an id that is there twice and a row without a vector are refused, whole."""
+    path = _fresh(s, "stores")
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).alias("part"), "embedding")
+    even, odd = e.where("part = 0"), e.where("part = 1")
+    store.append(s, path, even)
+    refused = 0
+    for bad in (even.limit(1).unionByName(odd), odd.unionByName(odd.limit(1)), odd.withColumn("embedding", F.when(F.col("id") % 3 > 0, F.col("embedding")))):
+        try:
+            store.append(s, path, bad)
+        except ValueError:
+            refused += 1
+    store.append(s, path, odd)
+    return s.read.parquet(path).select("id", "part", F.lit(refused).alias("refused"))
+
+
+@query("d1_s1_observations_as_json_lines", "SELECT 'o' || event_id AS id, event_id / 4.0 AS ts, '' AS marks, event_type AS scene, event_id % 2 = 0 AS known FROM events")
+def json_lines(s, d):
+    e = table(s, d, "events").select(F.concat(F.lit("o"), F.col("event_id").cast("string")).alias("id"), (F.col("event_id") / 4.0).alias("ts"), F.when(F.col("event_id") % 2 == 0, F.struct(F.col("event_type").alias("scene_type"))).alias("scene_tags"), F.col("event_type").alias("segment_id"), F.array(F.lit(1.0)).alias("embedding"))
+    path = _fresh(s, "lines")
+    store.write_jsonl(store.without_vector(e), path)
+    back = store.read_jsonl(s, path)
+    return back.select("id", "ts", F.array_join("landmarks", ",").alias("marks"), F.coalesce("scene_tags.scene_type", "segment_id").alias("scene"), F.col("scene_tags").isNotNull().alias("known"))
+
+
+@query("s12_validation_report", f"{_WARN} SELECT '- **' || w.check || '** ' || subject AS line FROM w UNION ALL SELECT w.check || ' ' || subject FROM w")
+def validation_report(s, d):
+    path = _fresh(s, "reports")
+    store.write_report(graph_warnings(s, d), path)
+    return s.read.text(f"{path}/markdown").select(F.col("value").alias("line")).unionByName(s.read.schema("check string, subject string").json(f"{path}/json").select(F.concat_ws(" ", "check", "subject").alias("line")))
+
+
+@query(
+    "s16_settings",
+    "SELECT * FROM (VALUES ('sound', 'none', 0), ('weight', 'error', 1), ('names', 'error', 5), ('paths', 'error', 1), ('paths', 'warning', 1)) t(settings, level, n)",
+)
+def settings(s, d):
+    good = {"localization": {"w_visual": 0.5, "w_semantic": 0.25}}
+    tried = {
+        "sound": store.validate_config(good),
+        "weight": store.validate_config({"localization": {"w_visual": 1.5}}),
+        "names": store.validate_config(good | {"embedding": {"model": "x"}, "perception": {"detector_model": "d", "vlm_model": "big-4", "vlm_quantization": "4bit"}, "mapping": {"exemplar_method": "luck"}}, ("e",), ("f",), ("g",), ("big",)),
+        "paths": store.validate_config(good | {"paths": {"video": "no-such.mp4", "map": "no/such/folder/map"}}, root="/"),
+    }
+    rows = [(name, level, sum(x == level for x, _ in issues)) for name, issues in tried.items() for level in sorted({x for x, _ in issues}) or ["none"]]
+    return s.createDataFrame(rows, "settings string, level string, n int")
+
+
+@query("k9_exemplar_methods", "SELECT * FROM (VALUES ('diversity', true), ('kmeans', true), ('luck', false), ('temporal_diversity', true)) t(method, known)")
+def exemplar_methods(s, d):
+    e, rows = table(s, d, "embeddings"), []
+    for method in ("diversity", "kmeans", "luck", "temporal_diversity"):
+        try:
+            rows.append((method, places.exemplars(e, "label", ["vec_id"], "vec_id", "embedding", method) is not None))
+        except ValueError:
+            rows.append((method, False))
+    return s.createDataFrame(rows, "method string, known boolean")
 
 
 def _sizes() -> registry.Encoder:

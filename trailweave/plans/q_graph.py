@@ -55,10 +55,11 @@ def components(s, d):
     return graph.components(_nodes(s, d), _edges(s, d))
 
 
-@query(
-    "g5_g6_graph_warnings",
-    f"WITH {_T}, c AS (SELECT user_id % 40 id, count(*) n, stddev_pop(value) / 100 sd, count(*) FILTER (WHERE event_type = 'click') k, count(*) FILTER (WHERE event_type <> 'click') o FROM events GROUP BY 1), a AS (SELECT n.id, c.n, c.sd, k, o FROM n JOIN c USING (id)) SELECT 'isolated_node' AS check, id::VARCHAR AS subject FROM a WHERE id NOT IN (SELECT src FROM b) UNION ALL SELECT 'low_observations', id::VARCHAR FROM a WHERE n < 200 UNION ALL SELECT 'high_variance', id::VARCHAR FROM a WHERE sd > 0.35 UNION ALL SELECT 'mixed_scene', id::VARCHAR FROM a WHERE k > 0 AND o > 0 AND least(k, o) / (k + o) >= 0.2 UNION ALL SELECT 'weak_edge', src || '-' || dst FROM g WHERE confidence < 0.6 OR support < 200",
-)
+#: Problems of the graph: check, subject.
+_WARN = f"WITH {_T}, c AS (SELECT user_id % 40 id, count(*) n, stddev_pop(value) / 100 sd, count(*) FILTER (WHERE event_type = 'click') k, count(*) FILTER (WHERE event_type <> 'click') o FROM events GROUP BY 1), a AS (SELECT n.id, c.n, c.sd, k, o FROM n JOIN c USING (id)), w AS (SELECT 'isolated_node' AS check, id::VARCHAR AS subject FROM a WHERE id NOT IN (SELECT src FROM b) UNION ALL SELECT 'low_observations', id::VARCHAR FROM a WHERE n < 200 UNION ALL SELECT 'high_variance', id::VARCHAR FROM a WHERE sd > 0.35 UNION ALL SELECT 'mixed_scene', id::VARCHAR FROM a WHERE k > 0 AND o > 0 AND least(k, o) / (k + o) >= 0.2 UNION ALL SELECT 'weak_edge', src || '-' || dst FROM g WHERE confidence < 0.6 OR support < 200)"
+
+
+@query("g5_g6_graph_warnings", f"{_WARN} SELECT * FROM w")
 def graph_warnings(s, d):
     e = table(s, d, "events")
     click = (F.col("event_type") == "click").cast("int")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,12 +163,39 @@ def write_report(warnings: DataFrame, path: str) -> None:
 WEIGHTS = ("w_visual", "w_semantic", "w_temporal", "w_graph")
 
 
-def validate_config(cfg: dict, encoders: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+def load_config(path: str) -> dict:
+    """Settings from a .json file, or from YAML where a reader of that is installed."""
+    with open(path, encoding="utf-8") as f:  # FileNotFoundError names the path
+        if path.endswith(".json"):
+            return json.load(f) or {}
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError(f"{path}: no YAML reader is installed; give the settings as .json") from e
+        return yaml.safe_load(f) or {}
+
+
+def validate_config(cfg: dict, encoders: tuple[str, ...] = (), detectors: tuple[str, ...] = (), taggers: tuple[str, ...] = (), never_4bit: tuple[str, ...] = (), root: str | None = None) -> list[tuple[str, str]]:
     """Problems of the settings: (error or warning, what); none if they are sound.
 
-    ``encoders``: the names that may be asked for; empty: any.
+    ``encoders``, ``detectors``, ``taggers``: the names that may be asked for; empty: any. Taggers whose
+    name holds one of ``never_4bit`` mustn't be quantised to 4 bits. With a ``root``, the folders of
+    ``paths`` must exist below it; a missing video alone is a warning.
     """
     out = []
+    for key, rel in (cfg.get("paths") or {}).items() if root is not None else ():
+        if isinstance(rel, str):
+            at = Path(root) / rel
+            if not at.parent.exists():
+                out.append(("error", f"paths.{key}: {at.parent} doesn't exist"))
+            elif key == "video" and not at.exists():
+                out.append(("warning", f"paths.{key}: {at} doesn't exist yet"))
+    sight = cfg.get("perception") or {}
+    for key, names in (("detector_model", detectors), ("vlm_model", taggers)):
+        if names and sight.get(key) not in names:
+            out.append(("error", f"perception.{key} {sight.get(key)!r} isn't registered"))
+    if sight.get("vlm_quantization") == "4bit" and any(n in (sight.get("vlm_model") or "") for n in never_4bit):
+        out.append(("error", f"perception.vlm_quantization: {sight['vlm_model']} can't run at 4 bits"))
     loc = cfg.get("localization") or {}
     weights = {k: float(loc.get(k, 0.0)) for k in WEIGHTS}
     out += [("error", f"localization.{k} must lie within 0 and 1, not {v}") for k, v in weights.items() if not 0 <= v <= 1]
