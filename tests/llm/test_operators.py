@@ -441,6 +441,58 @@ def test_warc(spark, split):
     assert not got
 
 
+def magic_pages(spark, n=200):
+    """Pages that all hold magics, whole records among them, and are long enough for many splits."""
+    rows = [(i, "http://x", f"page {i} " + (INNER + "pad " * (i % 90)) * (1 + i % 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return df, sorted((i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows)
+
+
+def test_warc_read_in_other_splits_than_planned(spark):
+    """The split size changes after the plan was made, and again each time that a table is written."""
+    df, want = magic_pages(spark)
+    path = fresh_path(spark, "warc")
+    warc.write_archives(df, path)
+    sizes, write = iter(["4k", "64k", "1k", "300k"] * 100), warc.written
+
+    def other_splits(table, name):
+        out = write(table, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        warc.written = other_splits
+        out = warc.read_archives(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in out.collect())
+    finally:
+        warc.written = write
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_warc_very_long_page(spark):
+    html = (INNER + "long " * 3000) * 200 + "é" * 1_000_000
+    df = spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "short")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.warc_round_trip(df, fresh_path(spark, "warc")).collect()}
+    assert got == {1: (len(html.encode()), "response"), 2: (len(html.encode()), "revisit"), 3: (5, "response")}
+
+
+def test_tables_of_rounds_go(spark):
+    from trailweave.llm.work import done, temporaries
+    from trailweave.sources.store import exists
+
+    with temporaries(spark):
+        kept = written(spark.range(3), "inside")
+        assert kept.count() == 3
+    assert not exists(spark, kept._written_at)
+    outside = written(spark.range(3), "outside")
+    assert outside.count() == 3
+    done(outside)
+    assert not exists(spark, outside._written_at)
+
+
 def test_warc_odd_rows(spark):
     kinds = "page_id long, url string, html string"
     df = spark.createDataFrame([(None, None, "z"), (None, "u", "z"), (3, None, "z"), (3, "v", "z"), (None, "w", None)], kinds)

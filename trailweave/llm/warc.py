@@ -142,10 +142,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     together again from its rows.
 
     Broken files: what the start doesn't reach is left out. Payload digests are computed from the
-    payloads; revisits carry those of what they refer to.
+    payloads; revisits carry those of what they refer to. Records without an id, or that name none
+    they refer to, have nulls there; a folder of empty files gives an empty result.
     """
     ship(spark)
-    lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mid"))
+    lines = _lines(spark, path)
     cut = F.locate(END, F.col("value"))
     head = F.when(cut > 0, F.substring(F.col("value"), 1, cut - 1)).otherwise("")
     field = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r]*)", 1)
@@ -171,14 +172,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         ),
         "warc-lines",
     )
-    # The row before the first magic of a file is empty: its offset is 0, and every other row follows a magic.
-    size = F.col("bytes") + len(MAGIC)
-    per = meta.groupBy("file", "split").agg(F.sum(size).alias("n"))
-    # Splits of a file, not their rows, meet in a task here.
-    per = per.select("file", "split", (F.sum("n").over(W.partitionBy("file").orderBy("split")) - F.col("n")).alias("begin"), "n")
-    within = F.sum(size).over(W.partitionBy("file", "split").orderBy("mid")) - size
-    at = meta.withColumn("within", within).join(per, ["file", "split"]).withColumn("at", F.col("begin") + F.col("within") - len(MAGIC))
-    rows = written(at.withColumn("next", F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("content") + len(END)).withColumn("stop", F.col("begin") + F.col("n") - len(MAGIC)).drop("within"), "warc-rows")
+    at = _placed(meta)
+    rows = written(at.withColumn("next", F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("content") + len(END)).withColumn("stop", F.col("begin") + F.col("n") - len(MAGIC)), "warc-rows")
     cand = rows.where("at >= 0 AND content IS NOT NULL").select("file", "split", "mid", "at", "next", "stop")
     exits = written(cand.groupBy("file", "split").applyInPandas(_chain(True), "file string, at long, exit long"), "warc-exits")
     # From the file's start over splits: entries reached so far, and where jumps of 2**i splits lead.
@@ -201,17 +196,45 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     out = done.select("page_id", *kinds, F.col("kind").alias("record_type"), "refers_to")
     broken = records.where("NOT whole AND kind <> 'revisit'").select("file", "at", "next", "page_id", "kind", "content", "refers_to")
     if not broken.isEmpty():
-        out = out.unionByName(_rejoined(lines, rows, broken))
+        out = out.unionByName(_rejoined(lines, broken))
     return out
 
 
-def _rejoined(lines: DataFrame, rows: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records whose payloads hold magics: their rows are brought together again, in order."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """What follows each magic of the files: value, and where it was read: file, split, mid (its order in the split)."""
+    return spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("mid"))
+
+
+def _placed(meta: DataFrame) -> DataFrame:
+    """Adds ``at``, the offset in the file of the magic before each row, and of its split ``begin`` and length ``n``.
+
+    ``meta`` (file, split, mid, bytes) must have been written: splits and orders hold for one reading
+    only, as split sizes follow the session and the executors at hand. Offsets hold for all readings.
+    The row before the first magic of a file is empty: its offset is 0, and every other row follows a
+    magic.
+    """
+    size = F.col("bytes") + len(MAGIC)
+    per = meta.groupBy("file", "split").agg(F.sum(size).alias("n"))
+    # Splits of a file, not their rows, meet in a task here.
+    per = per.select("file", "split", (F.sum("n").over(W.partitionBy("file").orderBy("split")) - F.col("n")).alias("begin"), "n")
+    within = F.sum(size).over(W.partitionBy("file", "split").orderBy("mid")) - size
+    return meta.withColumn("within", within).join(per, ["file", "split"]).withColumn("at", F.col("begin") + F.col("within") - len(MAGIC)).drop("within")
+
+
+def _rejoined(lines: DataFrame, broken: DataFrame) -> DataFrame:
+    """Records whose payloads hold magics: their rows are brought together again, in order.
+
+    Only now is it known which rows these are, so the files that have such records are read once more
+    and written row by row. This reading's splits may be others than the first one's; rows meet their
+    records by offsets in the file, which are worked out for this reading anew.
+    """
     spans = broken.select("file", F.col("at").alias("from_at"), "next", "page_id", "kind", "content", "refers_to")
+    again = written(lines.join(spans.select("file").distinct(), "file", "left_semi").withColumn("bytes", F.octet_length("value").cast("long")), "warc-texts")
     step = 1 << 22
     cells = spans.withColumn("cell", F.explode(F.sequence((F.col("from_at") / step).cast("long"), (F.col("next") / step).cast("long"))))
-    inner = rows.select("file", "split", "mid", "at", (F.col("at") / step).cast("long").alias("cell")).join(cells, ["file", "cell"]).where("at >= from_at AND at < next")
-    text = inner.join(lines, ["file", "split", "mid"])
+    placed = _placed(again.select("file", "split", "mid", "bytes")).select("file", "split", "mid", "at", (F.col("at") / step).cast("long").alias("cell"))
+    inner = placed.join(cells, ["file", "cell"]).where("at >= from_at AND at < next")
+    text = inner.join(again.drop("bytes"), ["file", "split", "mid"])
     whole = text.groupBy("file", "from_at", "next", "page_id", "kind", "content", "refers_to").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     head = F.locate(END, F.col("value"))
     body = F.substring(F.col("value"), head + len(END), F.length("value") - head - 2 * len(END) + 1)

@@ -6,26 +6,26 @@ the session names in ``spark.checkpoint.dir``, so that a lost executor costs a t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.scratch import drop, run_dir
 from trailweave.shipping import ship
 
-__all__ = ["BROADCAST_BYTES", "fresh_path", "let", "literal_rows", "shared_dir", "ship", "small_side", "sweep", "written"]
+__all__ = ["BROADCAST_BYTES", "done", "fresh_path", "let", "literal_rows", "ship", "small_side", "sweep", "temporaries", "written"]
 #: The largest table, in estimated bytes, that is ever broadcast on purpose.
 BROADCAST_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+_TEMPORARY: ContextVar[list | None] = ContextVar("temporary", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/trailweave/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the application's folder, which goes when Python ends."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,14 +33,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (left := _TEMPORARY.get()) is not None:
+        left.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more: those of earlier rounds, mostly."""
+    for t in tables:
+        drop(t.sparkSession, t._written_at)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever ``written`` wrote within: for callers that have written the result."""
+    left: list[str] = []
+    token = _TEMPORARY.set(left)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        for path in left:
+            drop(spark, path)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes all tables that ``written`` has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/trailweave")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all tables that this application has left in the shared folder."""
+    drop(spark, run_dir(spark))
 
 
 def let(value: Column, body) -> Column:
