@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -255,14 +256,60 @@ def test_packing(hard, empty, library):
 
 def test_local_search_empties_bins():
     rnd = random.Random(3)
-    for _ in range(30):
-        lengths = [rnd.randint(1, 100) for _ in range(200)]
-        bins = [[i] for i in range(200)]
-        out = packing.local_search(lengths, [list(b) for b in bins], 100, 50)
-        assert sorted(i for b in out for i in b) == list(range(200)) and max(sum(lengths[i] for i in b) for b in out) <= 100
-        assert len(out) <= 1.15 * math.ceil(sum(lengths) / 100)
+    emptied = better = 0
+    for k in range(30):
+        lengths = [rnd.randint(1, 100) if k % 2 else rnd.randint(24, 35) for _ in range(200)]
+        for start in ([[i] for i in range(200)], packing.best_fit(lengths, 100, falling=False), packing.best_fit(lengths, 100)):
+            out = packing.local_search(lengths, [list(b) for b in start], 100)
+            assert sorted(i for b in out for i in b) == list(range(200)) and max(sum(lengths[i] for i in b) for b in out) <= 100
+            assert len(out) <= len(start)
+            emptied += len(start) - len(out) if len(start) < 200 else 0
         fit = packing.best_fit(lengths, 100)
-        assert len(packing.local_search(lengths, fit, 100)) <= len(fit)
+        assert math.ceil(sum(lengths) / 100) <= len(packing.packed_bins(lengths, 100)) <= len(fit)
+        better += len(packing.packed_bins(lengths, 100)) < len(fit)
+    assert emptied > 30 and better > 5
+
+
+def steps_left(lengths, bins, room):
+    """Whether some move, one-for-one or two-for-one exchange still raises the sum of squared fills."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    few = lambda b, n: [c for k in range(n + 1) for c in itertools.combinations(b, k)]
+    for x, y in itertools.permutations(range(len(bins)), 2):
+        if fill[x] == room or fill[y] == room:
+            continue
+        for out in few(bins[x], 2)[1:]:
+            for back in few(bins[y], 2):
+                d = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                if len(out) + len(back) <= 3 and (back or len(out) == 1) and 0 < d <= room - fill[y] and fill[y] + d > fill[x]:
+                    return True
+    return False
+
+
+def fewest(lengths, room):
+    """The fewest bins of any packing, over all subsets."""
+    n = len(lengths)
+    best = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1)  # (closed bins, fill of the open one)
+    for mask in range(1 << n):
+        closed, fill = best[mask]
+        for i in range(n):
+            if not mask >> i & 1:
+                to = (closed, fill + lengths[i]) if fill + lengths[i] <= room else (closed + 1, lengths[i])
+                best[mask | 1 << i] = min(best[mask | 1 << i], to)
+    return best[-1][0] + (best[-1][1] > 0)
+
+
+def test_packing_against_all_packings():
+    rnd = random.Random(8)
+    same = 0
+    for k in range(120):
+        lengths = [rnd.randint(1, 60) if k % 2 else rnd.randint(15, 45) for _ in range(rnd.randint(1, 11 + (k < 6)))]
+        want, bins = fewest(lengths, 60), packing.packed_bins(lengths, 60)
+        assert want <= len(bins) <= len(packing.best_fit(lengths, 60))
+        same += len(bins) == want
+        for start in (packing.best_fit(lengths, 60, falling=False), [[i] for i in range(len(lengths))]):
+            out = packing.local_search(lengths, start, 60)
+            assert len(out) == math.ceil(sum(lengths) / 60) or not steps_left(lengths, out, 60)
+    assert same >= 115
 
 
 def test_repeated_bytes(hard, empty, spark):
