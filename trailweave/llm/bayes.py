@@ -64,7 +64,8 @@ def _scorer(weights: np.ndarray) -> Callable:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
     """Weights fitted on at most ``most`` labelled documents, chosen by a hash of doc_id.
 
-    Contradictory labels of a document count as bad. Without both classes the weights say even odds.
+    Contradictory labels of a document count as bad. Of rows that repeat a doc_id one counts, that with the
+    least numbers; so at most ``most`` rows reach the driver. Without both classes the weights say even odds.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -78,7 +79,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     quality = rows.schema["quality"].dataType.simpleString()
-    got = rows.select("doc_id", "quality", "text").mapInArrow(features, f"doc_id {kind}, quality {quality}, x array<double>").toPandas()
+    found = rows.select("doc_id", "quality", "text").mapInArrow(features, f"doc_id {kind}, quality {quality}, x array<double>")
+    got = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     y = got["quality"].to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return np.zeros(len(NAMES))
@@ -91,7 +93,6 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-
 def site_posteriors(scored: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """Posterior quality of each (host, path), shrunk to its host's, which is shrunk to the global mean.
 
@@ -99,8 +100,11 @@ def site_posteriors(scored: DataFrame, host: str = "host", path: str = "path") -
     beta distribution's that matches the variance between groups, found by the method of moments:
     what groups of their sizes would vary by chance is taken off. Grouped sums alone are used: per
     path first, per host from paths, and the global moments from hosts.
+
+    Null hosts and paths are groups like any other. Rows with a null p_doc say nothing: they don't count,
+    and groups of such rows alone are left out. An empty table gives an empty result.
     """
-    paths = written(scored.groupBy(host, path).agg(F.sum("p_doc").alias("s"), F.count("*").alias("n")), "paths")
+    paths = written(scored.where(F.col("p_doc").isNotNull()).groupBy(host, path).agg(F.sum("p_doc").alias("s"), F.count("*").alias("n")), "paths")
     hosts = written(paths.groupBy(host).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")), "hosts")
 
     def moments(df: DataFrame, s: str, n: str) -> tuple[float, float]:
