@@ -87,7 +87,7 @@ good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT N
 h AS (SELECT stratum, sc FROM b JOIN good USING (doc_id) WHERE NOT base_failed),
 c AS (SELECT * FROM (VALUES {grid}) AS v(rule, i, c)),
 k AS (SELECT stratum, rule, i, c, count(*) AS n, count(*) FILTER (WHERE sc[i + 1] > c) AS k FROM h CROSS JOIN c GROUP BY ALL),
-ok AS (SELECT *, k < n * {a} AND list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})))) <= {delta} / ((SELECT count(DISTINCT stratum) FROM h) * (SELECT count(*) FROM c)) AS ok FROM k),
+ok AS (SELECT *, k < n * {a} AND list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})))) <= {delta} / ((SELECT count(DISTINCT stratum) FROM h) * {len(rules.RULES)}) AS ok FROM k),
 cut AS (SELECT stratum, rule, i, min(c) AS c FROM ok WHERE ok GROUP BY ALL),
 rej AS (SELECT b.r, list(rule ORDER BY i) AS rejected_by FROM b JOIN cut ON cut.stratum = b.stratum WHERE sc[i + 1] > c GROUP BY b.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(array_to_string(rejected_by, ','), '') AS rejected_by FROM b LEFT JOIN rej ON rej.r = b.r"""

@@ -78,19 +78,22 @@ def tail_over_level(k: Column, n: Column, alpha: float, level: Column) -> Column
 def fit_cutoffs(holdout: DataFrame, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
     """For each stratum, the lowest certified cutoff of each rule (null: none is certified).
 
-    ``holdout`` has stratum and a struct f of FEATURES of labelled good documents. A cutoff c of a
-    rule is certified in a stratum if, were its true false-rejection rate over alpha / rules, at most
-    as many good documents as were seen above c would be seen with probability at most
-    delta / (strata * rules * cutoffs): the exact binomial (Clopper-Pearson) bound with Bonferroni's
-    correction. So with probability 1 - delta, in all strata at once, at most alpha of the good
-    documents are rejected, all rules together. Strata with too few labels reject nothing.
+    ``holdout`` has stratum and a struct f of FEATURES of labelled good documents. The cutoffs of a rule
+    are tested in a stratum in a fixed sequence, from the mildest down, and the first that fails ends it:
+    c is certified if, were its true false-rejection rate over alpha / rules, at most as many good
+    documents as were seen above c would be seen with probability at most delta / (strata * rules). That
+    is the exact binomial (Clopper-Pearson) bound; the sequence needs no correction for its own length,
+    as a wrong certificate in it needs the first wrong one, and strata and rules share delta by
+    Bonferroni. So with probability 1 - delta, in all strata at once, at most alpha of the good documents
+    are rejected, all rules together. Fewer documents lie above a milder cutoff, so what passes is
+    always the mild end of the sequence: the lowest that passes is the cutoff. Strata with too few
+    labels reject nothing.
     """
     per_rule = alpha / len(RULES)
     s = scores(F.col("f"))
     seen = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(F.when(s[r] > c, 1).otherwise(0)).alias(f"k_{r}_{i}") for r, cs in RULES.items() for i, c in enumerate(cs)])
     seen = written(seen, "rule-counts")
-    tests = max(1, seen.count()) * sum(map(len, RULES.values()))
-    level = F.lit(delta / tests)
+    level = F.lit(delta / (max(1, seen.count()) * len(RULES)))
     ok = lambda r, i: tail_over_level(F.col(f"k_{r}_{i}"), F.col("n"), per_rule, level) <= 1
     picks = [F.array_min(F.array(*[F.when(ok(r, i), F.lit(c)) for i, c in enumerate(cs)])).alias(f"cut_{r}") for r, cs in RULES.items()]
     return written(seen.select("stratum", "n", *picks), "rule-cutoffs")
