@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailweave.llm.work import literal_rows, written
+from trailweave.llm.work import BROADCAST_BYTES, done, literal_side, written
 
 #: Rows of a shard that one task numbers at most, on average.
 ROWS_PER_CHUNK = 1_000_000
@@ -25,14 +26,82 @@ def number(c: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), 0.0).otherwise(d)
 
 
-def _choose(rows: list, acc: float, target: float, leaf: float, tolerance: float):
-    """The bucket that holds the cut, the weight before it, and the cut itself once it is fine enough."""
-    for r in rows:
-        if acc + r["w"] >= target or r is rows[-1]:
-            before = abs(acc - target) <= abs(acc + r["w"] - target)
-            return r, acc, before, r["w"] <= tolerance * leaf
-        acc += r["w"]
-    raise AssertionError("a node without rows is never split")
+def _double(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
+
+
+def _assigned(tree: dict, n: int, name: Callable[[int], int]) -> str:
+    """SQL for the node that a row comes to from node n: one comparison for each level."""
+    if n not in tree:
+        return str(name(n))
+    x, cut, tie, below, above = tree[n]
+    return f"CASE WHEN {x} < {_double(cut)} OR ({x} = {_double(cut)} AND __kd_t <= {_double(tie)}) THEN {_assigned(tree, below, name)} ELSE {_assigned(tree, above, name)} END"
+
+
+def _crossing(hist: DataFrame) -> list:
+    """Of each node's buckets (b, w, n, lo, hi) that in which the weight before it comes to ``target``, or the last.
+
+    hist: also node, target, acc (the weight before the first bucket) and what else is one a node. One
+    row a node reaches the driver.
+    """
+    w = W.partitionBy("__kd_node").orderBy("b")
+    end = F.col("acc") + F.sum("w").over(w)
+    row = F.struct(*[c for c in hist.columns if c not in ("__kd_node", "b", "acc")], (F.col("end") - F.col("w")).alias("acc"))
+    per = hist.withColumn("end", end).groupBy("__kd_node")
+    picked = per.agg(F.coalesce(F.min_by(F.when(F.col("end") >= F.col("target"), row), F.when(F.col("end") >= F.col("target"), F.col("b"))), F.max_by(row, "b")).alias("r"))
+    return picked.select("__kd_node", "r.*").collect()
+
+
+def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
+    span = F.when(hi > lo, hi - lo).otherwise(1.0)
+    return F.least(F.floor((v - lo) / span * buckets), F.lit(buckets - 1))
+
+
+_SUMS = (F.sum, "__kd_w", "w"), (F.count, "__kd_w", "n"), (F.min, "v", "lo"), (F.max, "v", "hi")
+
+
+def _cuts(cur: DataFrame, share: dict[int, float], ranges: list[tuple[str, float, float]], buckets: int, fine: float) -> dict:
+    """Cuts of the nodes in ``share``: node -> (column, value, tie). Rows up to the cut weigh ``share`` of the node.
+
+    The first pass sums weights of all dimensions into ``buckets`` equal ranges of what all rows span. The
+    widest dimension of a node and the range that holds its cut are known from that. Further passes go on
+    inside that range, until what is left in doubt weighs at most ``fine`` or is one row. Of rows with one
+    value, their hashes decide.
+    """
+    spark, sums = cur.sparkSession, [f(c).alias(name) for f, c, name in _SUMS]
+    ask = literal_side(spark, list(share.items()), ["__kd_node", "share"], ["int", "double"])
+    each = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(x).alias("v"), F.lit(lo).alias("from"), F.lit(hi).alias("to")) for i, (x, lo, hi) in enumerate(ranges)])
+    rows = cur.join(ask, "__kd_node").select("__kd_node", "share", "__kd_w", F.inline(each))
+    hist = rows.groupBy("__kd_node", "share", "dim", _bucket(F.col("v"), F.col("from"), F.col("to"), buckets).alias("b"), (F.col("to") - F.col("from")).alias("all")).agg(*sums)
+    one, node = W.partitionBy("__kd_node", "dim"), W.partitionBy("__kd_node")
+    span = (F.max("hi").over(one) - F.min("lo").over(one)) / F.when(F.col("all") > 0, F.col("all")).otherwise(1.0)
+    wide = hist.withColumns({"target": F.sum("w").over(one) * F.col("share"), "span": span}).withColumn("best", F.max(F.struct("span", -F.col("dim"))).over(node)).where(F.col("dim") == -F.col("best.col2"))
+    got = _crossing(wide.select("__kd_node", "dim", "target", F.lit(0.0).alias("acc"), "b", "w", "n", "lo", "hi"))
+    state = {r["__kd_node"]: {"dim": r["dim"], "value": None, "target": r["target"]} for r in got}
+    cuts = {}
+    while True:
+        for r in got:
+            n, s = r["__kd_node"], state[r["__kd_node"]]
+            point = r["lo"] == r["hi"]
+            if r["w"] <= fine or (point and (s["value"] is not None or r["n"] == 1)):
+                before = abs(r["acc"] - s["target"]) <= abs(r["acc"] + r["w"] - s["target"])
+                edge = math.nextafter(r["lo"], -math.inf) if before else r["hi"]
+                x = ranges[s["dim"]][0]
+                cuts[n] = (x, edge, 1e300) if s["value"] is None else (x, s["value"], edge)
+                del state[n]
+            elif point:
+                s |= {"value": r["lo"], "lo": 0.0, "hi": 2.0**53, "acc": r["acc"]}
+            else:
+                s |= {"lo": r["lo"], "hi": r["hi"], "acc": r["acc"]}
+        if not state:
+            return cuts
+        asked = [(n, s["dim"], s["value"], s["lo"], s["hi"], s["acc"], s["target"]) for n, s in state.items()]
+        ask = literal_side(spark, asked, ["__kd_node", "dim", "value", "from", "to", "acc", "target"], ["int", "int", *["double"] * 5])
+        x = F.element_at(F.array(*[F.col(x) for x, _, _ in ranges]), F.col("dim") + 1)
+        v = F.when(F.col("value").isNull(), x).otherwise(F.col("__kd_t"))
+        inside = cur.join(ask, "__kd_node").where(F.col("value").isNull() | (x == F.col("value"))).withColumn("v", v).where("v BETWEEN from AND to")
+        hist = inside.groupBy("__kd_node", "target", "acc", _bucket(F.col("v"), F.col("from"), F.col("to"), buckets).alias("b")).agg(*sums)
+        got = _crossing(hist)
 
 
 def kd_shards(
@@ -44,17 +113,21 @@ def kd_shards(
     shards: int | None = None,
     target_bytes: int | None = None,
     buckets: int = 256,
-    tolerance: float = 1e-4,
+    tolerance: float = 1e-3,
+    inline: int = 256,
 ) -> DataFrame:
     """Adds ``shard`` (0..) and ``slot`` (0.. without gaps in each shard) to the rows of ``df``.
 
     A node of the tree stands for some number of shards; it is cut where its weight divides in the
     proportion of the shards on either side, along the dimension in which its rows spread widest
-    (its range, as a share of that of all rows). The cut is found by histograms: each pass sums
-    weights into ``buckets`` equal ranges per node and goes on inside the range that holds the cut,
-    until that range weighs at most ``tolerance`` of a shard or is one value. Rows with one value,
-    such as those of a hot source, are cut by a hash of ``identity``. The driver sees at most
-    ``shards * buckets`` sums a pass; rows never meet in one task.
+    (its range, as a share of that of all rows). All nodes of a level are cut together, in about two
+    passes over the narrow rows: histograms of ``buckets`` ranges, and again of the range that holds the
+    cut, until that weighs at most ``tolerance`` of a shard (see _cuts). Rows with one value, such as
+    those of a hot source, are cut by a hash of ``identity``. The driver sees one row a node; rows never
+    meet in one task.
+
+    The tree so far is one expression, a comparison a level, while it has at most ``inline`` cuts; beyond
+    that each level's cuts are joined and the rows are written with their nodes.
 
     Nulls: a null dimension counts as 0, a null weight as 0. Repeated rows may be put into different
     shards. An empty table gives an empty result. ``df`` keeps its columns; pick narrow ones, as they
@@ -70,81 +143,49 @@ def kd_shards(
             F.coalesce(weight.cast("double"), F.lit(0.0)).alias("__kd_w"),
             (mine * 2.0**22 + row).alias("__kd_t"),
             *[d.alias(x) for d, x in zip(dims, xs)],
+            F.lit(0).alias("__kd_node"),
         ),
         "kd-rows",
     )
-    total = base.agg(F.sum("__kd_w").alias("w"), F.count("*").alias("n")).first()
+    total = base.agg(F.coalesce(F.sum("__kd_w"), F.lit(0.0)).alias("w"), F.count("*").alias("n"), *[f(x).alias(f"{k}{x}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))]).first()
     if shards is None:
-        shards = max(1, math.ceil((total["w"] or 0) / target_bytes))
-    leaf = (total["w"] or 0.0) / shards
-    cur = base.withColumn("__kd_node", F.lit(0))
-    todo, free, first, root = {0: shards}, 1, {}, None
-    while total["n"] and any(k > 1 for k in todo.values()):
-        todo = {n: k for n, k in todo.items() if k > 1}
-        live = cur.where(F.col("__kd_node").isin(*todo)) if len(todo) < 64 else cur
-        stats = {
-            r["__kd_node"]: r
-            for r in live.groupBy("__kd_node")
-            .agg(F.sum("__kd_w").alias("w"), *[f(x).alias(f"{k}{x}") for x in xs for k, f in (("lo", F.min), ("hi", F.max))])
-            .collect()
-            if r["__kd_node"] in todo
-        }
-        root = root or stats[0]
-        state, cuts = {}, {}
-        for n, r in stats.items():
-            wide = [(r[f"hi{x}"] - r[f"lo{x}"]) / ((root[f"hi{x}"] - root[f"lo{x}"]) or 1.0) for x in xs]
-            d = max(range(len(xs)), key=lambda i: (wide[i], -i))
-            k = todo[n]
-            state[n] = {"dim": d, "lo": r[f"lo{xs[d]}"], "hi": r[f"hi{xs[d]}"], "value": None, "acc": 0.0, "target": r["w"] * (k // 2) / k}
-        while state:
-            rows = [(n, s["dim"], s["value"], s["lo"], s["hi"]) for n, s in state.items()]
-            ask = literal_rows(spark, rows, ["__kd_node", "dim", "value", "lo", "hi"], ["int", "int", "double", "double", "double"])
-            x = F.element_at(F.array(*xs), F.col("dim") + 1)
-            v = F.when(F.col("value").isNull(), x).otherwise(F.col("__kd_t"))
-            got = (
-                cur.join(F.broadcast(ask), "__kd_node")
-                .where(F.col("value").isNull() | (x == F.col("value")))
-                .select("__kd_node", "__kd_w", v.alias("v"), "lo", "hi")
-                .where("v BETWEEN lo AND hi")
-                .groupBy("__kd_node", F.least(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0) * buckets), F.lit(buckets - 1)).alias("b"))
-                .agg(F.sum("__kd_w").alias("w"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-                .collect()
-            )
-            by_node: dict[int, list] = {}
-            for r in sorted(got, key=lambda r: (r["__kd_node"], r["b"])):
-                by_node.setdefault(r["__kd_node"], []).append(r)
-            for n in list(state):
-                s = state[n]
-                r, acc, before, fine = _choose(by_node[n], s["acc"], s["target"], leaf, tolerance)
-                point = r["lo"] == r["hi"]
-                if fine or (point and (s["value"] is not None or r["n"] == 1)):
-                    edge = math.nextafter(r["lo"], -math.inf) if before else r["hi"]
-                    cuts[n] = (s["dim"], edge, math.inf) if s["value"] is None else (s["dim"], s["value"], edge)
-                    del state[n]
-                elif point:
-                    s |= {"value": r["lo"], "lo": 0.0, "hi": 2.0**53, "acc": acc}
-                else:
-                    s |= {"lo": r["lo"], "hi": r["hi"], "acc": acc}
-        rows, after = [], {}
-        for n, (d, x, t) in cuts.items():
-            rows.append((n, d, x, min(t, 2.0**60), free, free + 1))
-            after |= {free: todo[n] // 2, free + 1: todo[n] - todo[n] // 2}
-            first |= {free: first.get(n, 0), free + 1: first.get(n, 0) + todo[n] // 2}
+        shards = max(1, math.ceil(total["w"] / target_bytes))
+    ranges = [(x, total[f"lo{x}"], total[f"hi{x}"]) for x in xs]
+    todo, free, first, tree, joined = {0: shards}, 1, {0: 0}, {}, False
+    cur = base
+    while total["n"] and (todo := {n: k for n, k in todo.items() if k > 1}):
+        cuts = _cuts(cur, {n: (k // 2) / k for n, k in todo.items()}, ranges, buckets, tolerance * total["w"] / shards)
+        after, level = {}, {}
+        for n, cut in cuts.items():
+            half = todo[n] // 2
+            level[n] = (*cut, free, free + 1)
+            after |= {free: half, free + 1: todo[n] - half}
+            first |= {free: first[n], free + 1: first[n] + half}
             free += 2
-        table = literal_rows(spark, rows, ["__kd_node", "dim", "cut", "tie", "below", "above"], ["int", "int", "double", "double", "int", "int"])
-        x = F.element_at(F.array(*xs), F.col("dim") + 1)
-        low = (x < F.col("cut")) | ((x == F.col("cut")) & (F.col("__kd_t") <= F.col("tie")))
-        cur = cur.join(F.broadcast(table), "__kd_node", "left").select(
-            *base.columns, F.when(F.col("dim").isNull(), F.col("__kd_node")).when(low, F.col("below")).otherwise(F.col("above")).alias("__kd_node")
-        )
-        todo = after
-    leaves = literal_rows(spark, [(n, s) for n, s in ({0: 0} | first).items()], ["__kd_node", "shard"], ["int", "int"])
+        todo, tree = after, tree | level
+        joined = joined or len(tree) > inline
+        if joined:
+            rows = [(n, int(x.removeprefix("__kd_x")), cut, tie, below, above) for n, (x, cut, tie, below, above) in level.items()]
+            table = literal_side(spark, rows, ["__kd_node", "dim", "cut", "tie", "below", "above"], ["int", "int", "double", "double", "int", "int"])
+            x = F.element_at(F.array(*xs), F.col("dim") + 1)
+            low = (x < F.col("cut")) | ((x == F.col("cut")) & (F.col("__kd_t") <= F.col("tie")))
+            to = F.when(F.col("dim").isNull(), F.col("__kd_node")).when(low, F.col("below")).otherwise(F.col("above"))
+            nxt = written(cur.join(table, "__kd_node", "left").select(*base.columns[:-1], to.alias("__kd_node")), "kd-level")
+            done(base)
+            base = cur = nxt
+        else:
+            cur = base.withColumn("__kd_node", F.expr(_assigned(tree, 0, lambda n: n)))
+    if joined:
+        leaves = literal_side(spark, list(first.items()), ["__kd_node", "shard"], ["int", "int"])
+        placed = cur.join(leaves, "__kd_node")
+    else:
+        placed = base.withColumn("shard", F.expr(_assigned(tree, 0, lambda n: first[n])).cast("int"))
     chunks = max(32, math.ceil((total["n"] or 0) / shards / ROWS_PER_CHUNK))
-    placed = cur.join(F.broadcast(leaves), "__kd_node").withColumn("__kd_chunk", F.pmod(F.xxhash64("__kd_t"), F.lit(chunks)).cast("int"))
+    placed = placed.withColumn("__kd_chunk", F.pmod(F.xxhash64("__kd_t"), F.lit(chunks)).cast("int"))
     counts = placed.groupBy("shard", "__kd_chunk").agg(F.count("*").alias("__kd_n"))
     offsets = counts.select("shard", "__kd_chunk", (F.sum("__kd_n").over(W.partitionBy("shard").orderBy("__kd_chunk")) - F.col("__kd_n")).alias("__kd_before"))
     # At most shards * chunks rows of three numbers: as small as the tree itself.
-    offsets = F.broadcast(offsets) if shards * chunks * 24 <= 8 << 20 else offsets
+    offsets = F.broadcast(offsets) if shards * chunks * 24 <= BROADCAST_BYTES else offsets
     rank = F.row_number().over(W.partitionBy("shard", "__kd_chunk").orderBy("__kd_t"))
     return (
         placed.withColumn("__kd_rank", rank)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trailweave.scratch import drop, run_dir
 from trailweave.shipping import ship
 
-__all__ = ["BROADCAST_BYTES", "done", "fresh_path", "let", "literal_rows", "ship", "small_side", "sweep", "temporaries", "written"]
+__all__ = ["BROADCAST_BYTES", "done", "fresh_path", "let", "literal_rows", "literal_side", "ship", "small_side", "sweep", "temporaries", "written"]
 #: The largest table, in estimated bytes, that is ever broadcast on purpose.
 BROADCAST_BYTES = 8 << 20
 _TEMPORARY: ContextVar[list | None] = ContextVar("temporary", default=None)
@@ -81,6 +81,12 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str], types
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
 
 
+def literal_side(spark: SparkSession, rows: list[tuple], names: list[str], types: list[str]) -> DataFrame:
+    """``literal_rows`` with a broadcast hint if they stay below BROADCAST_BYTES: a value takes about 8 bytes."""
+    df = literal_rows(spark, rows, names, types)
+    return F.broadcast(df) if len(rows) * len(names) * 8 <= BROADCAST_BYTES else df
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay below BROADCAST_BYTES, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
