@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.work import ship, written
+from trailweave.llm.work import done, ship, written
 
 #: Fingerprints of one block value that a task compares at most; larger groups are dealt out by tile pairs.
 TILE = 4096
@@ -123,19 +124,23 @@ def _linker(radius: int) -> Callable:
 def near_edges(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` of ``distinct`` as all links within ``radius`` do.
 
-    The tiles: fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` blocks of
-    bits, so only tiles of one block value are ever compared with each other, and a plain grid of
-    tiles over everything, which grows with the square of the table, isn't needed; no link is lost.
-    A block value with more than ``tile`` fingerprints is cut into tiles by population count, and
-    pairs of its tiles whose counts are within the radius go to tasks of their own.
+    The tiles: bits are cut into ``radius + 3`` blocks. Fingerprints within ``radius`` bits agree on at
+    least three of them, so only tiles that have one choice of three blocks, and its bits, in common
+    are ever compared: a plain grid of tiles over everything, which grows with the square of the table,
+    isn't needed, and no link is lost. With a radius of 4 that is 35 choices of 27 bits or so: of n
+    random fingerprints each meets about n / 4,000,000. A choice with more than ``tile`` fingerprints is
+    cut into tiles by population count, and pairs of its tiles whose counts are within the radius go to
+    tasks of their own.
     """
-    n = radius + 1
+    n = radius + 3
     edges = [64 * i // n for i in range(n + 1)]
-    keys = [F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    blocks = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(blocks, 3)]
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("grp"))
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(sizes.where(F.col("n") > tile), "hot-blocks")
-    link, none = _linker(radius), F.lit(0).cast("long")
+    sizes = written(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "blocks")
+    sized = sizes.where(F.col("n") > tile)
+    link = _linker(radius)
 
     def linked(df: DataFrame) -> DataFrame:
         return df.repartition("grp").sortWithinPartitions("grp").mapInArrow(link, "a long, b long")
@@ -174,7 +179,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        cur = written(nxt.where("u > v").distinct(), "cc")
+        before, cur = cur, written(nxt.where("u > v").distinct(), "cc")
+        done(before)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
@@ -197,7 +203,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, tile: int = TILE) -> DataF
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     cc = written(components(near_edges(distinct.select("fp"), radius, tile)), "components")
     rooted = distinct.join(cc, distinct["fp"] == cc["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join with a root that many fingerprints reach can be split, or isn't shuffled at all.
+    ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
     per_print = written(rooted.join(ids, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(per_print, "fp").select("doc_id", "fp", "component_id")
 
