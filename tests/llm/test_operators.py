@@ -8,12 +8,14 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trailweave.llm import bayes, decontam, packing, rules, secrets, shard, simhash, suffix, tokens, warc
+from trailweave.llm import queries as llm_queries
 from trailweave.llm.queries import tokenizer_path
 from trailweave.llm.work import fresh_path, written
 
@@ -45,6 +47,31 @@ def hard(spark):
     return written(df.withColumns({c: F.lit(1) for c in CLASH}), "hard")
 
 
+class Duck:
+    """Runs the registered SQL over tables made here."""
+
+    def table(self, **columns):
+        import pyarrow as pa
+
+        return pa.table(columns)
+
+    def rows(self, name, tables, columns):
+        import duckdb
+
+        c = duckdb.connect()
+        for t, data in tables.items():
+            c.register(t, data)
+        cur = c.execute(llm_queries.oracle_sql()[name])
+        at = [[x[0] for x in cur.description].index(k) for k in columns]
+        return sorted(tuple(r[i] for i in at) for r in cur.fetchall())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    pytest.importorskip("duckdb")
+    return Duck()
+
+
 @pytest.fixture(scope="module")
 def empty(spark):
     return spark.createDataFrame([], DOCS)
@@ -83,6 +110,35 @@ def test_sharding_balances_hot_values(spark):
     assert sizes.tolist() == [100] * 4
 
 
+def plain_kd(rows, shards, ranges=None, first=0):
+    """A k-d tree over (weight, point, name) without ties: name -> shard."""
+    if shards == 1 or not rows:
+        return {r[2]: first for r in rows}
+    span = lambda rs: [max(r[1][i] for r in rs) - min(r[1][i] for r in rs) for i in range(len(rs[0][1]))]
+    ranges = ranges or span(rows)
+    wide = [s / (r or 1.0) for s, r in zip(span(rows), ranges)]
+    d = wide.index(max(wide))
+    rows, half = sorted(rows, key=lambda r: r[1][d]), shards // 2
+    target, acc, k = sum(r[0] for r in rows) * half / shards, 0.0, 0
+    while k < len(rows) - 1 and acc + rows[k][0] < target:
+        acc, k = acc + rows[k][0], k + 1
+    k += abs(acc - target) > abs(acc + rows[k][0] - target)
+    return plain_kd(rows[:k], half, ranges, first) | plain_kd(rows[k:], shards - half, ranges, first + half)
+
+
+@pytest.mark.parametrize("inline", [256, 3])
+def test_sharding_against_a_plain_tree(spark, inline):
+    rnd = random.Random(inline)
+    points = [(rnd.randint(1, 90), (rnd.random() ** 2, rnd.gauss(0, 5), rnd.random() * 1e6), i) for i in range(700)]
+    df = spark.createDataFrame([(i, w, *x) for w, x, i in points], "id long, w long, a double, b double, c double").repartition(5)
+    for shards in (7, 16):
+        out = shard.kd_shards(df, df["w"], [df["a"], df["b"], df["c"]], [df["id"]], shards=shards, buckets=8, tolerance=0.0, inline=inline).collect()
+        assert {r.id: r["shard"] for r in out} == plain_kd(points, shards)
+        assert all(sorted(r.slot for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out))) for k in range(shards))
+    few = shard.kd_shards(df.limit(3), df["w"], [df["a"]], [df["id"]], shards=9, inline=inline).collect()
+    assert len(few) == 3 and len({(r["shard"], r.slot) for r in few}) == 3
+
+
 def test_sharding_by_target_bytes(hard):
     out = shard.kd_shards(hard.select("doc_id", F.length("text").alias("n")), F.col("n"), [F.coalesce("n", F.lit(0)).cast("double")], [F.col("doc_id")], target_bytes=5000)
     assert out.select("shard").distinct().count() > 2 and out.count() == hard.count()
@@ -123,6 +179,45 @@ def test_scopes_link_only_near_parts(spark):
     assert [r.n_linked for r in secrets.secret_report(df).orderBy("doc_id").collect()] == [3, 0, 0, 0]
 
 
+def brute_links(t, scope=256):
+    """Linked parts of a text, by sets of scope numbers."""
+    spans = lambda p, k: [(m.start(), k, m.end(), m[0]) for m in re.finditer(p, t or "")]
+    base, ident, endp = brute_spans(t), spans(secrets.IDENT, 3), spans(secrets.ENDPOINT, 4)
+    hit = [(a, b) for a, _, b in base] + [(x[0], x[2]) for x in ident + endp]
+    weak = [x for x in spans(secrets.WEAK, 5) if re.search("[0-9]", x[3]) and re.search("[A-Za-z]", x[3]) and not any(a < x[2] and x[0] < b for a, b in hit)]
+    scopes = lambda xs: {k for x in xs for k in (x[0] // scope, x[0] // scope - 1)}
+    both = scopes(ident + [x for x in base if x[1] == 1]) & scopes(endp) & scopes(weak)
+    return sorted(x[:3] for x in ident + endp + weak if both & scopes([x]))
+
+
+def linked_texts(n=150):
+    """Texts with identifiers, endpoints, weak and plain secrets at all distances, scope ends among them."""
+    rnd = random.Random(21)
+    parts = ["user=bob", "login: 'al.x@y'", "client_id=77ab", "https://api.example.com/v1?k=1", "http://h:80/", "Zx81kQp0sLw92mVb77TT", "abcdefghijklmnopqrst", "password=hunter2secret", "AKIA" + "A1" * 9, "0123456789abcdef" * 2, "k3y/With+Signs_and-1234"]
+    out = []
+    for _ in range(n):
+        t = ""
+        for _ in range(rnd.randint(2, 9)):
+            t += rnd.choice(["", "é", "w "]) * rnd.choice([0, 1, 20, 100, 126, 127, 128, 250]) + rnd.choice([" ", "\n", '"', " '"]) + rnd.choice(parts)
+        out.append(t)
+    return [*out, None, ""]
+
+
+def test_links_against_plain_python_and_sql(spark, duck):
+    texts = linked_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.secret_report(df).orderBy("doc_id").collect()
+    for r in rows:
+        links = brute_links(texts[r.doc_id])
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(brute_spans(texts[r.doc_id]) + links))
+        assert (r.n_linked, r.spans) == (len(links), want), texts[r.doc_id]
+    assert sum(r.n_linked > 0 for r in rows) > 40 and sum(r.n_linked == 0 for r in rows) > 20
+    documents = duck.table(doc_id=list(range(len(texts))), text=texts)  # noqa: F841
+    cols = sorted(rows[0].asDict())
+    got = duck.rows("op2_secret_scan", {"documents": documents}, cols)
+    assert got == sorted(tuple(r[c] for c in cols) for r in rows)
+
+
 def test_redaction(hard):
     out = {r.doc_id: r.text for r in secrets.redact(hard).collect()}
     for r in hard.collect():
@@ -170,8 +265,100 @@ def test_site_shrinkage(spark):
     assert 0.1 < post["c"].path_post and abs(post["c"].host_post - 0.1) > abs(post["b"].host_post - 0.1)
 
 
+def plain_posteriors(rows):
+    """(host, path) -> (host_post, path_post) and the global mean, from rows (host, path, p)."""
+    of = lambda key: {k: [p for h, q, p in rows if key(h, q) == k] for k in {key(h, q) for h, q, _ in rows}}
+    hosts, paths = of(lambda h, q: h), of(lambda h, q: (h, q))
+    everything = [p for _, _, p in rows]
+    mu = sum(everything) / len(everything)
+
+    def strength(groups):
+        n, within = len(everything), mu * (1 - mu)
+        between = sum(len(g) * (sum(g) / len(g) - mu) ** 2 for g in groups) - (len(groups) - 1) * within
+        between /= max(1.0, n - sum(len(g) ** 2 for g in groups) / n)
+        return min(1e6, max(1.0, within / between - 1)) if between > 1e-9 else 1e6
+
+    kh, kp = strength(list(hosts.values())), strength(list(paths.values()))
+    host = {h: (kh * mu + sum(g)) / (kh + len(g)) for h, g in hosts.items()}
+    return {k: (host[k[0]], (kp * host[k[0]] + sum(g)) / (kp + len(g))) for k, g in paths.items()}, mu
+
+
+def test_classifier_against_plain_python(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    docs, labels = [], []
+    for i in range(400):
+        bad = rnd.random() < (0.8 if i % 7 == 0 else 0.2)
+        text = " ".join("$#" * rnd.randint(0, 3) + word(2) if bad else word(rnd.randint(3, 9)) for _ in range(rnd.randint(5, 50)))
+        docs.append((i, text, rnd.choice(["x", "y", None]), None if i % 11 == 0 else f"h{i % 7}", 1))
+        labels += [(i, int(not bad))] * (i % 3)
+    docs += docs[:30] + [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = bayes.quality_posteriors(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    known = dict(labels)
+    x = np.array([bayes.evidence(docs[i][1]) for i in sorted(known)])
+    y = np.array([known[i] for i in sorted(known)], float)
+    w = bayes.fit(x, y)
+    # The weights are where the penalised loss is flat.
+    z, mean, scale = x, x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1.0
+    mean[0], scale[0] = 0.0, 1.0
+    v = w * scale
+    v[0] += (w[1:] * mean[1:]).sum()
+    z = (x - mean) / scale
+    assert np.abs(z.T @ (y - 1 / (1 + np.exp(-z @ v))) - v).max() < 1e-5
+    p = lambda t: float(1 / (1 + np.exp(-np.clip(np.array(bayes.evidence(t)) @ w, -30, 30))))
+    scored = [(d[0], d[3], d[2], p(d[1])) for d in docs]
+    sites, mu = plain_posteriors([r[1:] for r in scored])
+    logit = lambda q: math.log(min(max(q, 1e-9), 1 - 1e-9) / (1 - min(max(q, 1e-9), 1 - 1e-9)))
+    want = []
+    for i, h, q, pd_ in scored:
+        hp, pp = sites[h, q]
+        post = 1 / (1 + math.exp(-(logit(pd_) + logit(pp) - logit(mu))))
+        want.append((i, pd_, hp, pp, post))
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    got = sorted(((r.doc_id, r.p_doc, r.host_post, r.path_post, r.posterior) for r in got), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=key)):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=2e-6)
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 5, "word " * (i % 5 + 1), "en", "s", 1) for i in range(500)] + [(2, "other text", "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(bayes, "fit", lambda x, y: seen.append(len(y)) or np.zeros(len(bayes.NAMES)))
+    bayes.train(docs, labels)
+    assert seen == [5]
+
+
+def test_null_scores_say_nothing(spark):
+    rows = [("a", "x", 0.9), ("a", "x", None), ("b", None, None), (None, None, 0.2)]
+    post = {(r.host, r.path) for r in bayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_doc double")).collect()}
+    assert post == {("a", "x"), (None, None)}
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_bit_by_bit(spark, hard):
+    rnd = random.Random(4)
+    texts = hard_texts() + ["Ünï ÀB\x0bcd\x1cE F", "A B", "a b c D", "a\x0cb\x85c d e", *(" ".join(rnd.choice("abcdeF") for _ in range(n)) for n in range(1, 40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in simhash.simhash_report(df).collect()}
+    assert got == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts)}
+
+
 def brute_components(ids, texts, radius=4):
-    fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    fp = np.array([plain_fingerprint(t) for t in texts], np.uint64)
     parent = list(range(len(fp)))
 
     def find(x):
@@ -405,6 +592,76 @@ def test_binomial_tail_is_exact(spark):
         assert got == pytest.approx(want, rel=1e-6, abs=1e-12)
 
 
+def plain_cutoffs(good, alpha=0.04, delta=0.05):
+    """(stratum, rule) -> cutoff, with exact binomial tails in whole numbers and fractions."""
+    strata = {s for s, _ in good}
+    a, level, out = Fraction(alpha).limit_denominator(10**6) / len(rules.RULES), delta / (len(strata) * len(rules.RULES)), {}
+    for st in strata:
+        scored = [x for s, x in good if s == st]
+        n = len(scored)
+        for i, (rule, cuts) in enumerate(rules.RULES.items()):
+            for c in reversed(cuts):
+                k = sum(x[i] > c for x in scored)
+                if k >= a * n or float(sum(math.comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1))) > level:
+                    break
+                out[st, rule] = c
+    return out
+
+
+def ruled_documents(n=2600):
+    """Documents of three languages, most of them plain, some with many symbols, capitals, repeated lines and words."""
+    rnd, docs, labels = random.Random(12), [], []
+    for i in range(n):
+        lang = ["aa", "bb", None][0 if i % 20 < 9 else 1 if i % 20 < 19 else 2]
+        words = [rnd.choice("lorem ipsum dolor sit amet do ut et in ad nisi quis sed cum vel".split()) + str(rnd.randint(0, 10**6)) for _ in range(rnd.randint(30, 60))]
+        kind = rnd.choice(["plain"] * 30 + ["symbols", "caps", "lines", "repeats"] if lang != "bb" else ["plain"] * 400 + ["symbols", "caps", "lines", "repeats"])
+        if kind == "symbols":
+            words = [w + "#" * rnd.randint(0, 4) for w in words]
+        elif kind == "caps":
+            words = [w.upper() if rnd.random() < 0.6 else w for w in words]
+        elif kind == "repeats":
+            words = words[:6] + words
+        text = " ".join(words)
+        if kind == "lines":
+            text = "\n".join(["a line"] * rnd.randint(1, 5) + [" ".join(words[:15]), " ".join(words[15:])])
+        docs.append((i, text, lang))
+        bad = kind != "plain" and rnd.random() < 0.97
+        labels += [(i, int(not bad))] * rnd.randint(1, 2) if i % 10 else []
+    return docs, labels
+
+
+def test_rules_reject_what_is_certified(spark, duck):
+    docs, labels = ruled_documents()
+    d = spark.createDataFrame([(*x, "s", 0) for x in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rules.quality_report(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    scored, good = {}, []
+    for i, text, lang in docs:
+        f = slow_features(text)
+        lines = sum(bool(WORDS.search(x)) for x in text.split("\n"))
+        caps = len(re.findall("[A-Z]", text))
+        failed = f[0] < 10 or 100 * f[4] > 20 * f[0]
+        scored[i] = (lang or "", failed, (f[2] / max(f[1], 1), f[3] / max(lines, 1), f[4] / max(f[0], 1), caps / max(f[1], 1)))
+    best = {}
+    for i, q in labels:
+        best[i] = min(best.get(i, 1), q)
+    good = [(scored[i][0], scored[i][2]) for i, q in best.items() if q == 1 and not scored[i][1]]
+    cut = plain_cutoffs(good)
+    assert {s for s, _ in cut} == {"aa", "bb"} and len(cut) >= 6  # the third has too few labels
+    seen = collections.Counter()
+    for r in rows:
+        st, failed, x = scored[r.doc_id]
+        by = [rule for k, rule in enumerate(rules.RULES) if (st, rule) in cut and x[k] > cut[st, rule]]
+        assert (r.base_failed, r.rejected_by, r.kept) == (failed, ",".join(by), not failed and not by)
+        seen.update(by)
+    assert len(seen) == 4 and sum(seen.values()) > 50
+    # Of the good documents at most alpha go.
+    assert sum(not r.kept and not r.base_failed for r in rows if best.get(r.doc_id) == 1) <= 0.04 * len(good)
+    documents = duck.table(doc_id=[x[0] for x in docs], text=[x[1] for x in docs], lang=[x[2] for x in docs])
+    told = duck.table(doc_id=[x[0] for x in labels], quality=[x[1] for x in labels])
+    cols = sorted(rows[0].asDict())
+    assert duck.rows("op7_quality_rules", {"documents": documents, "labels": told}, cols) == sorted(tuple(r[c] for c in cols) for r in rows)
+
+
 def test_cutoffs_need_enough_labels(spark):
     f = lambda sym: (100, 1000, sym, 0, 0, 10, 0)
     kinds = "stratum string, f struct<" + ",".join(f"{c}:bigint" for c in rules.FEATURES) + ">"
