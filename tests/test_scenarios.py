@@ -114,6 +114,23 @@ def test_exemplars(spark):
     assert one(spark, places.evenly_spaced(F.array(*map(F.lit, range(6))), 3)) == [0, 2, 5]
 
 
+def test_exemplars_of_odd_places(spark):
+    """Null places, places with fewer rows than exemplars, equal rows, rows without a vector, more than three."""
+    rows = [("a", i, [math.cos(i / 3), math.sin(i / 3)]) for i in range(9)] + [(None, 1, [1.0, 0.0]), (None, 2, [0.0, 1.0]), ("one", 1, [1.0, 0.0]), ("same", 1, [1.0, 0.0]), ("same", 2, [1.0, 0.0]), ("a", 99, None)]
+    df = spark.createDataFrame(rows, "p string, i int, v array<double>")
+    of = lambda method, most: {p: [r.id for r in sorted(x, key=lambda r: r["rank"])] for p, x in groups(places.exemplars(df, "p", ["i"], "i", "v", method, most).collect())}
+
+    def groups(rs):
+        return [(p, [r for r in rs if r.p == p]) for p in {r.p for r in rs}]
+
+    far = of("diversity", 4)
+    assert far == {"a": [0, 8, 4, 2], None: [1, 2], "one": [1], "same": [1, 1]}
+    assert of("temporal_diversity", 5)["a"][:3] == [0, 99, 5] and len(of("temporal_diversity", 5)["a"]) == 5
+    k = of("kmeans", 3)
+    assert len(k["a"]) == 3 and k["one"] == [1] and sorted(k[None]) == [1, 2]
+    assert of("kmeans", 1)["a"] == [4] and of("kmeans", 1)["same"] == [2]
+
+
 def test_merge_decisions(spark):
     cols = "vis double, order_gap int, scene_a string, scene_b string, marks_a array<string>, marks_b array<string>, signs_a array<string>, signs_b array<string>"
     cfg = {"visual": 0.75, "extra": 0.92}

@@ -35,6 +35,18 @@ def test_pair_statistics_do_not_depend_on_blocks(spark, sf_dir, emb):
         assert rows[False].over == int(((emb[2] @ emb[2].T > 0.2) & (emb[1][:, None] != emb[1])).sum()) // 2
 
 
+def test_group_similarities_do_not_depend_on_blocks(spark, emb):
+    e = spark.createDataFrame([(int(i), f"L{c}" if c else None, x.tolist()) for i, c, x in zip(*emb)] + [(-1, "L1", None)], "id long, label string, v array<double>")
+    sims, label = emb[2] @ emb[2].T, emb[1]
+    want = {(a, b): sims[np.ix_(label == a, label == b)] for a in set(label) for b in set(label) if 0 < a < b}
+    for block in (50, 2048):
+        got = {(r.a, r.b): r for r in vectors.group_similarities(e, block).collect()}
+        assert set(got) == {tuple(sorted((f"L{a}", f"L{b}"))) for a, b in want}
+        for (a, b), m in want.items():
+            r = got[tuple(sorted((f"L{a}", f"L{b}")))]
+            assert (r.n, r.most, r.total) == (m.size, pytest.approx(m.max()), pytest.approx(m.sum(), abs=1e-9))
+
+
 def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
     v = emb[2]
     x, y = (v[:-2] * v[1:-1]).sum(1), np.sort((v[:-2] * v[2:]).sum(1))

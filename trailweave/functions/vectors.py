@@ -54,61 +54,87 @@ def centroids(df: DataFrame, keys: list[str], vector: str, name: str = "centroid
     return out.withColumn(name, l2_normalise(F.col(name))) if unit else out
 
 
-def blocked_products(left: DataFrame, right: DataFrame, block: int = 2048) -> DataFrame:
-    """Inner products of all rows of left with all rows of right, both (id, v), by blocks of ``block`` rows.
+def tiles(df: DataFrame, block: int) -> DataFrame:
+    """Rows (id, ...) dealt into blocks of about ``block`` rows, and each sent to every pair of blocks that its own is in.
 
-    For questions that ask about all pairs. Each pair of blocks is a matrix product in a task of its
-    own, with 2 * block vectors in memory; nothing is broadcast. Returns a, b, sim.
+    Adds bucket, lo and hi; rows with equal (lo, hi) are one tile: two blocks, or one with itself.
     """
+    n = max(1, -(-df.count() // block))
+    at, other = F.col("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", other)
+    return dealt.withColumns({"lo": F.least(at, "other"), "hi": F.greatest(at, "other")}).drop("other")
 
-    ship(left.sparkSession)
-
-    def tiles(df: DataFrame, n: int, mine: str, other: str, others: int) -> DataFrame:
-        t = df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-        return t.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    nl, nr = (max(1, -(-d.count() // block)) for d in (left, right))
-    l, r = tiles(left, nl, "bl", "br", nr), tiles(right, nr, "br", "bl", nl)
-
-    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
-        x = np.array(a.column("v").to_pylist(), np.float64).reshape(a.num_rows, -1)
-        y = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
-        if not (a.num_rows and b.num_rows):
-            return pa.table({"a": a.column("id").slice(0, 0), "b": b.column("id").slice(0, 0), "sim": pa.array([], pa.float64())})
-        i, j = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
-        return pa.table({"a": a.column("id").take(pa.array(i)), "b": b.column("id").take(pa.array(j)), "sim": pa.array((x @ y.T).ravel())})
 
-    ta, tb = (d.schema["id"].dataType.simpleString() for d in (left, right))
-    return l.groupBy("bl", "br").cogroup(r.groupBy("bl", "br")).applyInArrow(multiply, f"a {ta}, b {tb}, sim double")
+def _tile(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of a tile, and which rows are on its one side and which on the other."""
+    v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    bucket = t.column("bucket").to_numpy()
+    return v, np.flatnonzero(bucket == t.column("lo")[0].as_py()), np.flatnonzero(bucket == t.column("hi")[0].as_py())
 
 
 def pair_statistics(df: DataFrame, above: float, block: int = 2048) -> DataFrame:
     """Inner products of all pairs of rows (id, label, v) with different ids, by whether labels are equal.
 
-    Returns same, n, total, over: the pairs, the sum of their products, and how many exceed ``above``.
-    As in ``blocked_products`` a task multiplies two blocks of ``block`` rows, but only sums leave it.
-    Rows without an id, a label or a vector are in no pair.
+    Returns same, n, total, squares, least, most, over: the pairs, the sum of their products and of their
+    squares, the ends of their sorted list, and how many exceed ``above``. A task multiplies two blocks of
+    ``block`` rows, and only sums leave it. Rows without an id, a label or a vector are in no pair.
     """
-
     ship(df.sparkSession)
     df = df.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    n = max(1, -(-df.count() // block))
-    at, other = F.col("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", other)
-    tiles = dealt.withColumns({"lo": F.least(at, "other"), "hi": F.greatest(at, "other")}).drop("other")
 
     def summed(t: pa.Table) -> pa.Table:
-        v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
-        ids, label, bucket = (t.column(c).to_numpy() for c in ("id", "label", "bucket"))
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        a, b = bucket == lo, bucket == hi
+        v, a, b = _tile(t)
+        ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
         sims, same = v[a] @ v[b].T, label[a][:, None] == label[b]
-        pair = ids[a][:, None] < ids[b] if lo == hi else np.ones(same.shape, bool)
-        kinds = [(s, sims[pair & (same == s)]) for s in (True, False)]
-        return pa.table({"same": [s for s, _ in kinds], "n": [len(x) for _, x in kinds], "total": [float(x.sum()) for _, x in kinds], "over": [int((x > above).sum()) for _, x in kinds]})
+        pair = ids[a][:, None] < ids[b] if a is b or np.array_equal(a, b) else np.ones(same.shape, bool)
+        kinds = [(s, x) for s in (True, False) if len(x := sims[pair & (same == s)])]
+        sums = {"n": len, "total": lambda x: float(x.sum()), "squares": lambda x: float((x * x).sum()), "least": lambda x: float(x.min()), "most": lambda x: float(x.max()), "over": lambda x: int((x > above).sum())}
+        return pa.table({"same": pa.array([s for s, _ in kinds], pa.bool_())} | {k: pa.array([f(x) for _, x in kinds], pa.int64() if k in ("n", "over") else pa.float64()) for k, f in sums.items()})
+
+    sums = tiles(df, block).groupBy("lo", "hi").applyInArrow(summed, "same boolean, n long, total double, squares double, least double, most double, over long")
+    return sums.groupBy("same").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares", "over")], F.min("least").alias("least"), F.max("most").alias("most"))
+
 
-    sums = tiles.groupBy("lo", "hi").applyInArrow(summed, "same boolean, n long, total double, over long")
-    return sums.groupBy("same").agg(*[F.sum(c).alias(c) for c in ("n", "total", "over")])
+def group_similarities(df: DataFrame, block: int = 2048) -> DataFrame:
+    """For each two labels a < b of rows (id, label, v): n, total and most of the products of their rows.
+
+    A task multiplies two blocks of rows, and one row for each two labels leaves it. Rows without an id, a
+    label or a vector are in no pair.
+    """
+    ship(df.sparkSession)
+    df = df.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
+    kind = df.schema["label"].dataType.simpleString()
+
+    def folded(t: pa.Table) -> pa.Table:
+        v, a, b = _tile(t)
+        label = t.column("label").combine_chunks()
+        code = np.empty(t.num_rows, np.int64)
+        order = label.dictionary_encode()
+        values = order.dictionary
+        code[:] = order.indices.to_numpy()
+
+        def runs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            side = side[np.argsort(code[side], kind="stable")]
+            first = np.flatnonzero(np.diff(code[side], prepend=-1))
+            return side, first, code[side][first]
+
+        (x, fx, cx), (y, fy, cy) = runs(a), runs(b)
+        if not (len(x) and len(y)):
+            cx, cy, most, total, n = cx[:0], cy[:0], *[np.zeros((0, 0))] * 3
+        else:
+            sims = v[x] @ v[y].T
+            most = np.maximum.reduceat(np.maximum.reduceat(sims, fx, axis=0), fy, axis=1)
+            total = np.add.reduceat(np.add.reduceat(sims, fx, axis=0), fy, axis=1)
+            n = np.outer(np.diff(fx, append=len(x)), np.diff(fy, append=len(y)))
+        i, j = (m.ravel() for m in np.meshgrid(cx, cy, indexing="ij"))
+        # Of one block with itself both orders of two labels are there: one of them counts.
+        keep = i < j if np.array_equal(a, b) else i != j
+        cells = {"a": values.take(pa.array(i[keep])), "b": values.take(pa.array(j[keep]))}
+        return pa.table(cells | {"n": pa.array(n.ravel()[keep].astype(np.int64)), "total": pa.array(total.ravel()[keep]), "most": pa.array(most.ravel()[keep])})
+
+    cells = tiles(df, block).groupBy("lo", "hi").applyInArrow(folded, f"a {kind}, b {kind}, n long, total double, most double")
+    ends = cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "total", "most")
+    return ends.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
 
 
 def best_matches(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:

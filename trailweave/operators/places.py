@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailweave.functions.vectors import centroids, dot
-from trailweave.shipping import ship
+from trailweave.functions.vectors import best_matches, centroids, dot, doubles
+from trailweave.scratch import settled
 
 METHODS = ("kmeans", "diversity", "temporal_diversity")
 
@@ -36,74 +34,98 @@ def first_last_middle(df: DataFrame, place: str, by: list[str], id_: str, most:
     return ranked.withColumn("rank", rank).where("rank > 0").select(place, "rank", "id")
 
 
-def _farthest(x: np.ndarray, count: int) -> list[int]:
-    """Greedy max-min on cosine: the first row, then again and again the row least like all chosen ones."""
-    chosen = [0]
-    best = x @ x[0]
-    while len(chosen) < count:
-        nxt = int(np.argmin(best))
-        chosen.append(nxt)
-        best = np.maximum(best, x @ x[nxt])
+def _rows(df: DataFrame, place: str, by: list[str], id_: str, vector: str) -> DataFrame:
+    """Rows with a vector, as (place, k, id, v): k orders the rows of a place."""
+    return df.where(F.col(vector).isNotNull()).select(F.col(place).alias("place"), F.struct(*by, id_).alias("k"), F.col(id_).alias("id"), doubles(F.col(vector)).alias("v"))
+
+
+def _farthest(rows: DataFrame, most: int) -> DataFrame:
+    """Greedy max-min on cosine in each place: the first row, then again and again the row least like all chosen ones.
+
+    Returns place, n (rows) and picks, an array of (id, v). Each round is a join of all rows with the few
+    that are chosen, and one aggregate; so a place with a third of all rows is spread over tasks.
+    """
+    pick = F.struct("id", "v")
+    chosen = settled(rows.groupBy("place").agg(F.count("*").alias("n"), F.array(F.min_by(pick, "k")).alias("picks")))
+    for r in range(1, most):
+        near = F.array_max(F.transform("picks", lambda p: dot(F.col("v"), p["v"])))
+        more = chosen.where(F.col("n") > r).select(F.col("place").alias("p"), "picks")
+        found = rows.join(more, F.col("place").eqNullSafe(F.col("p"))).groupBy("p").agg(F.min_by(pick, F.struct(near, "k")).alias("next"))
+        joined = chosen.join(found, F.col("place").eqNullSafe(F.col("p")), "left")
+        chosen = settled(joined.select("place", "n", F.when(F.col("next").isNull(), F.col("picks")).otherwise(F.array_append("picks", F.col("next"))).alias("picks")))
     return chosen
 
 
-def _lloyd(x: np.ndarray, k: int, seed: int = 42, starts: int = 5, rounds: int = 50) -> np.ndarray:
-    """Labels of the best of several runs of k-means with seeded k-means++ starts."""
-    rng, best, labels = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
-    for _ in range(starts):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            d = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
-            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        for _ in range(rounds):
-            lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-            new = np.stack([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[lab]) ** 2).sum()
-        if cost < best - 1e-12:
-            best, labels = cost, lab
-    return labels
-
-
-def _toward_mean(x: np.ndarray) -> int:
-    m = x.mean(0)
-    n = np.linalg.norm(m)
-    return int(np.argmax(x @ (m / n if n > 0 else m)))
+def _picked(chosen: DataFrame, place: str, after: int = 0) -> DataFrame:
+    each = chosen.select("place", F.posexplode("picks").alias("at", "pick"))
+    return each.select(F.col("place").alias(place), (F.col("at") + 1 + after).alias("rank"), F.col("pick.id").alias("id"))
+
+
+def sub_clusters(rows: DataFrame, most: int, rounds: int = 10) -> DataFrame:
+    """k-means in each place with k = min(most, rows): place, n, cluster, centre, k, id, v for each row.
+
+    Centres begin at the rows that are farthest from each other; after at most ``rounds`` rounds, or when
+    none moves, rows belong to their nearest centre, the first of equals. A centre without rows stays
+    where it is. Rows meet centres by a join, and only sums of each cluster are shuffled.
+    """
+    centres = _farthest(rows, most).select("place", "n", F.transform("picks", lambda p: p["v"]).alias("centres"))
+
+    def assigned(centres: DataFrame) -> DataFrame:
+        c = centres.withColumnRenamed("place", "p")
+        # The square of the distance less that of the row.
+        away = F.transform("centres", lambda c, j: F.struct((dot(c, c) - 2.0 * dot(F.col("v"), c)).alias("d"), j.alias("j")))
+        return rows.join(c, F.col("place").eqNullSafe(F.col("p"))).withColumn("cluster", F.array_min(away)["j"]).drop("p")
+
+    for _ in range(rounds):
+        means = centroids(assigned(centres).select("place", "cluster", "v"), ["place", "cluster"], "v", "mean", unit=False).withColumnRenamed("place", "p")
+        each = centres.select("place", "n", F.posexplode("centres").alias("j", "old"))
+        met = each.join(means, F.col("place").eqNullSafe(F.col("p")) & (F.col("j") == F.col("cluster")), "left").withColumn("new", F.coalesce("mean", "old"))
+        moved = F.exists(F.zip_with("new", "old", lambda a, b: F.abs(a - b)), lambda x: x > 1e-9)
+        both = settled(met.groupBy("place", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]).alias("centres"), F.max(moved).alias("moved")))
+        centres = both.drop("moved")
+        if both.where("moved").isEmpty():
+            break
+    return assigned(centres).select("place", "n", "cluster", F.get("centres", "cluster").alias("centre"), "k", "id", "v")
+
+
+def cluster_means(df: DataFrame, place: str, by: list[str], id_: str, vector: str, most: int = 3) -> DataFrame:
+    """Up to ``most`` unit vectors that stand for each place: the means of its sub-clusters; (place, rank, centroid)."""
+    member = sub_clusters(_rows(df, place, by, id_, vector), most)
+    means = centroids(member.select("place", "cluster", "v"), ["place", "cluster"], "v")
+    rank = F.row_number().over(W.partitionBy("place").orderBy("cluster"))
+    return means.select(F.col("place").alias(place), rank.alias("rank"), "centroid")
 
 
 def exemplars(df: DataFrame, place: str, by: list[str], id_: str, vector: str, method: str = "temporal_diversity", most: int = 3) -> DataFrame:
     """Up to ``most`` representative rows of each place: (place, rank, id).
 
-    ``temporal_diversity`` up to three is relational; the iterative methods run on the rows of one
-    place in a task, which is what they are defined on.
+    ``diversity`` takes the first row and then those farthest from all taken; ``temporal_diversity`` the
+    first, last and middle row, and beyond three the farthest of the others; ``kmeans`` the row nearest
+    to the mean of each sub-cluster, or of a place with one row that. The last two read rows with a
+    vector only.
     """
     if method not in METHODS:
         raise ValueError(f"unknown exemplar method: {method!r}")
-    if method == "temporal_diversity" and most <= 3:
-        return first_last_middle(df, place, by, id_, most)
-    ship(df.sparkSession)
-    key, ident = df.schema[place].dataType.simpleString(), df.schema[id_].dataType.simpleString()
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(by, kind="stable").reset_index(drop=True)
-        x = np.stack(rows[vector].to_numpy()).astype(np.float64)
-        n = min(most, len(rows))
-        if method == "diversity":
-            chosen = _farthest(x, n)
-        elif method == "kmeans":
-            labels = _lloyd(x, n) if n > 1 else None
-            chosen = [len(rows) // 2] if n <= 1 else [int(m[_toward_mean(x[m])]) for m in (np.flatnonzero(labels == j) for j in range(n)) if len(m)]
-        else:
-            chosen = [0, len(rows) - 1, len(rows) // 2][:n]
-            rest = [i for i in range(len(rows)) if i not in chosen]
-            if len(chosen) < n:
-                chosen += [rest[i] for i in _farthest(x[rest], n - len(chosen))]
-        return pd.DataFrame({place: rows[place].iloc[0], "rank": range(1, len(chosen) + 1), "id": rows[id_].iloc[chosen].to_numpy()})
-
-    cols = list(dict.fromkeys([place, id_, vector, *by]))
-    return df.select(*cols).groupBy(place).applyInPandas(pick, f"{place} {key}, rank int, id {ident}")
+    if method == "temporal_diversity":
+        ends = first_last_middle(df, place, by, id_, most)
+        if most <= 3:
+            return ends
+        taken = ends.select(F.col(place).alias("p"), F.col("id").alias("i"))
+        rest = _rows(df, place, by, id_, vector)
+        rest = rest.join(taken, F.col("place").eqNullSafe(F.col("p")) & (F.col("id") == F.col("i")), "left_anti")
+        return ends.unionByName(_picked(_farthest(rest, most - 3), place, 3))
+    rows = _rows(df, place, by, id_, vector)
+    if method == "diversity":
+        return _picked(_farthest(rows, most), place)
+    if most == 1:
+        w = W.partitionBy("place")
+        middle = rows.withColumns({"r": F.row_number().over(w.orderBy("k")), "n": F.count("*").over(w)}).where("r = n DIV 2 + 1")
+        return middle.select(F.col("place").alias(place), F.lit(1).alias("rank"), "id")
+    member = sub_clusters(rows, most)
+    means = centroids(member.select("place", "cluster", "v"), ["place", "cluster"], "v").withColumnsRenamed({"place": "p", "cluster": "c"})
+    near = member.join(means, F.col("place").eqNullSafe(F.col("p")) & (F.col("cluster") == F.col("c")))
+    best = near.groupBy("place", "cluster").agg(F.min_by("id", F.struct(-dot(F.col("v"), F.col("centroid")), "k")).alias("id"))
+    return best.select(F.col("place").alias(place), F.row_number().over(W.partitionBy("place").orderBy("cluster")).alias("rank"), "id")
 
 
 def counted(df: DataFrame, keys: list[str], items: Column, order: list[str], limit: int | None = None, name: str = "items") -> DataFrame:
@@ -163,8 +185,7 @@ def nearest_members(df: DataFrame, points: DataFrame, place: str, id_: str, vect
 def nearest_centroid(df: DataFrame, means: DataFrame, id_: str, vector: str, label: str) -> DataFrame:
     """The label whose centroid is most similar to each row; of equals the smaller label.
 
-    Centroids are one row a label; Spark broadcasts them below its threshold.
+    Blocks of rows are multiplied with blocks of centroids, as in any search for the best match.
     """
-    pairs = df.select(id_, vector).crossJoin(means.select(F.col(label).alias("predicted"), "centroid"))
-    s = pairs.withColumn("__s", dot(F.col(vector), F.col("centroid")))
-    return s.groupBy(id_).agg(F.min_by("predicted", F.struct(-F.col("__s"), "predicted")).alias("predicted"), F.max("__s").alias("score"))
+    best = best_matches(df.select(F.col(id_).alias("id"), doubles(F.col(vector)).alias("v")), means.select(F.col(label).alias("id"), F.col("centroid").alias("v")), 1)
+    return best.select(F.col("query_id").alias(id_), F.col("id").alias("predicted"), "score")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailweave.functions.vectors import best_matches, dot
+from trailweave.functions.vectors import best_matches, group_similarities
 
 
 def retrieve(queries: DataFrame, exemplars: DataFrame, top_k: int = 10, factor: int = 4) -> DataFrame:
@@ -29,12 +29,10 @@ def places_of_hits(hits: DataFrame, top_k: int) -> DataFrame:
     return ranked.withColumn("margin", margin).drop("__first")
 
 
-def place_similarity(exemplars: DataFrame, how: str = "max") -> DataFrame:
+def place_similarity(exemplars: DataFrame, how: str = "max", block: int = 2048) -> DataFrame:
     """Best (or mean) cosine between exemplars of each two places a < b. exemplars: (id, v, place)."""
-    a = exemplars.select(F.col("place").alias("a"), F.col("v").alias("va"))
-    b = exemplars.select(F.col("place").alias("b"), F.col("v").alias("vb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("s"))
-    return pairs.groupBy("a", "b").agg((F.max("s") if how == "max" else F.avg("s")).alias("similarity"))
+    cells = group_similarities(exemplars.select("id", F.col("place").alias("label"), "v"), block)
+    return cells.select("a", "b", (F.col("most") if how == "max" else F.col("total") / F.col("n")).alias("similarity"))
 
 
 def score_terms(candidates: DataFrame, semantic: Column, previous: Column, graph: Column, weights: tuple[float, float, float, float] = (0.5, 0.25, 0.15, 0.1)) -> DataFrame:

@@ -34,22 +34,42 @@ def temporal_exemplars(s, d):
     return places.exemplars(table(s, d, "embeddings"), "label", ["vec_id"], "vec_id", "embedding")
 
 
-@query(
-    "k5_diverse_exemplars",
-    f"""WITH RECURSIVE {_E}, f AS (SELECT label, min(vec_id) id FROM e GROUP BY label), a AS (SELECT e.label, e.vec_id, e.v, list_dot_product(e.v, x.v) s1, f.id fst FROM e JOIN f USING (label) JOIN e x ON x.vec_id = f.id),
-    b AS (SELECT label, arg_min(vec_id, {{'s': s1, 'i': vec_id}}) id FROM a GROUP BY label), g AS (SELECT a.*, b.id snd, greatest(s1, list_dot_product(a.v, x.v)) s2 FROM a JOIN b ON a.label = b.label JOIN e x ON x.vec_id = b.id),
-    h AS (SELECT label, arg_min(vec_id, {{'s': s2, 'i': vec_id}}) id FROM g GROUP BY label)
-    SELECT label, 1 AS rank, id FROM f UNION ALL SELECT label, 2, id FROM b UNION ALL SELECT label, 3, id FROM h""",
-)
+#: The first row of each label, the row least like it, and the row least like both.
+_FAR = """f AS (SELECT label, min(vec_id) id FROM e GROUP BY label), a AS (SELECT e.label, e.vec_id, e.v, list_dot_product(e.v, x.v) s1, f.id fst FROM e JOIN f USING (label) JOIN e x ON x.vec_id = f.id),
+    b AS (SELECT label, arg_min(vec_id, {'s': s1, 'i': vec_id}) id FROM a GROUP BY label), g AS (SELECT a.*, b.id snd, greatest(s1, list_dot_product(a.v, x.v)) s2 FROM a JOIN b ON a.label = b.label JOIN e x ON x.vec_id = b.id),
+    h AS (SELECT label, arg_min(vec_id, {'s': s2, 'i': vec_id}) id FROM g GROUP BY label)"""
+
+
+@query("k5_diverse_exemplars", f"WITH {_E}, {_FAR} SELECT label, 1 AS rank, id FROM f UNION ALL SELECT label, 2, id FROM b UNION ALL SELECT label, 3, id FROM h")
 def diverse_exemplars(s, d):
     return places.exemplars(table(s, d, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", "diversity", 3)
 
 
-@query("k6_m3_kmeans_exemplars")
+def _lloyd_sql(rounds: int = 10) -> str:
+    """CTEs of k-means with three centres a label that begin far apart: z(label, vec_id, v, j), y(label, j, m)."""
+    out = "c0 AS (SELECT label, list(x.v ORDER BY rank) AS c FROM (SELECT label, 1 AS rank, id FROM f UNION ALL SELECT label, 2, id FROM b UNION ALL SELECT label, 3, id FROM h) p JOIN (SELECT vec_id, v FROM e) x ON x.vec_id = p.id GROUP BY label)"
+    at = "list_transform([list_transform(c, lambda x: list_dot_product(x, x) - 2 * list_dot_product(v, x))], lambda d: list_position(d, list_min(d)))[1]"
+    for i in range(rounds):
+        out += f""",
+    a{i} AS MATERIALIZED (SELECT e.label, vec_id, v, {at} AS j FROM e JOIN c{i} USING (label)),
+    m{i} AS (SELECT label, j, list(m ORDER BY i) AS m FROM (SELECT label, j, i, avg(x) AS m FROM (SELECT label, j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+    c{i + 1} AS MATERIALIZED (SELECT o.label, list(coalesce(m, old) ORDER BY o.j) AS c FROM (SELECT label, unnest(c) AS old, generate_subscripts(c, 1) AS j FROM c{i}) o LEFT JOIN m{i} ON m{i}.label = o.label AND m{i}.j = o.j GROUP BY o.label)"""
+    return out + f""",
+    z AS MATERIALIZED (SELECT e.label, vec_id, v, {at} AS j FROM e JOIN c{rounds} USING (label)),
+    y AS (SELECT label, j, list_transform([list(m ORDER BY i)], lambda l: list_transform(l, lambda x: x / sqrt(list_dot_product(l, l))))[1] AS m FROM (SELECT label, j, i, avg(x) AS m FROM (SELECT label, j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM z) GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("k6_kmeans_exemplars", f"WITH {_E}, {_FAR}, {_lloyd_sql()} SELECT label, row_number() OVER (PARTITION BY label ORDER BY j) AS rank, id FROM (SELECT z.label, z.j, arg_max(vec_id, {{'s': list_dot_product(v, m), 'i': -vec_id}}) AS id FROM z JOIN y ON y.label = z.label AND y.j = z.j GROUP BY ALL)")
 def kmeans_exemplars(s, d):
     return places.exemplars(table(s, d, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", "kmeans", 3)
 
 
+@query("m3_sub_cluster_means", f"WITH {_E}, {_FAR}, {_lloyd_sql()}, r AS (SELECT label, m, row_number() OVER (PARTITION BY label ORDER BY j) AS rank FROM y) SELECT label, rank, generate_subscripts(m, 1) - 1 AS dim, round(unnest(m), 6) AS x FROM r")
+def sub_cluster_means(s, d):
+    m = places.cluster_means(table(s, d, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", 3)
+    return m.select("label", "rank", F.posexplode("centroid").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("k7_evenly_spaced", "SELECT o_custkey, k[1] AS a, k[2] AS b, k[3] AS c FROM (SELECT o_custkey, CASE WHEN len(l) <= 3 THEN l ELSE [l[1], l[CASE WHEN (len(l) - 1) % 2 = 0 THEN (len(l) - 1) // 2 WHEN ((len(l) - 2) // 2) % 2 = 0 THEN (len(l) - 2) // 2 ELSE len(l) // 2 END + 1], l[-1]] END k FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) l FROM orders GROUP BY 1))")
 def evenly_spaced(s, d):
     o = table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("l"))

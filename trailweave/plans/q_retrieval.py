@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailweave.functions import evidence as ev
-from trailweave.functions.vectors import best_matches, blocked_products, dot
+from trailweave.functions.vectors import best_matches, dot, pair_statistics
 from trailweave.operators import places, retrieval
 from trailweave.plans.catalog import query, table
 from trailweave.sources.store import with_index
@@ -23,6 +23,10 @@ def _queries(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
+def _labelled(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+
+
 def _hits(k: int) -> str:
     return f"h AS (SELECT * FROM (SELECT e.vec_id query_id, x.vec_id id, x.label place, list_dot_product(e.v, x.v) score, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(e.v, x.v) DESC, x.vec_id) rank FROM e CROSS JOIN x) WHERE rank <= {k})"
 
@@ -64,24 +68,24 @@ def duplicate_candidates(s, d):
 
 @query(
     "j7_a15_e6_pair_similarity",
-    f"WITH {_E}, p AS (SELECT a.label = b.label same, list_dot_product(a.v, b.v) s FROM e a JOIN e b ON a.vec_id <> b.vec_id) SELECT count(*) FILTER (WHERE same) AS n_same, count(*) FILTER (WHERE NOT same) AS n_diff, round(avg(s) FILTER (WHERE same), 6) AS mean_same, round(avg(s) FILTER (WHERE NOT same), 6) AS mean_diff, round(stddev_pop(s) FILTER (WHERE same), 6) AS std_same, round(stddev_pop(s) FILTER (WHERE NOT same), 6) AS std_diff, round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) AS margin FROM p",
+    f"WITH {_E}, p AS (SELECT a.label = b.label same, list_dot_product(a.v, b.v) s FROM e a JOIN e b ON a.vec_id <> b.vec_id) SELECT count(*) FILTER (WHERE same) AS n_same, count(*) FILTER (WHERE NOT same) AS n_diff, round(avg(s) FILTER (WHERE same), 6) AS mean_same, round(avg(s) FILTER (WHERE NOT same), 6) AS mean_diff, round(stddev_pop(s) FILTER (WHERE same), 6) AS std_same, round(stddev_pop(s) FILTER (WHERE NOT same), 6) AS std_diff, round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) AS margin, round(min(s) FILTER (WHERE same), 6) AS least_same, round(max(s) FILTER (WHERE NOT same), 6) AS most_diff FROM p",
 )
 def pair_similarity(s, d):
-    q = _queries(s, d)
-    lab = table(s, d, "embeddings").select("vec_id", "label")
-    p = blocked_products(q, q).where("a <> b").join(lab.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(lab.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
-    same, diff = F.when(F.col("la") == F.col("lb"), F.col("sim")), F.when(F.col("la") != F.col("lb"), F.col("sim"))
+    p = pair_statistics(_labelled(s, d), 0.2)
+    of = lambda c, same: F.max(F.when(F.col("same") == F.lit(same), F.col(c)))  # noqa: E731 - one row of each kind
+    mean = {same: of("total", same) / of("n", same) for same in (True, False)}
+    std = {same: F.sqrt(of("squares", same) / of("n", same) - mean[same] * mean[same]) for same in mean}
     return p.agg(
-        F.count(same).alias("n_same"), F.count(diff).alias("n_diff"), F.round(F.avg(same), 6).alias("mean_same"), F.round(F.avg(diff), 6).alias("mean_diff"),
-        F.round(F.stddev_pop(same), 6).alias("std_same"), F.round(F.stddev_pop(diff), 6).alias("std_diff"), F.round(F.avg(same) - F.avg(diff), 6).alias("margin"),
+        (2 * of("n", True)).alias("n_same"), (2 * of("n", False)).alias("n_diff"), F.round(mean[True], 6).alias("mean_same"), F.round(mean[False], 6).alias("mean_diff"),
+        F.round(std[True], 6).alias("std_same"), F.round(std[False], 6).alias("std_diff"), F.round(mean[True] - mean[False], 6).alias("margin"),
+        F.round(of("least", True), 6).alias("least_same"), F.round(of("most", False), 6).alias("most_diff"),
     )
 
 
 @query("j8_exemplar_pairs", f"WITH {_E}, {_X} SELECT count(*) AS n, round(avg(list_dot_product(a.v, b.v)), 6) AS cross_mean, count(*) FILTER (WHERE list_dot_product(a.v, b.v) > 0.2) AS n_like FROM x a JOIN x b ON a.vec_id < b.vec_id AND a.label <> b.label")
 def exemplar_pairs(s, d):
-    x = _exemplars(s, d)
-    p = x.alias("a").join(x.alias("b"), (F.col("a.id") < F.col("b.id")) & (F.col("a.place") != F.col("b.place"))).select(dot(F.col("a.v"), F.col("b.v")).alias("s"))
-    return p.agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("cross_mean"), F.sum((F.col("s") > 0.2).cast("int")).alias("n_like"))
+    p = pair_statistics(_exemplars(s, d).select("id", F.col("place").alias("label"), "v"), 0.2).where("NOT same")
+    return p.select("n", F.round(F.col("total") / F.col("n"), 6).alias("cross_mean"), F.col("over").alias("n_like"))
 
 
 @query(
