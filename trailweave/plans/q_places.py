@@ -168,12 +168,55 @@ def merge_decisions(s, d):
     return out.select("a", "b", F.round("landmark_jaccard", 6).alias("landmark_jaccard"), "scene_compatible", "merged")
 
 
-@query("r5_r6_reconciled_places")
+def _counted(l: str, then: str) -> str:
+    """Of the distinct elements of a list, the most frequent first and of equals those first met, ``then`` picks."""
+    return f"list_transform([{l}], lambda l: list_transform(list_sort(list_transform(list_distinct(l), lambda x: [-len(list_filter(l, lambda y: y = x)), list_position(l, x)])){then}, lambda r: l[r[2]]))[1]"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+#: One state a step: the place at hand, those after it in this pass, those done with, and the pass.
+_TOLD = "list_distinct(list_concat(list_filter({m}, lambda x: x IN ('room_sign', 'stairs', 'elevator', 'entrance', 'reception', 'desk')), {g}))"
+_HALL = "(h.t IN ('corridor', 'junction') AND q.t IN ('corridor', 'junction'))"
+_OK = f"(h.t = 'unknown' OR q.t = 'unknown' OR h.t = q.t OR {_HALL})"
+_VIS = "list_max(flatten(list_transform(h.ex, lambda i: list_transform(q.ex, lambda j: sim[i][j]))))"
+_SAME = f"""list_transform([{_VIS}], lambda vis: {_OK} AND CASE WHEN {_HALL} THEN (({_jaccard("h.ev", "q.ev")} >= 0.5 AND vis >= 0.3) OR (len(h.ev) = 0 AND len(q.ev) = 0 AND vis >= 0.95)) AND NOT (len(h.ev) > 0 AND len(q.ev) > 0 AND len(list_intersect(h.ev, q.ev)) = 0 AND vis >= 0.05)
+     ELSE vis >= 0.2 AND NOT (len(h.m) > 0 AND len(q.m) > 0 AND len(list_intersect(h.m, q.m)) = 0 AND vis >= 0.05) AND ({_jaccard("h.m", "q.m")} >= 0.5 OR (len(h.m) = 0 AND len(q.m) = 0 AND vis >= 0.3)) END)[1]"""
+
+
+def _place_sql(x: dict[str, str]) -> str:
+    """A place with its dominant scene and telling evidence."""
+    top = _counted(x["sc"], "[1:1]") + "[1]"
+    fields = x | {"t": f"CASE {top} WHEN 'corridor_junction' THEN 'junction' ELSE {top} END", "ev": _TOLD.format(m=x["m"], g=x["g"])}
+    return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+
+_BOTH = {"id": "least(h.id, q.id)", "n": "h.n + q.n", "obs": "list_sort(list_concat(h.obs, q.obs))", "ex": "list_transform([list_concat(h.ex, q.ex)], lambda c: CASE WHEN len(c) > 3 THEN [c[1], c[3], c[-1]] ELSE c END)[1]", "sc": "list_concat(h.sc, q.sc)", "m": _counted("list_concat(h.m, q.m)", "[1:8]"), "g": _counted("list_concat(h.g, q.g)", "[1:8]")}
+_SWEEP = f"""{_PL}, xi AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT DISTINCT vec_id AS i FROM e)), sm AS (SELECT list(r ORDER BY k) AS sim FROM (SELECT a.k, list(list_dot_product(x.v, y.v) ORDER BY b.k) AS r FROM xi a JOIN e x ON x.vec_id = a.i CROSS JOIN xi b JOIN e y ON y.vec_id = b.i GROUP BY a.k)),
+    scn AS (SELECT p, vec_id, CASE WHEN p % 3 = 0 THEN 'corridor' ELSE CASE vec_id % 4 WHEN 0 THEN 'room' WHEN 1 THEN 'corridor' WHEN 2 THEN 'unknown' ELSE 'corridor_junction' END END AS seen FROM e),
+    one AS (SELECT p AS id, 1 AS n, list(vec_id ORDER BY vec_id) AS obs, [arg_min(k, vec_id), arg_max(k, vec_id)] AS ex, list(seen ORDER BY vec_id) AS sc, any_value(m) AS m, any_value(sg) AS g FROM scn JOIN xi ON i = vec_id JOIN pl USING (p) GROUP BY p),
+    s0 AS (SELECT list({_place_sql({k: k for k in _BOTH})} ORDER BY id) AS l FROM one),
+    st AS (SELECT 1 AS pass, len(l) AS before, l[1] AS h, l[2:] AS todo, l[1:0] AS kept, false AS fin FROM s0 UNION ALL
+     SELECT CASE WHEN more THEN pass + 1 ELSE pass END, CASE WHEN more THEN len(kept1) ELSE before END,
+      CASE WHEN hit IS NOT NULL THEN list_transform([todo[hit]], lambda q: {_place_sql(_BOTH)})[1] WHEN more THEN kept1[1] ELSE todo[1] END,
+      CASE WHEN hit IS NOT NULL THEN list_filter(todo, lambda x, i: i <> hit) WHEN more THEN kept1[2:] ELSE todo[2:] END,
+      CASE WHEN hit IS NOT NULL THEN kept WHEN more THEN kept1[1:0] ELSE kept1 END, hit IS NULL AND len(todo) = 0 AND NOT more
+     FROM (SELECT *, hit IS NULL AND len(todo) = 0 AND len(kept1) <> before AND pass < 10 AS more FROM (SELECT *, list_append(kept, h) AS kept1, nullif(list_position(list_transform(todo, lambda q: {_SAME}), true), 0) AS hit FROM st, sm WHERE NOT fin)))"""
+
+
+@query(
+    "d6_r5_r6_reconciled_places",
+    f"""WITH RECURSIVE {_SWEEP}, z AS (SELECT unnest(kept) AS x FROM st WHERE fin), ids AS (SELECT list(i ORDER BY k) AS ids FROM xi)
+    SELECT 'm' AS map_id, x.id AS place_id, array_to_string(x.obs, ',') AS observation_ids, array_to_string(list_transform(x.ex, lambda k: ids[k]), ',') AS exemplar_ids, array_to_string(x.m, ',') AS marks, array_to_string(x.g, ',') AS signs, x.n AS merged_from FROM z, ids""",
+)
 def reconciled(s, d):
     e, p = _places(s, d)
     one = p.withColumn("map_id", F.lit("m"))
     x = e.select(F.lit("m").alias("map_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return reconcile.reconcile(one, x, "map_id", {"visual": 0.2, "extra": 0.3})
+    out = reconcile.reconcile(one, x, "map_id", {"visual": 0.2, "extra": 0.3})
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("observation_ids", "exemplar_ids", "marks", "signs")})
 
 
 @query("u3_u4_set_operations", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(list_intersect(m, ['room_sign', 'stairs', 'desk']), ['sign ' || p_size]))), ',') AS evidence, p_size + 1 AS total FROM (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN ['door', 'desk'] WHEN 1 THEN ['stairs'] ELSE [] END m FROM part)")
