@@ -390,7 +390,8 @@ def test_dense_groups_stay_connected():
     seeds = rnd.integers(0, 2**63, 3, dtype=np.uint64)
     flips = (np.uint64(1) << rnd.integers(0, 64, (400, 2)).astype(np.uint64)).T
     fp = np.unique(np.concatenate([seeds[i % 3] ^ flips[0] ^ flips[1] for i in range(3)]))
-    a, b = simhash.links(fp, 4)
+    i, j = simhash.links(fp, 4)
+    a, b = fp[i], fp[j]
     assert len(a) <= 4 * len(fp)
     x, y = simhash.near(fp, fp, 4)
     label = {int(f): int(f) for f in fp}
@@ -403,15 +404,87 @@ def test_dense_groups_stay_connected():
     assert all(label[int(fp[i])] == label[int(fp[j])] for i, j in zip(x, y))
 
 
-def test_one_of_each(hard):
-    kept = simhash.one_of_each(hard).collect()
+@pytest.mark.parametrize("find", [simhash.near_duplicates_by_node, simhash.near_copies])
+def test_one_of_each(hard, find):
+    kept = simhash.one_of_each(hard, find).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     src = hard.collect()
-    assert sorted(ids) == sorted({c for c in brute_components([r.doc_id for r in src], [r.text for r in src]) if c is not None})
-    assert simhash.one_of_each(hard).columns == hard.columns
+    if find is simhash.near_duplicates_by_node:
+        want = {c for c in brute_components([r.doc_id for r in src], [r.text for r in src]) if c is not None}
+        assert sorted(ids) == sorted(want)
+    assert len(ids) == len(set(ids))
+    assert simhash.one_of_each(hard, find).columns == hard.columns
     assert sum(r.doc_id is None for r in kept) == 1
 
 
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def edited_texts(spread):
+    """Families of texts: one of 150 words or so, and copies of it with words replaced; ``spread``: shares of words."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 8)))
+    out = []
+    for f in range(60):
+        base = [word() for _ in range(rnd.randint(60, 400))]
+        for share in (0, *spread):
+            out.append((f, " ".join(word() if rnd.random() < share else w for w in base)))
+    return out
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 40])
+def test_near_copies_have_similar_shingles(spark, tile):
+    texts = edited_texts((0.003, 0.008, 0.013, 0.02, 0.3))
+    same = " ".join(f"licence{i}" for i in range(40))  # a passage that all share
+    texts = [(f, t + " " + same) for f, t in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(df, tile=tile).collect()}
+    assert len(got) == len(texts)
+    like = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0] and jaccard(texts[i][1], texts[j][1]) >= 0.8]
+    caught = sum(got[i] == got[j] for i, j in like)
+    assert len(like) > 150 and caught >= 0.99 * len(like)
+    # Nothing else is linked: families stay apart, and so do copies with a third of their words replaced.
+    assert all(texts[i][0] == texts[c][0] for i, c in got.items())
+    assert all((got[i] == got[j]) == (i == j) for i in range(5, len(texts), 6) for j in range(i - 5, i + 1))
+
+
+def test_wide_distances_follow_similarity():
+    rnd = random.Random(2)
+    radius = simhash.radius_of(0.8)
+    assert radius == 105
+    for _ in range(40):
+        base = [str(rnd.random()) for _ in range(rnd.randint(80, 500))]
+        copy = [str(rnd.random()) if rnd.random() < 0.01 else w for w in base]
+        a, b = (" ".join(x) for x in (base, copy))
+        s = jaccard(a, b)
+        d = (int.from_bytes(simhash.wide_fingerprint(a)[0], "little") ^ int.from_bytes(simhash.wide_fingerprint(b)[0], "little")).bit_count()
+        p = math.acos(2 * s / (1 + s)) / math.pi
+        assert abs(d - 512 * p) <= 5 * math.sqrt(512 * p * (1 - p)) + 8
+    # Keys depend on the set of shingles alone.
+    assert simhash.wide_fingerprint("a b c d e f " * 9) == simhash.wide_fingerprint("a b c d e f " * 4)
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == (bytes(64), [0])
+
+
+def test_near_copies_of_odd_rows(spark, hard, empty):
+    rows = simhash.near_copies(hard).collect()
+    texts = {r.doc_id: r.text for r in hard.collect()}
+    assert len(rows) == hard.count()
+    by = collections.defaultdict(set)
+    for r in rows:
+        if r.doc_id is not None:
+            by[frozenset(shingle_set(texts[r.doc_id]))].add(r.component_id)
+    assert all(len(v) == 1 for v in by.values())  # equal shingles: one component
+    assert simhash.near_copies(empty).count() == 0
+    assert {r.component_id for r in rows if r.doc_id in (0, 1, 2, 4)} == {0}  # null and empty texts
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
