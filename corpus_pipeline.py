@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailweave.llm import decontam, packing, rules, secrets, simhash
 from trailweave.llm.queries import tokenizer_path
-from trailweave.llm.work import written
+from trailweave.llm.work import fresh_path, temporaries
+from trailweave.scratch import drop
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
+    """One document of each group of near copies, five-word shingles alike at 0.8 or more: that with the smallest id."""
     return simhash.one_of_each(docs)
 
 
@@ -51,7 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        with temporaries(spark):  # what a stage wrote for itself goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last is not None:
+            drop(spark, last)
+        last = path
     return docs
