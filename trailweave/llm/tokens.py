@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.work import fresh_path, ship, written
+from trailweave.llm.work import fresh_path, held, ship, split_by_bits, texts_of, written
 
 #: Words whose ids a worker keeps at most; beyond that it forgets them and goes on.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Bytes of text that are split into words at once.
 BATCH_BYTES = 4 << 20
 _TAILS = string.punctuation
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -120,7 +119,7 @@ class Encoder:
         for a, b in zip(stops, stops[1:]):
             yield ids[a:b]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
         if not self.split:
             yield from map(self.ids, texts)
@@ -137,9 +136,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def version_of(path: str) -> str:
@@ -156,7 +153,7 @@ def _counter(path: str) -> Callable:
 
         enc = encoder(path)
         for b in batches:
-            n = [len(x) // 4 for x in enc.encode(b.column("text").to_pylist())]
+            n = [len(x) // 4 for x in enc.encode(texts_of(b.column("text")))]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return count
@@ -169,8 +166,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     normalised in as far as that can't change a count: null becomes the empty text. ``cache`` is a
     folder of Parquet files (digest, n_tokens) that every reader of the cluster sees; without one,
     a new cache is begun. Digests that the cache lacks are encoded once each, and appended; then all
-    documents take their counts from the cache. Copies, a third of all rows among them, are counted
-    by partial aggregation of digests, and only one row of each digest brings its text along.
+    documents take their counts from the cache. Texts whose digest surely occurs once and isn't cached,
+    by bitmaps of the others (see split_by_bits), are encoded where they are read. Of the rest one row
+    of each digest that the cache lacks is found by a join, which brings its text along.
 
     Repeated rows give repeated results, null ids stay, an empty table gives an empty result, and
     other columns are not read. If two runs append the same digest at once, readers take one of the
@@ -185,13 +183,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(cache)
     known = spark.read.schema("digest binary, n_tokens long").parquet(cache) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], "digest binary, n_tokens long")
+    per = written(meta.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).join(known.withColumn("cached", F.lit(True)), "digest", "left"), "token-digests")
+    alone, maybe = split_by_bits(rows, "digest", written(per.where("n > 1 OR cached").select("digest").distinct(), "token-shared"))
     # A digest's text comes from the rows with its smallest doc_id; where that is null, from all its rows.
-    wanted = meta.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known, "digest", "left_anti")
-    fresh = (
-        rows.join(wanted.select(F.col("digest").alias("d"), "first_id"), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-        .select("digest", "text")
-        .mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
-    )
+    wanted = per.where("cached IS NULL").select(F.col("digest").alias("d"), "first_id")
+    first = maybe.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    fresh = alone.unionByName(first).select("digest", "text").mapInArrow(_counter(tokenizer), "digest binary, n_tokens long")
     fresh.dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     counts = spark.read.schema("digest binary, n_tokens long").parquet(cache).join(meta.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     # Written, so that the join reads two plain exchanges and can split that of a hot digest; and a

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailweave.llm.work import ship, written
+from trailweave.llm.work import ship, split_by_bits, written
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -40,7 +40,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), url.alias("url"), base32_sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n"), html.alias("html"))
     first = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
     first = written(first.where("copies > 1 AND first_id IS NOT NULL").select(F.col("digest").alias("d"), "first_id"), "warc-copies")
-    alone, maybe = _split_by_bits(rows, first)
+    alone, maybe = split_by_bits(rows, "digest", first.select(F.col("d").alias("digest")))
     # Of rows that may have copies, revisits move without their texts.
     slim = maybe.drop("html").join(first, F.col("digest") == F.col("d")).where(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
     revisits = slim.select("page_id", "url", "digest", "n", "first_id", F.lit(None).cast("string").alias("html"))
@@ -49,26 +49,6 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     responses.unionByName(revisits).select(_record().alias("value")).write.option("lineSep", END).text(path)
 
 
-def _split_by_bits(rows: DataFrame, copied: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose digest surely isn't among the copied ones, and those of which it may be.
-
-    The copied digests set bits of 256 bitmaps of 4 KB, which are broadcast: 1 MB, whatever the size
-    of the table. With so many copied digests that most bits are set, more rows go the second way;
-    the result is the same.
-    """
-
-    def bit(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(1 << 23))
-
-    spot = copied.select(bit("d").alias("bit"))
-    maps = spot.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    seen = rows.withColumn("bit", bit("digest")).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket"), "left")
-    at = F.bitmap_bit_position("bit")
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return seen.where(~hit).select(*rows.columns), seen.where(hit).select(*rows.columns)
-
-
 def _record() -> Column:
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))

@@ -7,17 +7,19 @@ the session names in ``spark.checkpoint.dir``, so that a lost executor costs a t
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.scratch import drop, run_dir
 from trailweave.shipping import ship
 
-__all__ = ["BROADCAST_BYTES", "done", "fresh_path", "let", "literal_rows", "literal_side", "ship", "small_side", "sweep", "temporaries", "written"]
+__all__ = ["BROADCAST_BYTES", "done", "fresh_path", "held", "let", "literal_rows", "literal_side", "ship", "small_side", "split_by_bits", "sweep", "temporaries", "texts_of", "written"]
 #: The largest table, in estimated bytes, that is ever broadcast on purpose.
 BROADCAST_BYTES = 8 << 20
 _TEMPORARY: ContextVar[list | None] = ContextVar("temporary", default=None)
@@ -59,6 +61,22 @@ def temporaries(spark: SparkSession) -> Iterator[None]:
             drop(spark, path)
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """A large object that a worker keeps from task to task: one at a time, so the last operator's goes."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch one by one: they aren't all there at once as Python strings."""
+    return (x.as_py() for x in column)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes all tables that this application has left in the shared folder."""
     drop(spark, run_dir(spark))
@@ -87,6 +105,31 @@ def literal_side(spark: SparkSession, rows: list[tuple], names: list[str], types
     return F.broadcast(df) if len(rows) * len(names) * 8 <= BROADCAST_BYTES else df
 
 
+def split_by_bits(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` surely isn't among ``keys``, and those of which it may be; the first needn't be shuffled to know.
+
+    The keys, a written table of one column of that name, set bits of up to 2048 bitmaps of 4 KB, which are
+    broadcast: at most BROADCAST_BYTES, whatever the size of the table. With so many keys that most bits
+    are set, more rows go the second way; what is true of them is up to the caller to find out exactly.
+    Rows with a null key go the first way.
+    """
+    count = keys.count()
+    maps = 1
+    while maps < 2048 and maps << 15 < 16 * count:
+        maps <<= 1
+
+    def bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(maps << 15))
+
+    spot = keys.select(bit(F.col(key)).alias("__bit"))
+    bitmaps = spot.groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    seen = rows.withColumn("__bit", F.when(F.col(key).isNotNull(), bit(F.col(key)))).join(F.broadcast(bitmaps), F.bitmap_bucket_number("__bit") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return seen.where(~hit).select(*rows.columns), seen.where(hit).select(*rows.columns)
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay below BROADCAST_BYTES, else as it is."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
