@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.work import done, ship, written
+from trailweave.llm.work import done, ship, texts_of, written
 
 #: Fingerprints of one block value that a task compares at most; larger groups are dealt out by tile pairs.
 TILE = 4096
@@ -36,7 +36,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        fp = np.array([fingerprint(t) for t in texts_of(b.column("text"))], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
 
@@ -209,20 +209,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large stars and small stars in turn until nothing changes: each round joins edges with the
     smallest neighbour of each node, which partial aggregation finds even at a hub with a third of
-    all edges. The number of rounds grows with the logarithm of the longest chain. Only a count and
-    a checksum of the edges reach the driver.
+    all edges; it is written, so that the join deals out edges anew and can split those of a hub. The
+    number of rounds grows with the logarithm of the longest chain. Only a count and a checksum of the
+    edges reach the driver.
     """
     cur = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "cc")
     seen = None
     while True:
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        nxt = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        small = large.join(lower, "u")
+        nxt = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         before, cur = cur, written(nxt.where("u > v").distinct(), "cc")
-        done(before)
+        done(before, least, large, lower)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break
@@ -244,13 +245,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, tile: int = TILE) -> DataF
     prints = written(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     edges = near_edges(distinct.select("fp"), radius, tile)
-    out = _with_components(prints.withColumnRenamed("fp", "node"), distinct.withColumnRenamed("fp", "node"), edges)
-    return out.withColumnRenamed("node", "fp")
+    out = _with_components(prints.withColumnRenamed("fp", "key"), distinct.select(F.col("fp").alias("key"), F.col("fp").alias("node"), "first_id"), edges)
+    return out.withColumnRenamed("key", "fp")
 
 
-def near_duplicates_by_node(docs: DataFrame) -> DataFrame:
-    """near_duplicates with its fingerprint as ``node``: for one_of_each."""
-    return near_duplicates(docs).withColumnRenamed("fp", "node")
+def near_duplicates_by_key(docs: DataFrame) -> DataFrame:
+    """near_duplicates with its fingerprint as ``key``: for one_of_each."""
+    return near_duplicates(docs).withColumnRenamed("fp", "key")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -300,7 +301,7 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[bytes, list[int]
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [wide_fingerprint(t) for t in b.column("text").to_pylist()]
+        got = [wide_fingerprint(t) for t in texts_of(b.column("text"))]
         pop = [int.from_bytes(fp, "little").bit_count() for fp, _ in got]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fp for fp, _ in got], pa.binary()), pa.array(pop, pa.int32()), pa.array([k for _, k in got], pa.list_(pa.int64()))], ["doc_id", "fp", "pop", "keys"])
 
@@ -316,7 +317,7 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, node, component_id: documents whose sets of five-word shingles are alike.
+    """One row for each row of ``docs``: doc_id, key, component_id: documents whose sets of five-word shingles are alike.
 
     64 bits can't tell a similarity of 0.8 from one of 0.5, so fingerprints have 512, and two link
     within ``radius_of(similarity)``: at 0.8 that is 105 bits, which pairs of 0.8 exceed once in 4,000
@@ -326,26 +327,27 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, tile: int = TILE) -> D
     many documents are compared by tiles, as in near_duplicates. Exact copies have one fingerprint and are
     compared once.
 
-    component_id is the smallest doc_id that links reach; node stands for the fingerprint. Nulls, texts
+    component_id is the smallest doc_id that links reach; key stands for the fingerprint. Nulls, texts
     without words, repeated rows, empty tables and other columns are dealt with as in near_duplicates.
     """
     ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     prints = rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary, pop int, keys array<bigint>")
-    prints = written(prints.withColumn("node", F.unhex(F.md5("fp"))), "wide-fingerprints")
-    distinct = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("pop").alias("pop"), F.min("keys").alias("keys")), "distinct-fingerprints")
+    prints = written(prints.withColumn("key", F.unhex(F.md5("fp"))), "wide-fingerprints")
+    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("pop").alias("pop"), F.min("keys").alias("keys"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-fingerprints")
     edges = tiled_edges(distinct.select("node", F.explode("keys").alias("grp")), distinct.select("node", "fp", "pop"), radius_of(similarity), tile)
-    return _with_components(prints.select("doc_id", "node"), distinct.select("node", "first_id"), edges)
+    return _with_components(prints.select("doc_id", "key"), distinct.select("key", "node", "first_id"), edges)
 
 
 def _with_components(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (doc_id, node) with the smallest doc_id that their node reaches. distinct: (node, first_id)."""
+    """Rows (doc_id, key) with the smallest doc_id that the node of their key reaches. distinct: (key, node, first_id)."""
     cc = written(components(edges), "components").withColumnRenamed("node", "at")
-    rooted = distinct.join(cc, F.col("node") == F.col("at"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = distinct.join(cc, F.col("node") == F.col("at"), "left").select("key", "first_id", F.coalesce("root", "node").alias("root"))
     # Written, so that the join with a root that many fingerprints reach can be split, or isn't shuffled at all.
     ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")
-    per_print = written(rooted.join(ids, "root").select("node", "component_id"), "fingerprint-components")
-    return prints.join(per_print, "node").select("doc_id", "node", "component_id")
+    per_print = written(rooted.join(ids, "root").select("key", "component_id"), "fingerprint-components")
+    return prints.join(per_print, "key").select("doc_id", "key", "component_id")
 
 
 def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_copies) -> DataFrame:
@@ -356,15 +358,17 @@ def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = near_c
     found = written(find(docs), "near-copies")
     known = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     own = docs.where(F.col("doc_id").isNotNull())
-    kept = own.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(found) else own.join(known, "doc_id", "left_semi")
+    # Ids to keep grow with the documents: by this hint they are never broadcast, at no size.
+    kept = own.join(known.hint("merge"), "doc_id", "left_semi")
+    kept = kept.dropDuplicates(["doc_id"]) if _repeats(found) else kept
     if found.where(F.col("component_id").isNull()).isEmpty():
         return kept
     bare = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = written(find(bare.select(key.alias("doc_id"), "text")), "near-copies")
-    free = found.where(F.col("component_id").isNull()).select("node").distinct()
-    keys = named.where(F.col("doc_id") == F.col("component_id")).join(free, "node", "left_semi").select(F.col("doc_id").alias("__key")).distinct()
-    return kept.unionByName(bare.withColumn("__key", key).join(keys, "__key", "left_semi").drop("__key"))
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = written(find(bare.select(name.alias("doc_id"), "text")), "near-copies")
+    free = found.where(F.col("component_id").isNull()).select("key").distinct()
+    names = named.where(F.col("doc_id") == F.col("component_id")).join(free, "key", "left_semi").select(F.col("doc_id").alias("__name")).distinct()
+    return kept.unionByName(bare.withColumn("__name", name).join(names, "__name", "left_semi").drop("__name"))
 
 
 def _repeats(found: DataFrame) -> bool:
