@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.work import BROADCAST_BYTES, ship, small_side, written
+from trailweave.llm.work import BROADCAST_BYTES, ship, small_side, texts_of, written
 
 #: Labelled documents that the classifier is fitted on at most: those of least hash.
 SAMPLE = 20_000
@@ -53,7 +53,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np
 def _scorer(weights: np.ndarray) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([evidence(t) for t in b.column("text").to_pylist()]).reshape(-1, len(NAMES))
+            x = np.array([evidence(t) for t in texts_of(b.column("text"))]).reshape(-1, len(NAMES))
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             rest = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(p)], [*rest, "p_doc"])
@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [evidence(t) for t in b.column("text").to_pylist()]
+            x = [evidence(t) for t in texts_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

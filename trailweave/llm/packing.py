@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.tokens import encoder
-from trailweave.llm.work import ship, written
+from trailweave.llm.work import ship, texts_of, written
 
 #: Pieces that one task packs together, on average. A group wastes less than one sequence by itself.
 GROUP_PIECES = 8192
@@ -213,7 +213,7 @@ def _cut(path: str, room: int) -> Callable:
         enc = encoder(path)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(texts_of(b.column("text")))):
                 ids += b"\0\0\0\0"
                 for p, at in enumerate(range(0, len(ids), 4 * room)):
                     piece = ids[at : at + 4 * room]
