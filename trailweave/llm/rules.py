@@ -32,8 +32,10 @@ def _repeat_words(words: Column, n: int) -> Column:
         ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
         return F.aggregate(let(ordered, hits), start, grown, lambda a: a["sum"])
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) < n, F.lit(0)).otherwise(let(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g))))
+    each = lambda f: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: f(F.slice(words, i, n)))
+    # Where no two hashes of windows are equal, no two windows are; the others are compared themselves.
+    differ = let(each(F.xxhash64), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(F.size(words) < n, F.lit(0)).when(differ, F.lit(0)).otherwise(let(each(lambda w: F.array_join(w, " ")), covered))
 
 
 def text_features(text: Column) -> Column:
