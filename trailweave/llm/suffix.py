@@ -18,7 +18,7 @@ from trailweave.llm.work import ship, written
 #: The length of a repeated string, of the grams that bring repeats together, and so of windows of grams.
 LENGTH, GRAM = 200, 64
 #: Places of one key that a task compares at most; keys with more are split by what follows their gram.
-HOT_KEY = 5_000
+HOT_KEY = 2_500
 #: Offsets of windows in a range, at the first and second split.
 WIDTHS = (12, 1)
 #: Bytes that are hashed at once.
