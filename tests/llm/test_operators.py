@@ -404,12 +404,12 @@ def test_dense_groups_stay_connected():
     assert all(label[int(fp[i])] == label[int(fp[j])] for i, j in zip(x, y))
 
 
-@pytest.mark.parametrize("find", [simhash.near_duplicates_by_node, simhash.near_copies])
+@pytest.mark.parametrize("find", [simhash.near_duplicates_by_key, simhash.near_copies])
 def test_one_of_each(hard, find):
     kept = simhash.one_of_each(hard, find).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     src = hard.collect()
-    if find is simhash.near_duplicates_by_node:
+    if find is simhash.near_duplicates_by_key:
         want = {c for c in brute_components([r.doc_id for r in src], [r.text for r in src]) if c is not None}
         assert sorted(ids) == sorted(want)
     assert len(ids) == len(set(ids))
@@ -790,6 +790,23 @@ def test_decontamination(spark, hard, empty):
     assert decontam.without_benchmark(hard, bench).columns == hard.columns
 
 
+def test_contamination_of_odd_documents(spark):
+    """A very long text, one document with several items, repeated rows, and columns with clashing names."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    items = [" ".join(word() for _ in range(40)) for _ in range(5)]
+    long = " ".join(word() for _ in range(150_000))
+    cut = len(long) // 2
+    texts = [(1, long[:cut] + " " + items[0] + " " + long[cut:]), (2, " ".join(items)), (2, " ".join(items)), (3, items[1] + " " + items[1]), (4, long), (None, items[2])]
+    clash = {c: F.lit(7) for c in ("item_id", "distance", "allowed", "path", "row")}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns(clash)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumns({"doc_id": F.lit(1), "distance": F.lit(2)})
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontam.contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([(1, 0, 0), *[(2, k, 0) for k in range(5)] * 2, (3, 1, 0), (None, 2, 0)], key=str)
+    kept = decontam.without_benchmark(docs, bench)
+    assert [r.doc_id for r in kept.collect()] == [4] and kept.columns == docs.columns
+
+
 def test_items_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"item number {i} of the benchmark with some words in it") for i in range(20)], "item_id long, text string")
     assert len(list(decontam.item_blocks(bench, 200))) > 3 and sum(map(len, decontam.item_blocks(bench, 200))) == 20
@@ -894,6 +911,12 @@ def test_token_counts(hard, empty, library, spark):
     stored = spark.read.parquet(cache)
     n = stored.count()
     assert n == stored.select("digest").distinct().count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    # Texts come from the rows that are read where they occur once, and by a join where there are copies.
+    more = spark.createDataFrame([(5000, "new text"), (5001, "new text"), (5002, texts[9]), (5003, "another new text"), (None, "new, nameless"), (None, "new, nameless")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_tokens) for r in tokens.token_counts(more, tokenizer_path(), cache).collect()}
+    assert got == {(i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in ((r.doc_id, r.text) for r in more.collect())}
+    assert spark.read.parquet(cache).select("digest").distinct().count() == n + 3
+    n = spark.read.parquet(cache).count()
     again = tokens.token_counts(docs, tokenizer_path(), cache)
     assert all_rows(again) == sorted((tuple(r) for r in rows), key=str) and spark.read.parquet(cache).count() == n
     assert tokens.token_counts(empty, tokenizer_path()).count() == 0
