@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 def clustered(df: DataFrame, vector: str, k: int, seeds: Iterable[int] = (42, 43, 44)) -> DataFrame:
     """``cluster`` of each row: the cheapest of k-means runs with several seeds."""
-    rows = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>"))).cache()
-    models = [KMeans(k=k, seed=s, featuresCol="__v", predictionCol="cluster").fit(rows) for s in seeds]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(rows).drop("__v")
+    rows = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    vectors = rows.select("__v").cache()
+    models = [KMeans(k=k, seed=s, featuresCol="__v", predictionCol="cluster").fit(vectors) for s in seeds]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    vectors.unpersist()
+    return best.transform(rows).drop("__v")
 
 
 def choose_k(df: DataFrame, id_: str, vector: str, ks: Iterable[int] = range(3, 13), seed: int = 42) -> DataFrame:
