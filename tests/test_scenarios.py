@@ -148,6 +148,23 @@ def test_merge_decisions(spark):
     assert got == [True, False, True, False, False, False, True, True]
 
 
+def test_merge_decisions_in_columns_and_in_memory_are_one_rule(spark):
+    import random
+    from collections import Counter
+
+    rnd, rows, want = random.Random(13), [], []
+    scenes, marks = ["room", "corridor", "junction", "corridor_junction", "unknown", "lobby"], ["door", "desk", "stairs", "room_sign", "other"]
+    for i in range(600):
+        side = lambda: {"scenes": Counter([rnd.choice(scenes)]), "marks": rnd.sample(marks, rnd.choice([0, 0, 1, 2])), "signs": rnd.sample(["a 1", "b 2"], rnd.choice([0, 0, 1]))}
+        a, b, vis = side(), side(), rnd.choice([0.2, 0.274, 0.275, 0.3, 0.424, 0.425, 0.6, 0.835, 0.9, 0.95, 0.99])
+        cfg = {"scene_required": i % 3 > 0}
+        rows.append((i, cfg["scene_required"], vis, rnd.randint(1, 3), *[x for p in (a, b) for x in (next(iter(p["scenes"])), p["marks"], p["signs"])]))
+        want.append(reconcile._same(a, b, vis, reconcile.DEFAULTS | cfg))
+    df = spark.createDataFrame(rows, "i int, req boolean, vis double, order_gap int, scene_a string, marks_a array<string>, signs_a array<string>, scene_b string, marks_b array<string>, signs_b array<string>")
+    got = {r.i: r.merged for req in (True, False) for r in reconcile.merge_decisions(df.where(F.col("req") == req), {"scene_required": req}).collect()}
+    assert [got[i] for i in range(600)] == want and 40 < sum(want) < 560
+
+
 def test_reconcile_joins_revisits(spark):
     p = [("m", i, [i], [i], ["room"], [], []) for i in range(3)]
     df = spark.createDataFrame(p, "m string, place_id int, observation_ids array<int>, exemplar_ids array<int>, scenes array<string>, marks array<string>, signs array<string>")
