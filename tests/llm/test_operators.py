@@ -126,15 +126,14 @@ def plain_kd(rows, shards, ranges=None, first=0):
     return plain_kd(rows[:k], half, ranges, first) | plain_kd(rows[k:], shards - half, ranges, first + half)
 
 
-@pytest.mark.parametrize("inline", [256, 3])
-def test_sharding_against_a_plain_tree(spark, inline):
+@pytest.mark.parametrize("inline, shards", [(256, 16), (3, 7)])
+def test_sharding_against_a_plain_tree(spark, inline, shards):
     rnd = random.Random(inline)
     points = [(rnd.randint(1, 90), (rnd.random() ** 2, rnd.gauss(0, 5), rnd.random() * 1e6), i) for i in range(700)]
     df = spark.createDataFrame([(i, w, *x) for w, x, i in points], "id long, w long, a double, b double, c double").repartition(5)
-    for shards in (7, 16):
-        out = shard.kd_shards(df, df["w"], [df["a"], df["b"], df["c"]], [df["id"]], shards=shards, buckets=8, tolerance=0.0, inline=inline).collect()
-        assert {r.id: r["shard"] for r in out} == plain_kd(points, shards)
-        assert all(sorted(r.slot for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out))) for k in range(shards))
+    out = shard.kd_shards(df, df["w"], [df["a"], df["b"], df["c"]], [df["id"]], shards=shards, buckets=8, tolerance=0.0, inline=inline).collect()
+    assert {r.id: r["shard"] for r in out} == plain_kd(points, shards)
+    assert all(sorted(r.slot for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out))) for k in range(shards))
     few = shard.kd_shards(df.limit(3), df["w"], [df["a"]], [df["id"]], shards=9, inline=inline).collect()
     assert len(few) == 3 and len({(r["shard"], r.slot) for r in few}) == 3
 
@@ -406,14 +405,15 @@ def test_dense_groups_stay_connected():
 
 @pytest.mark.parametrize("find", [simhash.near_duplicates_by_key, simhash.near_copies])
 def test_one_of_each(hard, find):
-    kept = simhash.one_of_each(hard, find).collect()
+    out = simhash.one_of_each(hard, find)
+    kept = out.collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     src = hard.collect()
     if find is simhash.near_duplicates_by_key:
         want = {c for c in brute_components([r.doc_id for r in src], [r.text for r in src]) if c is not None}
         assert sorted(ids) == sorted(want)
     assert len(ids) == len(set(ids))
-    assert simhash.one_of_each(hard, find).columns == hard.columns
+    assert out.columns == hard.columns
     assert sum(r.doc_id is None for r in kept) == 1
 
 
