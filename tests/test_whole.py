@@ -58,17 +58,22 @@ def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
         assert r.percentile == pytest.approx(p, abs=1e-6) and r.new == pytest.approx(new, abs=1e-5)
 
 
-def test_choose_k_tries_the_whole_sweep(spark, sf_dir):
-    rows = sorted(catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect())
+@pytest.fixture(scope="module")
+def swept(spark, sf_dir):
+    return sorted(catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect())
+
+
+def test_choose_k_tries_the_whole_sweep(swept):
+    rows = swept
     assert [r.k for r in rows] == list(range(3, 13))
     assert [r.k for r in rows if r.best] == [max(rows, key=lambda r: (r.silhouette, -r.k)).k]
 
 
-def test_every_row_has_one_cluster(spark, sf_dir, emb):
+def test_every_row_has_one_cluster(spark, sf_dir, emb, swept):
     ids, _, v = emb
     rows = sorted(catalog.queries()["m2_cluster_assignment"](spark, sf_dir).collect())
     assert [r.vec_id for r in rows] == ids.tolist()
-    k = next(r.k for r in catalog.queries()["m1_m2_choose_k"](spark, sf_dir).collect() if r.best)
+    k = next(r.k for r in swept if r.best)
     own = np.array([r.cluster for r in rows])
     assert set(own) == set(range(k))
     # A k-means result: nearly all rows are nearest to the mean of their own cluster.
