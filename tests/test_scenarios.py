@@ -356,6 +356,15 @@ def test_numbered_rows_are_all_there(spark):
     assert got["k"].is_monotonic_increasing and (got["w"] >= 256).all()
 
 
+def test_every_frame_has_a_number_of_its_own(spark):
+    """Frames with equal names, with equal vectors as well, and without a name."""
+    frames = [("b", [2.0]), ("a", [1.0]), ("b", [1.0]), (None, [0.0]), ("b", [2.0])]
+    got = store.observations(spark.createDataFrame(frames, "frame string, v array<float>"), "frame", "v").orderBy("ts").collect()
+    assert [(r.id, r.ts, r.frame_path, list(r.embedding)) for r in got] == [
+        (f"obs_00000{i}", float(i), f, v) for i, (f, v) in enumerate([("a", [1.0]), ("b", [1.0]), ("b", [2.0]), ("b", [2.0]), (None, [0.0])])
+    ]
+
+
 def test_report_and_hash(spark, tmp_path):
     w = spark.createDataFrame([("weak_edge", "1-2")], "check string, subject string")
     store.write_report(w, str(tmp_path / "r"))

@@ -44,17 +44,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = OBSERVATION) -> Dat
 
 
 def observations(frames: DataFrame, name: str, vector: str) -> DataFrame:
-    """Observations of named frames, in order of name: id obs_000000 and so on, ts the index.
+    """Observations of named frames, in order of name, nameless ones last: id obs_000000 and so on, ts the index.
 
-    The names alone are numbered: by range-sorted partitions and their counts, not in one task.
+    Every row has a number of its own; of rows with equal names the smaller vector comes first.
     """
-    names = frames.select(F.col(name).alias("frame_path")).distinct()
-    numbered = with_index(names, ["frame_path"])
-    out = frames.join(numbered, frames[name] == numbered["frame_path"]).drop(name) if name != "frame_path" else frames.join(numbered, "frame_path")
-    return out.select(F.format_string("obs_%06d", "index").alias("id"), F.col("index").cast("double").alias("ts"), "frame_path", F.col(vector).alias("embedding"))
+    rows = frames.select(F.col(name).alias("frame_path"), F.col(vector).alias("embedding"))
+    numbered = with_index(rows, [F.asc_nulls_last("frame_path"), "embedding"])
+    return numbered.select(F.format_string("obs_%06d", "index").alias("id"), F.col("index").cast("double").alias("ts"), "frame_path", "embedding")
 
 
-def with_index(df: DataFrame, by: list[str]) -> DataFrame:
+def with_index(df: DataFrame, by: list[str | Column]) -> DataFrame:
     """``index``: the position (from 0) of each row in the order of ``by``; equal rows are numbered in any order.
 
     Rows are dealt out by range and sorted there, and each takes the number of its range and its place
