@@ -1,6 +1,7 @@
 """Scenarios with known outcomes: segments, debouncing, merges, tracking, gates."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,59 @@ def test_reconcile_joins_revisits(spark):
     assert got == {0: [0, 2], 1: [1]}
 
 
+def test_reconcile_is_the_sweep_over_all_pairs(spark):
+    """Against the plain sweep, on places with and without vectors and evidence, scenes that turn, and several maps."""
+    import random
+    from collections import Counter
+
+    rnd, cfg = random.Random(5), {"visual": 0.5, "extra": 0.7, "exact": 0.9}
+    common = lambda xs: [x for x, _ in Counter(xs).most_common(8)]
+    vectors = {(m, i): [rnd.gauss(0, 1) for _ in range(3)] for m in "ab" for i in range(160)}
+    vectors = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, v in vectors.items() if k[1] % 11}
+    scenes, marks = ["room", "room", "lobby", "corridor", "corridor_junction", "unknown"], ["door", "desk", "stairs", "room_sign", "plant"]
+    p = [(m, i, [9 * i, 9 * i + 1], rnd.sample(range(2 * i, 2 * i + 2), rnd.choice([1, 2, 2])), rnd.choices(scenes, k=rnd.choice([0, 1, 3])), rnd.sample(marks, rnd.choice([0, 1, 2])), rnd.sample(["a 1", "b 2"], rnd.choice([0, 0, 1]))) for m in "ab" for i in range(80)]
+    names = ("m", "place_id", "observation_ids", "exemplar_ids", "scenes", "marks", "signs")
+    want, merges = [], 0
+    for m in "ab":
+        todo = [dict(zip(names, r)) | {"scenes": Counter(r[4]), "n": 1} for r in p if r[0] == m]
+        for _ in range(10):
+            before, kept = len(todo), []
+            while todo:
+                head, *todo = todo
+                while True:
+                    vis = lambda q: max((sum(x * y for x, y in zip(vectors[m, i], vectors[m, j])) for i in head["exemplar_ids"] for j in q["exemplar_ids"] if (m, i) in vectors and (m, j) in vectors), default=0.0)  # noqa: B023, E731
+                    at = next((k for k, q in enumerate(todo) if reconcile._same(head, q, vis(q), reconcile.DEFAULTS | cfg)), None)
+                    if at is None:
+                        break
+                    q, merges = todo.pop(at), merges + 1
+                    ex = head["exemplar_ids"] + q["exemplar_ids"]
+                    ex = ex if len(ex) <= 3 else [ex[0], ex[{4: 2, 5: 2, 6: 2}[len(ex)]], ex[-1]]
+                    head = {"place_id": min(head["place_id"], q["place_id"]), "observation_ids": sorted(head["observation_ids"] + q["observation_ids"]), "exemplar_ids": ex, "scenes": head["scenes"] + q["scenes"], "marks": common(head["marks"] + q["marks"]), "signs": common(head["signs"] + q["signs"]), "n": head["n"] + q["n"]}
+                kept.append(head)
+            todo = kept
+            if len(todo) == before:
+                break
+        want += [(m, *[q[k] for k in ("place_id", "observation_ids", "exemplar_ids", "marks", "signs", "n")]) for q in todo]
+    schema = "m string, place_id int, observation_ids array<int>, exemplar_ids array<int>, scenes array<string>, marks array<string>, signs array<string>"
+    x = spark.createDataFrame([(m, i, v) for (m, i), v in vectors.items()], "m string, id int, v array<double>")
+    got = [tuple(r) for r in reconcile.reconcile(spark.createDataFrame(p, schema), x, "m", cfg).collect()]
+    assert sorted(got) == sorted(want) and merges > 60
+
+
+def test_reconcile_takes_long_maps(spark):
+    """4,000 places, each seen twice: nearly all pairs are held against each other, in seconds and not minutes."""
+    import random
+
+    rnd, n = random.Random(3), 2000
+    views = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(n)]
+    views = [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in views]
+    df = spark.range(2 * n).selectExpr("'m' AS m", "id AS place_id", "array(id) AS observation_ids", "array(id) AS exemplar_ids", "array('room') AS scenes", "cast(array() AS array<string>) AS marks", "cast(array() AS array<string>) AS signs")
+    x = spark.createDataFrame([("m", i, views[i % n]) for i in range(2 * n)], "m string, id long, v array<double>")
+    t = time.perf_counter()
+    got = {r.place_id: (r.observation_ids, r.merged_from) for r in reconcile.reconcile(df, x, "m", {"extra": 0.999}).collect()}
+    assert got == {i: ([i, i + n], 2) for i in range(n)} and time.perf_counter() - t < 20
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.9), (2, 3, 0.9), (1, 4, 0.9)], "src long, dst long, confidence double")
     n = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 99)], "id long")
