@@ -47,6 +47,24 @@ def test_group_similarities_do_not_depend_on_blocks(spark, emb):
             assert (r.n, r.most, r.total) == (m.size, pytest.approx(m.max()), pytest.approx(m.sum(), abs=1e-9))
 
 
+def test_each_two_labels_meet_in_one_tile(spark, emb):
+    """Labels of two rows and one of a hundred, in many blocks and a few cells a batch; without the large one, nothing is put together after the tiles."""
+    ids, _, v = emb
+    label = np.arange(len(ids)) // 2
+    label[-100:] = 10**6
+    sims = v @ v.T
+    for rows in (len(ids) - 100, len(ids)):
+        e = spark.createDataFrame([(int(i), int(c), x.tolist()) for i, c, x in list(zip(ids, label, v))[:rows]], "id long, label long, v array<double>")
+        found = vectors.group_similarities(e, 96, 50)
+        assert ("Aggregate" in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]) == (rows == len(ids))
+        got = {(r.a, r.b): (r.n, r.most, r.total) for r in found.collect()}
+        known = sorted(set(label[:rows].tolist()))
+        assert len(got) == len(known) * (len(known) - 1) // 2
+        for a, b in [(0, 1), (3, known[-2]), (known[-2], known[-1])]:
+            m = sims[np.ix_(label[:rows] == a, label[:rows] == b)]
+            assert got[a, b] == (m.size, pytest.approx(m.max()), pytest.approx(m.sum(), abs=1e-9))
+
+
 def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
     v = emb[2]
     x, y = (v[:-2] * v[1:-1]).sum(1), np.sort((v[:-2] * v[2:]).sum(1))

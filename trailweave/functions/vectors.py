@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,14 +54,15 @@ def centroids(df: DataFrame, keys: list[str], vector: str, name: str = "centroid
     return out.withColumn(name, l2_normalise(F.col(name))) if unit else out
 
 
-def tiles(df: DataFrame, block: int) -> DataFrame:
+def tiles(df: DataFrame, block: int, by: Column | None = None) -> DataFrame:
     """Rows (id, ...) dealt into blocks of about ``block`` rows, and each sent to every pair of blocks that its own is in.
 
     Adds bucket, lo and hi; rows with equal (lo, hi) are one tile: two blocks, or one with itself.
+    Rows with equal ``by`` (a hash; that of the id if none is given) are in one block.
     """
     n = max(1, -(-df.count() // block))
     at, other = F.col("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("other", other)
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64("id") if by is None else by, F.lit(n)).cast("int")).withColumn("other", other)
     return dealt.withColumns({"lo": F.least(at, "other"), "hi": F.greatest(at, "other")}).drop("other")
 
 
@@ -93,23 +96,29 @@ def pair_statistics(df: DataFrame, above: float, block: int = 2048) -> DataFrame
     return sums.groupBy("same").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares", "over")], F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def group_similarities(df: DataFrame, block: int = 2048) -> DataFrame:
+def group_similarities(df: DataFrame, block: int = 2048, cells: int = 1 << 18) -> DataFrame:
     """For each two labels a < b of rows (id, label, v): n, total and most of the products of their rows.
 
-    A task multiplies two blocks of rows, and one row for each two labels leaves it. Rows without an id, a
-    label or a vector are in no pair.
+    A task multiplies two blocks of rows, and one row for each two labels leaves it, about ``cells`` at a
+    time. The rows of a label are in one block, so that each two labels meet once; only where labels have
+    more than a sixteenth of a block are their rows spread, and what is found of two labels put together.
+    Rows without an id, a label or a vector are in no pair.
     """
     ship(df.sparkSession)
     df = df.where("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
     kind = df.schema["label"].dataType.simpleString()
-
-    def folded(t: pa.Table) -> pa.Table:
+    large = df.groupBy("label").count().where(F.col("count") > max(1, block // 16)).select("label", F.lit(True).alias("__large"))
+    spread = large.count()
+    by = F.xxhash64("label")
+    if spread:
+        df = df.join(F.broadcast(large) if spread <= 1 << 16 else large, "label", "left")
+        by = F.when(F.col("__large"), F.xxhash64("id")).otherwise(by)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
         v, a, b = _tile(t)
-        label = t.column("label").combine_chunks()
-        code = np.empty(t.num_rows, np.int64)
-        order = label.dictionary_encode()
-        values = order.dictionary
-        code[:] = order.indices.to_numpy()
+        order = t.column("label").combine_chunks().dictionary_encode()
+        values, code = order.dictionary, order.indices.to_numpy().astype(np.int64)
 
         def runs(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             side = side[np.argsort(code[side], kind="stable")]
@@ -118,20 +127,23 @@ def group_similarities(df: DataFrame, block: int = 2048) -> DataFrame:
 
         (x, fx, cx), (y, fy, cy) = runs(a), runs(b)
         if not (len(x) and len(y)):
-            cx, cy, most, total, n = cx[:0], cy[:0], *[np.zeros((0, 0))] * 3
-        else:
-            sims = v[x] @ v[y].T
-            most = np.maximum.reduceat(np.maximum.reduceat(sims, fx, axis=0), fy, axis=1)
-            total = np.add.reduceat(np.add.reduceat(sims, fx, axis=0), fy, axis=1)
-            n = np.outer(np.diff(fx, append=len(x)), np.diff(fy, append=len(y)))
-        i, j = (m.ravel() for m in np.meshgrid(cx, cy, indexing="ij"))
-        # Of one block with itself both orders of two labels are there: one of them counts.
-        keep = i < j if np.array_equal(a, b) else i != j
-        cells = {"a": values.take(pa.array(i[keep])), "b": values.take(pa.array(j[keep]))}
-        return pa.table(cells | {"n": pa.array(n.ravel()[keep].astype(np.int64)), "total": pa.array(total.ravel()[keep]), "most": pa.array(most.ravel()[keep])})
-
-    cells = tiles(df, block).groupBy("lo", "hi").applyInArrow(folded, f"a {kind}, b {kind}, n long, total double, most double")
-    ends = cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "total", "most")
+            return
+        nx, ny = np.diff(fx, append=len(x)), np.diff(fy, append=len(y))
+        own, other, step = np.array_equal(a, b), v[y].T, max(1, cells // len(cy))
+        for s in range(0, len(cx), step):
+            e = min(s + step, len(cx))
+            sims = v[x[fx[s] : fx[e - 1] + nx[e - 1]]] @ other
+            i, j = (m.ravel() for m in np.meshgrid(cx[s:e], cy, indexing="ij"))
+            # Of one block with itself both orders of two labels are there: one of them counts.
+            keep = np.flatnonzero(i < j if own else i != j)
+            fold = lambda f: f.reduceat(f.reduceat(sims, fx[s:e] - fx[s], axis=0), fy, axis=1).ravel()[keep]  # noqa: B023, E731
+            found = [values.take(pa.array(i[keep])), values.take(pa.array(j[keep])), np.outer(nx[s:e], ny).ravel()[keep], fold(np.add), fold(np.maximum)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "n", "total", "most"])
+
+    found = tiles(df, block, by).select("label", "v", "bucket", "lo", "hi").groupBy("lo", "hi").applyInArrow(folded, f"a {kind}, b {kind}, n long, total double, most double")
+    ends = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "total", "most")
+    if not spread:
+        return ends
     return ends.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
 
 
