@@ -65,6 +65,33 @@ def test_each_two_labels_meet_in_one_tile(spark, emb):
             assert got[a, b] == (m.size, pytest.approx(m.max()), pytest.approx(m.sum(), abs=1e-9))
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e25])
+def test_best_matches_are_those_of_all_pairs(spark, scale):
+    """Copies, near copies within the error of single precision, few and many items, many blocks; sums in order of the elements."""
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(40, 17))
+    v = np.concatenate([base[rnd.integers(0, 40, 700)], base[:20] + 1e-9, rnd.normal(size=(300, 17)), np.zeros((5, 17))]) * scale
+    ids = rnd.permutation(len(v))
+    scores = np.array([np.cumsum(x * v, axis=1)[:, -1] for x in v])
+    e = spark.createDataFrame([(f"r{i:04d}", x.tolist()) for i, x in zip(ids, v)], "id string, v array<double>")
+    name = np.array([f"r{i:04d}" for i in ids])
+    for few, block in ((len(v), 1 << 15), (len(v), 150), (30, 100)):
+        got = {(r.query_id, r.rank): (r.id, r.score) for r in vectors.best_matches(e, e.where(f"id < 'r{few:04d}'"), 5, block).collect()}
+        assert len(got) == 5 * len(v)
+        there = np.flatnonzero(ids < few)
+        for q in range(len(v)):
+            order = there[np.lexsort((name[there], -scores[q, there]))[:5]]
+            assert [got[name[q], r] for r in range(1, 6)] == [(name[i], scores[q, i]) for i in order]
+
+
+def test_few_pairs_are_multiplied_in_double():
+    """Of random vectors, little more than the best are left after single precision."""
+    v = np.random.default_rng(1).normal(size=(3000, 32))
+    hopeful = np.concatenate([np.stack(p, axis=1) for p in vectors._hopeful(v[:500], v, 5)])
+    assert 2500 <= len(hopeful) < 2750
+    assert set(map(tuple, hopeful.tolist())) >= {(q, i) for q, row in enumerate(v[:500] @ v.T) for i in np.argsort(-row)[:5].tolist()}
+
+
 def test_recalibrated_thresholds_over_all_rows(spark, sf_dir, emb):
     v = emb[2]
     x, y = (v[:-2] * v[1:-1]).sum(1), np.sort((v[:-2] * v[2:]).sum(1))

@@ -147,36 +147,101 @@ def group_similarities(df: DataFrame, block: int = 2048, cells: int = 1 << 18) -
     return ends.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
 
 
-def best_matches(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one width as rows of doubles."""
+    lists = column.combine_chunks()
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count or len(lists) and len(set(np.diff(lists.offsets.to_numpy()).tolist())) != 1:
+        raise ValueError("vectors must be there, of one width, and without gaps")
+    return np.asarray(flat, np.float64).reshape(len(lists), -1)
+
+
+def _first_copies(y: np.ndarray, k: int) -> np.ndarray:
+    """The rows without those that have ``k`` equal ones before them."""
+    kind = np.unique(np.ascontiguousarray(y).view(f"V{y.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel() if y.shape[1] else np.zeros(len(y), np.int64)
+    order = np.argsort(kind, kind="stable")
+    start = np.flatnonzero(np.diff(kind[order], prepend=-1))
+    nth = np.arange(len(y)) - np.repeat(start, np.diff(start, append=len(y)))
+    return np.sort(order[nth < k])
+
+
+def _hopeful(x: np.ndarray, y: np.ndarray, k: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``x`` and ``y`` among which are the ``k`` best of each row of ``x``, a few rows of it at a time.
+
+    Products in single precision, whose error has a bound. Rows of ``y`` are in groups; the k-th best of the
+    groups' best bounds the k-th best of all from below, and only groups that reach it are looked at.
+    """
+    size, most = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1).max()
+    if not size.max() * most < 1e30 or not max(size.max(), most) < 1e30:
+        # Not finite, or too large for single precision.
+        for s in range(0, len(x), rows):
+            best = np.argsort(-(x[s : s + rows] @ y.T), axis=1, kind="stable")[:, :k]
+            yield np.repeat(np.arange(s, s + len(best)), best.shape[1]), best.ravel()
+        return
+    wide = min(64, max(1, len(y) // (8 * k)))
+    groups = -(-len(y) // wide)
+    a, b = x.astype(np.float32), np.zeros((groups * wide, y.shape[1]), np.float32)
+    b[: len(y)] = y
+    slack = (2.0 * (x.shape[1] + 8) * 2.0**-24 * size * most + 1e-36)[:, None]
+    for s in range(0, len(a), rows):
+        sims = a[s : s + rows] @ b.T
+        sims[:, len(y) :] = -np.inf
+        sims = sims.reshape(len(sims), wide, groups)
+        top = sims.max(axis=1)
+        least = np.partition(top, groups - k, axis=1)[:, groups - k, None] if groups > k else np.full((len(top), 1), -np.inf)
+        least = least - slack[s : s + rows]
+        r, g = np.nonzero(top >= least)
+        at, in_group = np.nonzero(sims[r, :, g] >= least[r])
+        i = in_group * groups + g[at]
+        there = i < len(y)
+        yield s + r[at][there], i[there]
+
+
+def _best(x: np.ndarray, y: np.ndarray, k: int, pairs: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ``k`` rows of ``y`` with the greatest products with each row of ``x``, of equals the first, and the products.
+
+    Sums run in order of the elements, so that equal rows have equal products.
+    """
+    for q, i in _hopeful(x, y, k):
+        score = np.empty(len(q))
+        for s in range(0, len(q), pairs):
+            score[s : s + pairs] = np.cumsum(x[q[s : s + pairs]] * y[i[s : s + pairs]], axis=1)[:, -1] if x.shape[1] else 0.0
+        order = np.lexsort((i, -score, q))
+        q = q[order]
+        start = np.flatnonzero(np.diff(q, prepend=-1))
+        keep = np.arange(len(q)) - np.repeat(start, np.diff(start, append=len(q))) < k
+        yield q[keep], i[order][keep], score[order][keep]
+
+
+def best_matches(queries: DataFrame, items: DataFrame, k: int, block: int = 1 << 15) -> DataFrame:
     """Exact k best items of each query by inner product: (query_id, rank, id, score), ties to the smaller id.
 
-    Items are dealt into blocks; each task keeps the k best of its block for each query of one query
-    block, and a window over those few picks the k best of all. Both sides may be of any size.
+    Both sides are dealt into blocks, of ``block`` rows at most, and each task keeps the k best of one block of
+    items for each query of one block, by products in single precision and then, of those that may be among
+    them, in double; a window over those few picks the k best of all. Both sides may be of any size.
     """
 
     ship(queries.sparkSession)
 
+    def blocks(n: int) -> int:
+        # Rows are sent once to each block of the other side; of smaller tables there are more blocks than cores.
+        return max(1, -(-n // block), min(16, -(-n // 4096)))
+
     def dealt(df: DataFrame, n: int, mine: str, other: str, others: int) -> DataFrame:
         return df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-    nq, ni = (max(1, -(-d.count() // block)) for d in (queries, items))
+    nq, ni = (blocks(d.count()) for d in (queries, items))
     q, it = dealt(queries, nq, "bq", "bi", ni), dealt(items, ni, "bi", "bq", nq)
 
     def top(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        found = []
         if a.num_rows and b.num_rows:
             b = b.sort_by("id")
-            x = np.array(a.column("v").to_pylist(), np.float64)
-            y = np.array(b.column("v").to_pylist(), np.float64)
-            ids, qs = b.column("id").to_pylist(), a.column("id").to_pylist()
-            for s in range(0, len(x), 512):
-                sims = x[s : s + 512] @ y.T
-                order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                for r, row in enumerate(order):
-                    out[0].extend([qs[s + r]] * len(row))
-                    out[1].extend(ids[c] for c in row)
-                    out[2].extend(sims[r, row].tolist())
-        return pa.table({"query_id": pa.array(out[0], a.schema.field("id").type), "id": pa.array(out[1], b.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
+            y = _matrix(b.column("v"))
+            first = _first_copies(y, k)
+            found = [(q, first[i], score) for q, i, score in _best(_matrix(a.column("v")), y[first], k)]
+        q, i, score = (np.concatenate([np.zeros(0, t), *c]) for t, c in zip((np.int64, np.int64, np.float64), zip(*found) if found else ((), (), ())))
+        return pa.table({"query_id": a.column("id").take(pa.array(q)), "id": b.column("id").take(pa.array(i)), "score": pa.array(score)})
 
     tq, ti = (d.schema["id"].dataType.simpleString() for d in (queries, items))
     best = q.groupBy("bq", "bi").cogroup(it.groupBy("bq", "bi")).applyInArrow(top, f"query_id {tq}, id {ti}, score double")
