@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailweave.functions import evidence as ev
-from trailweave.functions import text
+from trailweave.functions import registry, text
 from trailweave.operators import graph, places, reconcile, sequence as seq
 from trailweave.sources import store
 from trailweave.streaming import gate, tracker
@@ -419,6 +419,24 @@ def test_every_frame_has_a_number_of_its_own(spark):
     ]
 
 
+def test_models_get_batches_of_bounded_size(spark):
+    """Of long texts a few, of short ones some thousands; nulls, lists and structs pass as they are."""
+    wide = spark.range(1500, numPartitions=1).select("id", F.when(F.col("id") > 0, F.repeat(F.lit("x"), 20_000)).alias("text"), F.array("id").alias("ids"), F.struct("id").alias("s"))
+    got = registry.attach(wide, "text", lambda texts: [len(texts)] * len(texts), "int", "n").collect()
+    assert [(r.id, r.ids, r.s.id) for r in got] == [(i, [i], i) for i in range(1500)] and got[0].text is None and len(got[1].text) == 20_000
+    assert 100 < max(r.n for r in got) <= 400
+    short = spark.range(9000, numPartitions=1)
+    assert max(r.n for r in registry.attach(short, "id", lambda ids: [len(ids)] * len(ids), "int", "n").collect()) == 2048
+
+    def odd(ids):
+        if any(i % 3 == 0 for i in ids):
+            raise ValueError
+        return [[str(i)] for i in ids]
+
+    said = {r.id: r.said for r in registry.attach(short, "id", odd, "array<string>", "said").collect()}
+    assert said == {i: [str(i)] if i % 3 else None for i in range(9000)}
+
+
 def test_report_and_hash(spark, tmp_path):
     w = spark.createDataFrame([("weak_edge", "1-2")], "check string, subject string")
     store.write_report(w, str(tmp_path / "r"))
